@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, license_scan, packing, pieces, quality_rules, sharding, token_files
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_license_scans": license_scan.op9_license_scans,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op8_quality_rules": quality_rules.OP8_SQL,
 }
