@@ -25,18 +25,20 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKED = 1000
 
 
-def _complement(gap: int, counts: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three lengths in stock that sum to the gap, larger ones first; counts[n] pieces of length n are left."""
+def _complement(gap: int, counts: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
+    """Up to `most` lengths in stock that sum to the gap, larger ones first; counts[n] pieces of length n are left."""
     if counts[gap]:
         return (gap,)
     stock = np.flatnonzero(counts[:gap])[::-1]
-    if not len(stock):
+    if not len(stock) or most < 2:
         return None
     rest = gap - stock
     fits = (rest <= stock) & (counts[rest] > (rest == stock))
     if fits.any():
         a = int(stock[np.argmax(fits)])
         return a, gap - a
+    if most < 3:
+        return None
     for a in stock.tolist():
         if 3 * a < gap:
             return None
@@ -61,18 +63,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     for n, c in histogram.items():
         counts[n] = c
     out: list[tuple[dict[int, int], int]] = []
-    for n in range(capacity, capacity // 2, -1):  # two of these never share a sequence: each opens its own
-        while counts[n]:
-            counts[n] -= 1
-            more = _complement(capacity - n, counts) if n < capacity else ()
-            counts[n] += 1
-            if more is None:
-                break
-            lengths = (n, *more)
-            times = _times(lengths, counts)
-            out.append((_grouped(lengths), times))
-            for x in lengths:
-                counts[x] -= times
+    for most in (1, 2, 3):  # fillings of fewer pieces first: they leave the short ones to the others
+        for n in range(capacity, capacity // 2 - 1, -1):
+            while counts[n]:
+                counts[n] -= 1
+                more = _complement(capacity - n, counts, most) if n < capacity else ()
+                counts[n] += 1
+                if more is None:
+                    break
+                lengths = (n, *more)
+                times = _times(lengths, counts)
+                out.append((_grouped(lengths), times))
+                for x in lengths:
+                    counts[x] -= times
     # the residuals: open sequences by gap, and pieces from the longest, each into the smallest gap that holds it
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}
     gaps = np.zeros(capacity + 1, dtype=np.int64)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, packing, pieces, quality_rules, sharding, token_files
+from . import exact_dedup, license_scan, lm_scoring, packing, pieces, quality_rules, sharding, token_files
 
 QUERIES = {
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_sharding": sharding.op3_sharding,
     "op4_token_files": token_files.op4_token_files,
     "op5_sentencepiece": pieces.op5_sentencepiece,
