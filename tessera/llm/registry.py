@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, lm_scoring, packing, pieces, quality_rules, sharding, token_files
+from . import exact_dedup, jaccard_join, license_scan, lm_scoring, packing, pieces, quality_rules, sharding, token_files
 
 QUERIES = {
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_license_scans": license_scan.op9_license_scans,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "op10_jaccard_join": jaccard_join.OP10_SQL,
 }
