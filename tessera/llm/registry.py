@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, license_scan, lm_scoring, packing, pieces, quality_rules, sharding, token_files
+from . import exact_dedup, jaccard_join, license_scan, lm_scoring, packing, pieces, quality_rules, sharding, suffix_dedup, token_files
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_sharding": sharding.op3_sharding,
     "op4_token_files": token_files.op4_token_files,
