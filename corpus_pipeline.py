@@ -3,19 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, jaccard_join, packing, quality_rules, suffix_dedup
 from tessera.llm.common import documents, materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; failed lines of the others are removed."""
+    return _counted(quality_rules.clean(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return exact_dedup.drop_copies(docs).select(*COLUMNS)
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays, the one with the smallest doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
+def suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur more than once are removed from all documents; every document stays."""
+    left = suffix_dedup.dedup(docs, kept_text=True).select(F.col("row").alias("__row"), F.col("kept").alias("__kept"))
+    # equal rows have equal texts left, so one of each serves them all
+    rest = docs.withColumn("__row", F.xxhash64("doc_id", "text")).drop("text").join(left.dropDuplicates(["__row"]), "__row")
+    return _counted(rest.withColumn("text", F.col("__kept")).select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of what is left, with their sequences and places."""
+    return packing.pack(docs)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars of changed texts, where the column is there."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
-STAGES = [("exact dedup", exact)]
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("suffix-array dedup", suffix), ("best-fit packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
