@@ -293,7 +293,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int =
                 times = np.diff(np.append(first, len(of))).astype(np.int32)
                 ends = np.searchsorted(of[first], np.arange(n + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (_signed(seldom[first]), pa.array(times))]
-                columns = [part.column("k"), part.column("held"), pa.array(n_words + 1, pa.int64()), pa.array(np.bincount(doc[hit], minlength=n), pa.int64()), pa.array(base), pa.array(p), pa.array(np.diff(offsets), pa.int64()), *lists]
+                columns = [part.column("k"), part.column("held"), pa.array(n_words + 1, pa.int64()), pa.array(np.bincount(doc[hit], minlength=n), pa.int64()), pa.array(base.astype(np.float64)), pa.array(p.astype(np.float64)), pa.array(np.diff(offsets), pa.int64()), *lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "held", "n_tokens", "n_known", "base", "p", "n_bytes", "seldom", "times"])
 
     scored = rows.mapInArrow(run, "k long, held boolean, n_tokens long, n_known long, base double, p double, n_bytes long, seldom array<long>, times array<int>")
