@@ -151,3 +151,25 @@ def box_muller(u1: Column, u2: Column, sigma: float = 1.0) -> Column:
 def noise_weight(i: Column) -> Column:
     """Weight of noise on coefficient i: little on the mean, half on the lowest frequencies."""
     return F.when(i == 0, 0.1).when(i < 8, 0.5).otherwise(1.0)
+
+
+def block_differences(px: DataFrame, size: int, radius: int) -> DataFrame:
+    """Sum of absolute differences of each block and each block of the picture before within `radius`."""
+    blocks = block_rows(px, size)
+    offsets = F.sequence(F.lit(-radius), F.lit(radius))
+    wanted = blocks.withColumn("dy", F.explode(offsets)).withColumn("dx", F.explode(offsets)).withColumn("ref", F.col("image_id") - 1)
+    wanted = wanted.withColumn("sy", F.col("by") + F.col("dy")).withColumn("sx", F.col("bx") + F.col("dx"))
+    found = wanted.join(blocks.select(F.col("image_id").alias("ref"), F.col("by").alias("sy"), F.col("bx").alias("sx"), F.col("samples").alias("other")), ["ref", "sy", "sx"])
+    sad = F.aggregate(F.zip_with("samples", "other", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda acc, v: acc + v)
+    return found.select("image_id", "by", "bx", "dy", "dx", sad.alias("sad"), F.size("samples").alias("n"))
+
+
+def grow(differences: DataFrame, threshold: float, most: int, peak: int = 255) -> DataFrame:
+    """Largest square (in blocks) from each block at each displacement whose similarity, and that of all smaller ones,
+    reaches the threshold. A block's difference is dealt to the squares that hold it: most * (most + 1) * (2 most + 1) / 6
+    rows each, whatever the picture's size."""
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(n.alias("side"), i.alias("i"), j.alias("j")))))))
+    d = differences.withColumn("s", F.explode(spans)).select("image_id", (F.col("by") - F.col("s.i")).alias("by"), (F.col("bx") - F.col("s.j")).alias("bx"), "dy", "dx", F.col("s.side").alias("side"), "sad", "n")
+    sums = d.groupBy("image_id", "by", "bx", "dy", "dx", "side").agg(F.sum("sad").alias("sad"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
+    good = sums.where((F.col("blocks") == F.col("side") * F.col("side")) & (1 - F.col("sad") / (F.col("n") * float(peak)) >= threshold))
+    return good.groupBy("image_id", "by", "bx", "dy", "dx").agg(F.array_sort(F.collect_list("side")).alias("sides")).select("image_id", "by", "bx", "dy", "dx", F.size(F.filter("sides", lambda v, i: v == i + 1)).alias("side")).where("side > 0")
