@@ -1 +1 @@
-
+"""Operators over rasters, blocks, symbols, frames and reports."""

@@ -76,10 +76,10 @@ def list_files(spark, sf):
     return R.list_files(spark, sf, "*.parquet").select(F.regexp_replace("path", "^.*/", "").alias("file"), "length")
 
 
-@query("output_path", "SELECT doc_id, 'out/' || source || '/' || doc_id || '.v1.jxl' AS path FROM documents")
+@query("output_path", "SELECT doc_id, 'out/' || source || '/' || doc_id || '.v1.img' AS path FROM documents")
 def output_path(spark, sf):
     path = F.concat(F.lit("/data/in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".v1.png"))
-    return R.table(spark, sf, "documents").select("doc_id", S.output_path(path, "/data/in/", "out", "jxl").alias("path"))
+    return R.table(spark, sf, "documents").select("doc_id", S.output_path(path, "/data/in/", "out", "img").alias("path"))
 
 
 @query("format_of_extension", "SELECT event_id, CASE lower(substr('PNG tif TIFFbmp gif ', CAST(event_id % 5 * 4 + 1 AS INT), 4)) WHEN 'png ' THEN 'png' WHEN 'tif ' THEN 'tiff' WHEN 'tiff' THEN 'tiff' WHEN 'bmp ' THEN 'bmp' END AS format FROM events")

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed values of the box format: the signature box's payload, and the kinds of boxes in the order of a file.
 SIGNATURE = bytes((0x0D, 0x0A, 0x87, 0x0A))
-#: Boxes in the order of a file.
 ORDER = ("JXL ", "ftyp", "jxll", "colr", "Exif", "xml ", "jxli", "jxlc")
 
 

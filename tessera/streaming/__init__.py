@@ -1 +1 @@
-
+"""Frame sequences as streams."""
