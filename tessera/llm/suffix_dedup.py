@@ -311,8 +311,9 @@ def _windows(cut: DataFrame) -> DataFrame:
 
 def repeated_strings(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """row, start, strings: the runs of repeated strings in rows (row, k, t)."""
-    found = _find(rows.select("row", "t"))
-    several = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    found = materialize(_find(rows.select("row", "t")), "suffix-found")
+    # written, so that the join deals both its sides and can split an anchor that holds many rows
+    several = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "suffix-anchors")
     slices_ = materialize(found.join(several, "h", "left_semi"), "suffix-slices")
     classes = slices_.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "strings")).alias("one"))
     classes = materialize(classes.select("h", "s", "n", "one.*"), "suffix-classes")
