@@ -90,7 +90,10 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, folder: str
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     tail = np.uint32(END).tobytes()
-    taken = rows.select(F.xxhash64("k").alias("h"), F.substring("t", 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE).select("t").collect()
+    # the keys first, without their texts: each partition offers SAMPLE of them
+    keys = rows.select("k").distinct().orderBy(F.xxhash64("k")).limit(SAMPLE)
+    taken = rows.join(F.broadcast(keys), "k", "left_semi").select(F.substring("t", 1, SAMPLE_CHARS).alias("t"))
+    taken = taken.orderBy(F.xxhash64("t")).limit(SAMPLE).collect()
     dictionary = train([x + tail for x in encoder(vocabulary, folder).encode([r.t for r in taken])])
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").write.parquet(f"{path}/dictionary")
 

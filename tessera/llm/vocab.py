@@ -10,17 +10,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from functools import cache
 
-import numpy as np
-
-#: Pieces kept in each Python worker; beyond it, the cache starts anew. Bounds memory, not results.
-CACHED = 600_000
+#: Pieces kept in each Python worker, in two generations. Bounds memory, not results.
+CACHED = 800_000
 FOLDER = "/opt/tokenizers"
 
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_TAIL = re.compile(r"([ \n]*)([^\W\d_]+)([.,;:!?]*)\Z")
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
@@ -43,80 +41,75 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-class Encoder:
-    """ids of texts as little-endian uint32 bytes, equal to the tokenizer's with add_special_tokens=False."""
+class Encoder(dict):
+    """ids of texts as little-endian uint32 bytes, equal to the tokenizer's with add_special_tokens=False. It is itself the
+    cache, piece to ids: what a text lacks is filled in while its pieces are looked up, in one pass."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         #: Tokenizers that drop white space and lower letters have a normalizer; the others keep all bytes.
         self._words = self._tokenizer.normalizer is not None
-        self._cache: dict[str, bytes] = {}
+        self._blank = "" if self._words else self._letters[32]
+        self._old: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _model_ids(self, text: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(text)]).tobytes()
 
-    def _model_ids(self, word: str) -> bytes:
-        held = self._cache.get(word)
+    def __missing__(self, p: str) -> bytes:
+        held = self._old.get(p)
         if held is None:
-            text = word.encode().decode("latin-1").translate(self._letters)
-            held = self._cache[word] = np.array([t.id for t in self._model.tokenize(text)], dtype="<u4").tobytes()
+            held = self._ids(p)
+        self[p] = held
         return held
 
-    def _learn(self, pieces: list[str]) -> None:
-        hard = []
-        for p in pieces:
-            m = _TAIL.match(p)
-            # beyond Latin letters, the tokenizer's own Unicode tables decide
-            if m and (p.isascii() or (max(m[2]) < "ɐ" and unicodedata.is_normalized("NFC", m[2]))) and m[2].isalpha():
-                space, word, tail = m[1], m[2], m[3]
-                if self._words:
-                    word = word.lower() if word.isascii() else "".join(c.lower() for c in word)
-                    if not word.isalpha():
-                        hard.append(p)
-                        continue
-                    ids = self._model_ids(word)
-                    tail_key = "\0" + tail
-                elif space in ("", " "):
-                    ids = self._model_ids(space + word)
-                    tail_key = tail
-                elif space == "\n":
-                    ids = self._model_ids("\n") + self._model_ids(word)
-                    tail_key = tail
-                else:
-                    hard.append(p)
-                    continue
-                if tail:
-                    if tail_key not in self._cache:
-                        self._cache[tail_key] = self._whole([tail])[0]
-                    ids += self._cache[tail_key]
-                self._cache[p] = ids
-            else:
-                hard.append(p)
-        if hard:
-            self._cache.update(zip(hard, self._whole(hard), strict=True))
+    def _ids(self, p: str) -> bytes:
+        if p.isalpha() and p.isascii():  # such letters stand for themselves
+            return self._model_ids(p.lower() if self._words else p)
+        start = p.lstrip(" \n")
+        word = start.rstrip(".,;:!?")
+        # beyond Latin letters, the tokenizer's own Unicode tables decide
+        if not word.isalpha() or not (word.isascii() or (max(word) < "ɐ" and unicodedata.is_normalized("NFC", word))):
+            return self._whole(p)
+        if len(word) < len(start):
+            return self[p[: len(p) - len(start) + len(word)]] + self[start[len(word) :]]
+        space = p[: len(p) - len(word)]
+        if self._words:
+            if not word.isascii():
+                word = "".join(c.lower() for c in word)
+                if not word.isalpha():
+                    return self._whole(p)
+                return self._model_ids(word.encode().decode("latin-1").translate(self._letters))
+            return self._model_ids(word.lower())
+        if space == "\n":
+            return self["\n"] + self[word]
+        if space not in ("", " "):
+            return self._whole(p)
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+        return self._model_ids(self._blank + text if space else text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
-        if len(self._cache) > CACHED:
-            self._cache.clear()
         out: list[bytes] = []
-        known = self._cache
+        ids = self.__getitem__
         for t in texts:
             t = t or ""
             if _OTHER_SPACE.search(t) or any(s in t for s in self._specials):
-                out.append(self._whole([t])[0])
+                out.append(self._whole(t))
                 continue
-            pieces = _PIECES.findall(t)
-            try:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-            except KeyError:
-                self._learn([p for p in dict.fromkeys(pieces) if p not in known])
-                out.append(b"".join(map(known.__getitem__, pieces)))
+            out.append(b"".join(map(ids, _PIECES.findall(t))))
+            if len(self) > CACHED // 2:
+                # what is still in use comes back from the generation before, the rest goes with it
+                self._old = dict(self)
+                self.clear()
         return out
 
 
