@@ -116,8 +116,23 @@ def _direct(pos: np.ndarray, eights: np.ndarray, hashes: np.ndarray) -> np.ndarr
     return pos
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """All positions, sorted by their first WINDOW bytes at least (equal ones in any order); the end is smaller than any byte."""
+def _needed(wanted: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """The wanted positions, and those after each run of them up to the first that is sorted directly: its predecessors'
+    places follow from its own."""
+    n = len(wanted)
+    last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+    last = last[~smaller[last]]
+    direct = np.append(np.flatnonzero(smaller), n - 1)
+    stop = np.minimum(direct[np.searchsorted(direct[:-1], last)], n - 1)
+    edges = np.zeros(n + 2, np.int64)
+    np.add.at(edges, last + 1, 1)
+    np.add.at(edges, stop + 1, -1)
+    return wanted | (np.cumsum(edges)[:n] > 0)
+
+
+def suffix_array(data: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The wanted positions (all, by default) and those that place them, sorted by their first WINDOW bytes at least (equal
+    ones in any order); the end is smaller than any byte."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -130,10 +145,12 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     rises = np.zeros(len(turn) + 1, bool)
     rises[:-1] = data[turn] < data[turn + 1]
     smaller = rises[np.searchsorted(turn, np.arange(n))]
-    direct = _direct(np.flatnonzero(smaller), eights[: n + 1], hashes)
+    needed = np.ones(n, bool) if wanted is None else _needed(wanted, smaller)
+    direct = _direct(np.flatnonzero(smaller & needed), eights[: n + 1], hashes)
     bounds = np.searchsorted(data[direct], np.arange(257))  # direct suffixes are in the order of their first bytes
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
-    larger[data[n - 1]].append(np.array([n - 1]))  # the predecessor of the end
+    if needed[n - 1]:
+        larger[data[n - 1]].append(np.array([n - 1]))  # the predecessor of the end
     out = []
     for c in range(256):
         done: list[np.ndarray] = []
@@ -142,7 +159,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             now = np.concatenate(todo) if len(todo) > 1 else todo[0]
             done.append(now)
             before = now[now > 0] - 1
-            before = before[data[before] == c]
+            before = before[(data[before] == c) & needed[before]]
             todo = [before] if len(before) else []
         done.append(direct[bounds[c] : bounds[c + 1]])
         bucket = np.concatenate(done)
@@ -151,7 +168,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[data[before] > c]
+        before = before[(data[before] > c) & needed[before]]
         if len(before):
             byte = data[before]
             order = np.argsort(byte, kind="stable")
@@ -159,7 +176,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             cut = np.flatnonzero(byte[1:] != byte[:-1]) + 1
             for part in np.split(before, cut):
                 larger[data[part[0]]].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def adjacent_prefixes(order: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -193,7 +210,7 @@ def repeats(parts: list[bytes]) -> list[np.ndarray]:
     strings = np.maximum(lengths - WINDOW + 1, 0)
     flat = np.repeat(first - np.concatenate([[0], np.cumsum(strings)[:-1]]), strings) + np.arange(strings.sum())
     valid[flat] = True
-    order = suffix_array(data)
+    order = suffix_array(data, valid[: len(data)])
     order = order[valid[order]]
     lcp = adjacent_prefixes(order, data)
     hit = lcp >= WINDOW

@@ -65,6 +65,11 @@ def test_suffix_array_and_prefixes():
         order = S.suffix_array(data)
         keys = [raw[i : i + S.WINDOW] for i in order]
         assert sorted(order.tolist()) == list(range(n)) and keys == sorted(keys)
+        wanted = np.array([rng.random() < 0.3 for _ in range(n)]) if trial % 3 else np.arange(n) < n // 3
+        part = S.suffix_array(data, wanted)
+        part = part[wanted[part]]
+        assert sorted(part.tolist()) == np.flatnonzero(wanted).tolist()
+        assert [raw[i : i + S.WINDOW] for i in part] == [k for k, i in zip(keys, order, strict=True) if wanted[i]]
         lcp = S.adjacent_prefixes(order, data)
         for i in range(1, n):
             a, b = keys[i - 1], keys[i]
