@@ -34,7 +34,7 @@ FILE_BYTES = 4 << 20
 #: The dictionary is trained on the ids of so many documents, those with the smallest hashes of their keys, and on so
 #: many characters of each at most. It changes the files' size, never what is read from them.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 20_000, 64 << 10
-LEVEL = 3
+LEVEL = 1
 
 
 class TokenFile:

@@ -64,17 +64,22 @@ class Encoder(dict):
     def _model_ids(self, text: str) -> bytes:
         return array("I", [t.id for t in self._model.tokenize(text)]).tobytes()
 
-    def __missing__(self, p: str) -> bytes:
+    def __missing__(self, p: str) -> bytes | None:
         held = self._old.get(p)
         if held is None:
             held = self._ids(p)
         self[p] = held
         return held
 
-    def _ids(self, p: str) -> bytes:
+    def _ids(self, p: str) -> bytes | None:
+        """None: the piece has other white space or a special token, so that its text must not be cut."""
         if p.isalpha() and p.isascii():  # such letters stand for themselves
             return self._model_ids(p.lower() if self._words else p)
+        if _OTHER_SPACE.search(p) or any(s in p for s in self._specials):
+            return None
         start = p.lstrip(" \n")
+        if not start and self._words:
+            return b""
         word = start.rstrip(".,;:!?")
         # beyond Latin letters, the tokenizer's own Unicode tables decide
         if not word.isalpha() or not (word.isascii() or (max(word) < "ɐ" and unicodedata.is_normalized("NFC", word))):
@@ -102,10 +107,12 @@ class Encoder(dict):
         ids = self.__getitem__
         for t in texts:
             t = t or ""
-            if _OTHER_SPACE.search(t) or any(s in t for s in self._specials):
+            # where white space is dropped, pieces need none
+            pieces = t.replace("\n", " ").split(" ") if self._words else _PIECES.findall(t)
+            try:
+                out.append(b"".join(map(ids, pieces)))
+            except TypeError:
                 out.append(self._whole(t))
-                continue
-            out.append(b"".join(map(ids, _PIECES.findall(t))))
             if len(self) > CACHED // 2:
                 # what is still in use comes back from the generation before, the rest goes with it
                 self._old = dict(self)
