@@ -4,10 +4,11 @@ A byte is eight binary decisions; each has, in every context of 0 to `DEPTH` pre
 estimate from the training texts' counts, and a decision's probability mixes the estimates along its context path with
 the weights of context-tree weighting: half for a node's own estimate, half for the product of its children.
 
-The counts are one aggregation over all training texts (grams of DEPTH + 1 bytes, summed up in Spark). The tree keeps the
-contexts that occur at least so often that at most `CONTEXTS` remain; a kept context's children that are not kept form
-one child together, so the tree still parts all contexts. What is broadcast is a row of 256 log-probabilities for each
-leaf: 2 * CONTEXTS rows at most, whatever the corpus.
+The counts are one aggregation over all training texts (grams of DEPTH + 1 bytes, summed up in Spark). The tree holds every
+context seen in training, as a table for each depth with a row a context and decision: sums go up the tree by groupings,
+mixtures down it by joins. The grams that occur most often, at most `GRAMS`, are looked up where the text is read; the
+others, and those not seen in training, join their probabilities by a shuffle of (row, gram, times). What is broadcast is
+a cache: its size changes no score.
 
 The unigram base needs the counts of all words: the words that occur most often, at most `COMMON`, are looked up where
 the text is read, the others join their counts by a shuffle of (row, word, times).
@@ -15,16 +16,19 @@ the text is read, the others join their counts by a shuffle of (row, word, times
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, counts_between, documents, materialize, slices, span_hashes, text_bytes, word_bounds
 
 DEPTH = 4
+GRAMS = 1_000_000
+#: Contexts of a tree held by one process, see `tree_of`.
 CONTEXTS = 12_000
 COMMON = 500_000
 #: Distinct keys held by a task between two of its partial sums.
@@ -232,7 +236,8 @@ class Tree:
 
 
 def tree_of(counts: DataFrame, depth: int = DEPTH, most: int = CONTEXTS) -> Tree:
-    """The tree of the corpus' gram counts; the driver gets the kept contexts and the counts after them."""
+    """The tree of the corpus' gram counts in one process, of at most `most` contexts: for small corpora. `score` doesn't
+    use it; where `most` is not reached it gives the same probabilities."""
     by_depth = counts.where("kind = 1").selectExpr("key", "n", f"explode(sequence(0, {depth})) AS d")
     ctx = F.expr("shiftrightunsigned(key, 8) & (shiftleft(1L, 8 * d) - 1)")
     by_depth = by_depth.select("d", ctx.alias("ctx"), F.expr("CAST(key & 255 AS INT)").alias("sym"), "n")
@@ -249,7 +254,97 @@ def tree_of(counts: DataFrame, depth: int = DEPTH, most: int = CONTEXTS) -> Tree
     return Tree(depth, np.array([c for _, c in keys], np.int64), np.array([d for d, _ in keys]), symbols)
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, contexts: int = CONTEXTS, common: int = COMMON) -> DataFrame:
+def _log_gamma(x: Column) -> Column:
+    """As `_lgamma`, on columns."""
+    down = x
+    for i in range(1, 8):
+        down = down * (x + i)
+    y = x + 8
+    z = 1 / (y * y)
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - F.log(down)
+
+
+def _up(context: str, depth: int) -> Column:
+    """The last `depth` bytes of a context."""
+    return F.col(context).bitwiseAND(F.lit((1 << 8 * depth) - 1).cast("long"))
+
+
+def _bits(grams: DataFrame, *others: str) -> DataFrame:
+    """ctx, at (the decision, 0 to 254), bit: eight rows for each gram (key)."""
+    d = grams.select("key", *others, F.expr("CAST(key & 255 AS INT) AS sym"), F.expr("explode(sequence(0, 7)) AS l"))
+    return d.select("key", *others, F.expr("shiftrightunsigned(key, 8) AS ctx"), F.expr("shiftleft(1, l) - 1 + shiftright(sym, 8 - l) AS at"), F.expr("shiftright(sym, 7 - l) & 1 AS bit"))
+
+
+def nodes(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
+    """A table for each depth: ctx, at and p, the probability of a one at this decision where the context's last bytes are
+    ctx and no deeper context has seen the decision. All contexts and decisions of the training texts have a row."""
+    half, levels = math.log(2), {}
+    for d in range(depth, -1, -1):
+        if d == depth:
+            seen = _bits(counts.where("kind = 1"), "n").groupBy("ctx", "at")
+            level = seen.agg(F.sum(F.expr("n * (1 - bit)")).alias("z"), F.sum(F.expr("n * bit")).alias("o"), F.lit(0.0).alias("below"))
+        else:
+            level = levels[d + 1].groupBy(_up("ctx", d).alias("ctx"), "at").agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.sum("weighted").alias("below"))
+        z, o = F.col("z").cast("double"), F.col("o").cast("double")
+        level = level.withColumn("own", _log_gamma(z + 0.5) + _log_gamma(o + 0.5) - _log_gamma(z + o + 1) - math.log(math.pi))
+        mean = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - half
+        levels[d] = materialize(level.withColumn("weighted", mean if d < depth else F.col("own")), f"lm-up-{d}")
+    out = []
+    for d in range(depth + 1):
+        level = levels[d].withColumn("share", F.exp(F.col("own") - half - F.col("weighted")) if d < depth else F.lit(1.0))
+        if d:
+            parent = out[-1].select(F.col("ctx").alias("up"), "at", "mixed", "left")
+            level = level.withColumn("up", _up("ctx", d - 1)).join(F.broadcast(parent) if d < 3 else parent, ["up", "at"])
+        else:
+            level = level.withColumn("mixed", F.lit(0.0)).withColumn("left", F.lit(1.0))
+        mixed = F.col("mixed") + F.col("left") * F.col("share") * (F.col("o") + 0.5) / (F.col("z") + F.col("o") + 1)
+        out.append(materialize(level.select("ctx", "at", mixed.alias("mixed"), (F.col("left") * (1 - F.col("share"))).alias("left")), f"lm-down-{d}"))
+    return [level.select("ctx", "at", (F.col("mixed") + F.col("left") / 2).alias("p")) for level in out]
+
+
+def values(grams: DataFrame, tree: list[DataFrame], trained: bool = False) -> DataFrame:
+    """key, value: log10 of the probability of each gram's lowest byte after the others, for distinct grams (key). Where all
+    of them are `trained`, their full contexts have seen each of their decisions."""
+    bits, p = _bits(grams), F.lit(0.5)
+    for d in range(len(tree) - 1 if trained else 0, len(tree)):
+        level = tree[d].select(F.col("ctx").alias("up"), "at", F.col("p").alias(f"p{d}"))
+        bits = bits.withColumn("up", _up("ctx", d)).join(F.broadcast(level) if d < 2 else level, ["up", "at"], "left").drop("up")
+        p = F.coalesce(f"p{d}", p)
+    tiny = 1e-12
+    p = F.greatest(F.lit(tiny), F.least(F.lit(1 - tiny), p))
+    return bits.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))).alias("value"))
+
+
+def _lists(of: np.ndarray, keys: np.ndarray, n: int) -> list[pa.ListArray]:
+    """For each of n rows its distinct keys, and how often it has them."""
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(of))).astype(np.int32)
+    ends = np.searchsorted(of[first], np.arange(n + 1)).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends), x) for x in (_signed(keys[first]), pa.array(times))]
+
+
+def _sorted(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column(1).to_numpy()[order]
+
+
+def _find(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted known keys, and whether the key is there."""
+    place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+    return place, known[place] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def _pairs(scored: DataFrame, keys: str, times: str) -> DataFrame:
+    """row, key, times of the keys that were not looked up."""
+    return scored.select("row", F.explode(F.arrays_zip(keys, times)).alias("x")).select("row", F.col(f"x.{keys}").alias("key"), F.col(f"x.{times}").alias("times"))
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, common: int = COMMON, often_grams: int = GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte, a row for each row.
 
     Rows whose crc32(key as text) mod 7 is 2 are held out; a null key counts as the empty text, so it is in training.
@@ -264,44 +359,42 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int =
     words = counts.where("kind = 0")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     least = _least(words, common)
-    often = words.where(F.col("n") >= least).select("key", "n").toArrow()
-    often_keys = often.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(often_keys)
-    model = spark.sparkContext.broadcast((tree_of(counts, depth, contexts), often_keys[order], np.log10(often.column("n").to_numpy()[order] + 1.0)))
+    often, often_n = _sorted(words.where(F.col("n") >= least).select("key", "n").toArrow())
+    tree, trained = nodes(counts, depth), counts.where("kind = 1")
+    cached = values(trained.where(F.col("n") >= _least(trained, often_grams)).select("key"), tree, trained=True)
+    model = spark.sparkContext.broadcast((_sorted(cached.toArrow()), (often, np.log10(often_n + 1.0))))
     n_all, per_token = int(total.n), float(np.log10(total.n + (total.v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, value = model.value
+        (known_grams, log_p), (known, value) = model.value
         for batch in batches:
             for part in slices(batch, "t"):
                 data, offsets = text_bytes(part.column("t"))
                 data, n = LOWER[data], len(part)
                 at = np.repeat(np.arange(n), np.diff(offsets))
-                p = np.bincount(at, weights=tree.log10(grams(data, offsets, depth)), minlength=n)
+                g = grams(data, offsets, depth)
+                distinct, which = np.unique(g, return_inverse=True)
+                place, hit = _find(distinct, known_grams)
+                p = np.zeros(len(distinct))
+                p[hit] = log_p[place[hit]]
+                p = np.bincount(at, weights=p[which], minlength=n)
+                missed = ~hit[which]
                 h, n_words = _words(data, offsets)
                 doc = np.concatenate([np.repeat(np.arange(n), n_words), np.arange(n)])
                 h = np.concatenate([h, np.full(n, END_KEY)])
-                place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                hit = known[place] == h if len(known) else np.zeros(len(h), bool)
+                place, hit = _find(h, known)
                 base = np.bincount(doc[hit], weights=value[place[hit]], minlength=n) - (n_words + 1) * per_token
-                seldom, of = h[~hit], doc[~hit]
-                order = np.lexsort((seldom, of))
-                seldom, of = seldom[order], of[order]
-                new = np.ones(len(of), bool)
-                new[1:] = (of[1:] != of[:-1]) | (seldom[1:] != seldom[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(of))).astype(np.int32)
-                ends = np.searchsorted(of[first], np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (_signed(seldom[first]), pa.array(times))]
+                lists = _lists(doc[~hit], h[~hit], n) + _lists(at[missed], g[missed], n)
                 columns = [part.column("k"), part.column("held"), pa.array(n_words + 1, pa.int64()), pa.array(np.bincount(doc[hit], minlength=n), pa.int64()), pa.array(base.astype(np.float64)), pa.array(p.astype(np.float64)), pa.array(np.diff(offsets), pa.int64()), *lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "held", "n_tokens", "n_known", "base", "p", "n_bytes", "seldom", "times"])
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "held", "n_tokens", "n_known", "base", "p", "n_bytes", "seldom", "times", "grams", "gram_times"])
 
-    scored = rows.mapInArrow(run, "k long, held boolean, n_tokens long, n_known long, base double, p double, n_bytes long, seldom array<long>, times array<int>")
+    scored = rows.mapInArrow(run, "k long, held boolean, n_tokens long, n_known long, base double, p double, n_bytes long, seldom array<long>, times array<int>, grams array<long>, gram_times array<int>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    pairs = scored.select("row", F.explode(F.arrays_zip("seldom", "times")).alias("x")).select("row", F.col("x.seldom").alias("key"), F.col("x.times").alias("times"))
     rest = words.where(F.col("n") < least).select("key", F.log10(F.col("n") + 1).alias("value"))
-    rest = pairs.join(rest, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.col("value")).alias("more_base"))
-    out = scored.drop("seldom", "times").join(rest, "row", "left")
+    rest = _pairs(scored, "seldom", "times").join(rest, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.col("value")).alias("more_base"))
+    missed = _pairs(scored, "grams", "gram_times")
+    missed = missed.join(values(missed.select("key").distinct(), tree), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more_p"))
+    out = scored.drop("seldom", "times", "grams", "gram_times").join(rest, "row", "left").join(missed, "row", "left").withColumn("p", F.col("p") + F.coalesce("more_p", F.lit(0.0)))
     return out.select(
         F.col("k").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), F.col("p").alias("score"), F.when(F.col("n_bytes") > 0, -F.col("p") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),

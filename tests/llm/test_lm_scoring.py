@@ -101,6 +101,22 @@ def test_every_context_gives_a_distribution(spark, contexts):
     assert len(tree.rows) <= 2 * contexts + 2
 
 
+@pytest.mark.parametrize("often", [L.GRAMS, 300, 0])
+def test_all_contexts_count_whatever_is_cached(spark, often):
+    """More contexts than CONTEXTS: scores are those of the tree of all of them."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 300))) for i in range(120)]
+    docs = table(spark, rows)
+    training = [r for r in rows if not held(r[0])]
+    counts = L.count(table(spark, training).selectExpr("false AS held", "text AS t"), L.DEPTH).cache()
+    tree = L.tree_of(counts, L.DEPTH, 10**9)
+    assert len(tree.step) > L.CONTEXTS
+    got = {r.doc_id: r.score for r in L.score(docs, often_grams=often).collect()}
+    for k, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        assert np.isclose(got[k], tree.log10(L.grams(data, np.array([0, len(data)]), L.DEPTH)).sum(), rtol=1e-5), k
+
+
 def test_held_out_accuracy_grows_with_depth(spark):
     rows = [(i, t) for i, t in enumerate(prose(200, 3, 200, 300))]
     bits = []
