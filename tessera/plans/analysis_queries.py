@@ -43,7 +43,7 @@ _CS = "(2 * (ab - ma * mb) + 58.5225) / ((aa - ma * ma) + (bb - mb * mb) + 58.52
 
 @query("ssim", f"WITH {PX}, {PAIR}, w AS (SELECT image_id, c, wy, wx, {_MOM} FROM pair JOIN range(25) p(wy) ON y BETWEEN wy AND wy + 7 JOIN range(25) q(wx) ON x BETWEEN wx AND wx + 7 WHERE image_id < 10 GROUP BY ALL), k AS (SELECT image_id, c, avg({_LUM} * {_CS}) AS s FROM w GROUP BY ALL) SELECT image_id, {s4('avg(s)')} AS ssim FROM k GROUP BY 1")
 def ssim(spark, sf):
-    return A.ssim(_pair(spark, sf).where("image_id < 10"), 32, 32).select(*longs("image_id"), r4(F.col("ssim")).alias("ssim"))
+    return A.ssim(_pair(spark, sf), 32, 32).select(*longs("image_id"), r4(F.col("ssim")).alias("ssim"))
 
 
 _SCALE = lambda n, src: f"SELECT image_id, avg({_LUM}) AS lum, avg({_CS}) AS cs FROM (SELECT image_id, c, y // 8, x // 8, {_MOM} FROM {src} GROUP BY ALL) GROUP BY 1"
