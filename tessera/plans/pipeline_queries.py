@@ -66,8 +66,16 @@ def block_coding_cost(spark, sf):
 
 @query("lossless_round_trip", f"WITH {PX} SELECT {K}, v FROM px WHERE image_id < 4")
 def lossless_round_trip(spark, sf):
+    return _lossless(R.embedding_pictures(spark, sf).where("image_id < 4"))
+
+
+@query("lossless_round_trip_all", f"WITH {PX} SELECT {K}, v FROM px")
+def lossless_round_trip_all(spark, sf):
+    return _lossless(R.embedding_pictures(spark, sf))
+
+
+def _lossless(px: DataFrame) -> DataFrame:
     """Colour transform, extended prediction and wavelet of the residuals, and all the way back."""
-    px = R.embedding_pictures(spark, sf).where("image_id < 4")
     ycc = C.rct_forward(px).withColumn("v", F.col("v") + 256)  # differences as samples
     coded = W.forward(P.extended_residuals(ycc, 32, 32).select(*KEYS, F.col("r").cast("int").alias("v")), 32, 32)
     back = P.extended_rebuild(W.inverse(coded, 32, 32).withColumnRenamed("v", "r"), 32, 32)

@@ -250,7 +250,15 @@ def tree_residual(spark, sf):
 
 @query("extended_tree_round_trip", f"WITH {PX} SELECT {K}, v FROM px WHERE image_id < 4")
 def extended_tree_round_trip(spark, sf):
-    px = R.embedding_pictures(spark, sf).where("image_id < 4")
+    return _extended(R.embedding_pictures(spark, sf).where("image_id < 4"))
+
+
+@query("extended_tree_round_trip_all", f"WITH {PX} SELECT {K}, v FROM px")
+def extended_tree_round_trip_all(spark, sf):
+    return _extended(R.embedding_pictures(spark, sf))
+
+
+def _extended(px):
     return P.extended_rebuild(P.extended_residuals(px, 32, 32), 32, 32).select(*longs(*KEYS), F.col("v").cast("int").alias("v"))
 
 

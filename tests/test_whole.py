@@ -41,3 +41,11 @@ def test_ssim_of_every_picture(spark, folder):
         want[i] = np.mean(s)
     got = {r.image_id: r.ssim for r in QUERIES["ssim"](spark, folder).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+
+
+@pytest.mark.parametrize("name", ["lossless_round_trip_all", "extended_tree_round_trip_all"])
+def test_every_picture_comes_back(spark, folder, name):
+    got = np.full((PICTURES, 3, 32, 32), -1)
+    for r in QUERIES[name](spark, folder).collect():
+        got[r.image_id, r.c, r.y, r.x] = r.v
+    assert (got == pictures(folder)).all()
