@@ -151,6 +151,26 @@ def byte_differences(spark, sf):
     return d.select("id", "at", one("a").alias("a"), one("b").alias("b")).where("a <> b").orderBy("id", "at").limit(20)
 
 
+@query("byte_compare_all", "WITH d AS (SELECT doc_id AS id, octet_length(encode(text)) AS a, substr(text, 1, greatest(length(text) - 4, 0)) AS p FROM documents), s AS (SELECT id, coalesce(a, 0) AS a, coalesce(octet_length(encode(p)), 0) AS b, coalesce(p, '') AS p FROM d) SELECT id, a::INT AS size_a, b::INT AS size_b, (length(p) - length(replace(p, 'e', '')) + a - b)::INT AS differing, CASE WHEN contains(p, 'e') THEN octet_length(encode(split_part(p, 'e', 1))) WHEN a > b THEN b ELSE -1 END::INT AS first_offset, " + s4("b::DOUBLE / nullif(a, 0)") + " AS ratio FROM s")
+def byte_compare_all(spark, sf):
+    """Whole texts against copies without their last four characters, with other letters for e."""
+    d = R.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    a = d.select("id", F.encode("text", "utf-8").alias("data"))
+    b = d.select("id", F.encode(F.replace(F.expr("substring(text, 1, greatest(length(text) - 4, 0))"), F.lit("e"), F.lit("a")), "utf-8").alias("data"))
+    return A.byte_compare(a, b).select("id", "size_a", "size_b", "differing", "first_offset", r4(F.col("ratio")).alias("ratio"))
+
+
+@query("byte_differences_all", "WITH d AS (SELECT doc_id AS id, string_split(text, 'e') AS p FROM documents), o AS (SELECT id, unnest(range(1, len(p))) AS i, unnest(p[:-2]) AS t FROM d), s AS (SELECT id, i, sum(octet_length(encode(t)) + 1) OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM o) SELECT id, pos::INT AS \"at\", '65' AS a, '61' AS b FROM s WHERE i <= 20")
+def byte_differences_all(spark, sf):
+    """The first 20 differing bytes of each document, over its whole text."""
+    data = lambda c: F.encode(c, "utf-8")
+    one = lambda x, i: F.substring(x, i, F.lit(1))
+    d = R.table(spark, sf, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("id"), "text")
+    odd = lambda a, b: F.slice(F.filter(F.sequence(F.lit(1), F.least(F.octet_length(a), F.octet_length(b))), lambda i: one(a, i) != one(b, i)), 1, 20)
+    first = S.let(data(F.col("text")), lambda a: S.let(data(F.replace("text", F.lit("e"), F.lit("a"))), lambda b: F.transform(odd(a, b), lambda i: F.struct((i - 1).alias("at"), F.hex(one(a, i)).alias("a"), F.hex(one(b, i)).alias("b")))))
+    return d.select("id", F.explode(first).alias("x")).select("id", "x.at", "x.a", "x.b")
+
+
 @query("tiles", f"WITH {PX} SELECT image_id, c, y // 12 AS ty, x // 12 AS tx, sum(v)::BIGINT AS total, count(*) AS n, least(12, 32 - x // 12 * 12)::INT AS w, least(12, 32 - y // 12 * 12)::INT AS h FROM px GROUP BY ALL")
 def tiles(spark, sf):
     return A.tiles(R.embedding_pictures(spark, sf), 12, 32, 32).select(*longs("image_id", "c", "ty", "tx", "total", "n"), "w", "h")

@@ -49,3 +49,16 @@ def test_every_picture_comes_back(spark, folder, name):
     for r in QUERIES[name](spark, folder).collect():
         got[r.image_id, r.c, r.y, r.x] = r.v
     assert (got == pictures(folder)).all()
+
+
+def test_whole_texts_are_compared(spark, folder):
+    a, b = TEXT.encode(), TEXT[:-4].replace("e", "a").encode()
+    got = {r.id: r for r in QUERIES["byte_compare_all"](spark, folder).collect()}
+    assert len(got) == 3 and (got[30].size_a, got[30].size_b) == (len(a), len(b))
+    assert got[30].differing == sum(x != y for x, y in zip(a, b, strict=False)) + len(a) - len(b) and got[30].first_offset == a.index(b"e")
+
+
+def test_first_20_differences_of_each_text(spark, folder):
+    got = sorted((r.id, r.at, r.a, r.b) for r in QUERIES["byte_differences_all"](spark, folder).collect())
+    places = [i for i, x in enumerate(TEXT.encode()) if x == ord("e")]
+    assert len(places) > 20 and got == [(30, i, "65", "61") for i in places[:20]] + [(31, i, "65", "61") for i in range(20)]
