@@ -533,3 +533,10 @@ def block_sizes_table(spark, sf):
 def matrix_multiply(spark, sf):
     m = R.table(spark, sf, "embeddings").where("vec_id < 64").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
     return B.matrix_multiply(m, m.withColumnRenamed("i", "j")).select(*longs("i", "j"), r4(F.col("v")).alias("v"))
+
+
+@query("matrix_multiply_all", "WITH m AS (SELECT vec_id AS k, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.i AS i, b.i AS j, " + s4("sum(a.v * b.v)") + " AS v FROM m a JOIN m b USING (k) GROUP BY ALL")
+def matrix_multiply_all(spark, sf):
+    """The transposed matrix of all vectors times itself: 64 x 64, whatever the number of vectors."""
+    m = R.table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    return B.matrix_multiply(m, m.withColumnRenamed("i", "j")).select(*longs("i", "j"), r4(F.col("v")).alias("v"))

@@ -62,3 +62,11 @@ def test_first_20_differences_of_each_text(spark, folder):
     got = sorted((r.id, r.at, r.a, r.b) for r in QUERIES["byte_differences_all"](spark, folder).collect())
     places = [i for i, x in enumerate(TEXT.encode()) if x == ord("e")]
     assert len(places) > 20 and got == [(30, i, "65", "61") for i in places[:20]] + [(31, i, "65", "61") for i in range(20)]
+
+
+def test_every_vector_is_in_the_product(spark, folder):
+    e = np.array(pq.read_table(f"{folder}/embeddings.parquet")["embedding"].to_pylist(), np.float32).astype(np.float64)
+    got = np.zeros((64, 64))
+    for r in QUERIES["matrix_multiply_all"](spark, folder).collect():
+        got[r.i, r.j] = r.v
+    assert np.allclose(got, e.T @ e, atol=1e-4)
