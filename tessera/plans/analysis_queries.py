@@ -360,8 +360,9 @@ def spline_line(spark, sf):
 # containers
 
 
-def _files(spark, sf):
-    d = R.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.encode(F.substring("text", 1, 200), "utf-8").alias("t"), (F.col("doc_id") % 10).cast("int").alias("o"))
+def _files(spark, sf, whole=False):
+    text = F.col("text") if whole else F.substring("text", 1, 200)
+    d = R.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.encode(text, "utf-8").alias("t"), (F.col("doc_id") % 10).cast("int").alias("o"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("payload")) for k, p in (("jxlc", F.concat(F.unhex(F.lit("FF0A")), "t")), ("Exif", F.concat(X.big_endian(F.lit(0), 4), X.exif_block(F.col("o")))), ("xml ", F.encode(F.concat(F.lit("<x>"), F.col("file_id").cast("string"), F.lit("</x>")), "utf-8")), ("ftyp", F.encode(F.lit("jxl \0\0\0\0jxl "), "utf-8")), ("JXL ", F.lit(X.SIGNATURE)))])
     return d.select("file_id", F.posexplode(kinds).alias("seq", "b")).select("file_id", "seq", "b.kind", "b.payload")
 
@@ -382,6 +383,22 @@ def codestream(spark, sf):
     return X.codestream(X.containers(_files(spark, sf))).select("file_id", F.hex("stream").alias("stream"))
 
 
+@query("box_bytes_all", "SELECT doc_id AS file_id, format('{:08X}', octet_length(encode(text)) + 8) || hex('xml ') || hex(text) AS bytes FROM documents")
+def box_bytes_all(spark, sf):
+    t = F.encode("text", "utf-8")
+    return R.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.hex(X.box(F.lit("xml "), t)).alias("bytes"))
+
+
+@query("container_round_trip_all", "SELECT doc_id AS file_id, i::BIGINT AS seq, ['JXL ', 'ftyp', 'Exif', 'xml ', 'jxlc'][i + 1] AS kind, [4, 12, 30, octet_length(encode('<x>' || doc_id || '</x>')), octet_length(encode(text)) + 2][i + 1]::INT AS size FROM documents, range(5) t(i)")
+def container_round_trip_all(spark, sf):
+    return X.read_boxes(X.containers(_files(spark, sf, whole=True))).select("file_id", "seq", "kind", F.octet_length("payload").alias("size"))
+
+
+@query("codestream_all", "SELECT doc_id AS file_id, 'FF0A' || hex(encode(text)) AS stream FROM documents")
+def codestream_all(spark, sf):
+    return X.codestream(X.containers(_files(spark, sf, whole=True))).select("file_id", F.hex("stream").alias("stream"))
+
+
 @query("container_metadata", "SELECT doc_id AS file_id, '<x>' || doc_id || '</x>' AS xml, greatest(1, least(8, doc_id % 10))::INT AS orientation FROM documents")
 def container_metadata(spark, sf):
     d = X.metadata(X.containers(_files(spark, sf)))

@@ -70,3 +70,11 @@ def test_every_vector_is_in_the_product(spark, folder):
     for r in QUERIES["matrix_multiply_all"](spark, folder).collect():
         got[r.i, r.j] = r.v
     assert np.allclose(got, e.T @ e, atol=1e-4)
+
+
+def test_whole_texts_are_payloads(spark, folder):
+    data = TEXT.encode()
+    one = lambda name: QUERIES[name](spark, folder).where("file_id = 30")
+    assert one("box_bytes_all").first().bytes == ((len(data) + 8).to_bytes(4, "big") + b"xml " + data).hex().upper()
+    assert one("container_round_trip_all").where("kind = 'jxlc'").first().size == len(data) + 2
+    assert one("codestream_all").first().stream == (b"\xff\x0a" + data).hex().upper()
