@@ -41,7 +41,7 @@ _LUM = "(2 * ma * mb + 6.5025) / (ma * ma + mb * mb + 6.5025)"
 _CS = "(2 * (ab - ma * mb) + 58.5225) / ((aa - ma * ma) + (bb - mb * mb) + 58.5225)"
 
 
-@query("ssim", f"WITH {PX}, {PAIR}, w AS (SELECT image_id, c, wy, wx, {_MOM} FROM pair JOIN range(25) p(wy) ON y BETWEEN wy AND wy + 7 JOIN range(25) q(wx) ON x BETWEEN wx AND wx + 7 WHERE image_id < 10 GROUP BY ALL), k AS (SELECT image_id, c, avg({_LUM} * {_CS}) AS s FROM w GROUP BY ALL) SELECT image_id, {s4('avg(s)')} AS ssim FROM k GROUP BY 1")
+@query("ssim", f"WITH {PX}, {PAIR}, w AS (SELECT image_id, c, wy, wx, {_MOM} FROM pair JOIN range(25) p(wy) ON y BETWEEN wy AND wy + 7 JOIN range(25) q(wx) ON x BETWEEN wx AND wx + 7 GROUP BY ALL), k AS (SELECT image_id, c, avg({_LUM} * {_CS}) AS s FROM w GROUP BY ALL) SELECT image_id, {s4('avg(s)')} AS ssim FROM k GROUP BY 1")
 def ssim(spark, sf):
     return A.ssim(_pair(spark, sf), 32, 32).select(*longs("image_id"), r4(F.col("ssim")).alias("ssim"))
 
@@ -135,24 +135,8 @@ def pixmaps(spark, sf):
     return X.pixmaps(R.embedding_pictures(spark, sf), 32, 32).select(*longs("image_id"), F.hex("data").alias("bytes"))
 
 
-@query("byte_compare", "WITH d AS (SELECT doc_id AS id, hex(encode(substr(text, 1, 64))) AS a, hex(encode(replace(substr(text, 1, 60), 'e', 'a'))) AS b FROM documents), o AS (SELECT id, a, b, unnest(range(1, greatest(len(a), len(b)) // 2 + 1)) AS i FROM d), c AS (SELECT id, count(*) FILTER (substr(a, 2 * i - 1, 2) <> substr(b, 2 * i - 1, 2)) AS n, min(i) FILTER (substr(a, 2 * i - 1, 2) <> substr(b, 2 * i - 1, 2)) AS f FROM o GROUP BY 1) SELECT id, (len(a) // 2)::INT AS size_a, (len(b) // 2)::INT AS size_b, coalesce(n, 0)::INT AS differing, coalesce(f - 1, -1)::INT AS first_offset, " + s4("(len(b) // 2)::DOUBLE / nullif(len(a) // 2, 0)") + " AS ratio FROM d LEFT JOIN c USING (id)")
+@query("byte_compare", "WITH d AS (SELECT doc_id AS id, octet_length(encode(text)) AS a, substr(text, 1, greatest(length(text) - 4, 0)) AS p FROM documents), s AS (SELECT id, coalesce(a, 0) AS a, coalesce(octet_length(encode(p)), 0) AS b, coalesce(p, '') AS p FROM d) SELECT id, a::INT AS size_a, b::INT AS size_b, (length(p) - length(replace(p, 'e', '')) + a - b)::INT AS differing, CASE WHEN contains(p, 'e') THEN octet_length(encode(split_part(p, 'e', 1))) WHEN a > b THEN b ELSE -1 END::INT AS first_offset, " + s4("b::DOUBLE / nullif(a, 0)") + " AS ratio FROM s")
 def byte_compare(spark, sf):
-    d = R.table(spark, sf, "documents")
-    a = d.select(F.col("doc_id").alias("id"), F.encode(F.substring("text", 1, 64), "utf-8").alias("data"))
-    b = d.select(F.col("doc_id").alias("id"), F.encode(F.replace(F.substring("text", 1, 60), F.lit("e"), F.lit("a")), "utf-8").alias("data"))
-    return A.byte_compare(a, b).select("id", "size_a", "size_b", "differing", "first_offset", r4(F.col("ratio")).alias("ratio"))
-
-
-@query("byte_differences", "WITH d AS (SELECT doc_id AS id, hex(encode(substr(text, 1, 64))) AS a, hex(encode(replace(substr(text, 1, 64), 'e', 'a'))) AS b FROM documents WHERE doc_id < 20), o AS (SELECT id, unnest(range(0, len(a) // 2)) AS i, a, b FROM d) SELECT id, i::INT AS at, substr(a, 2 * i + 1, 2) AS a, substr(b, 2 * i + 1, 2) AS b FROM o WHERE substr(a, 2 * i + 1, 2) <> substr(b, 2 * i + 1, 2) ORDER BY id, i LIMIT 20")
-def byte_differences(spark, sf):
-    d = R.table(spark, sf, "documents").where("doc_id < 20").select(F.col("doc_id").alias("id"), F.encode(F.substring("text", 1, 64), "utf-8").alias("a"), F.encode(F.replace(F.substring("text", 1, 64), F.lit("e"), F.lit("a")), "utf-8").alias("b"))
-    d = d.where(F.octet_length("a") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.octet_length("a") - 1)))
-    one = lambda k: F.hex(F.substring(F.col(k), F.col("at") + 1, F.lit(1)))
-    return d.select("id", "at", one("a").alias("a"), one("b").alias("b")).where("a <> b").orderBy("id", "at").limit(20)
-
-
-@query("byte_compare_all", "WITH d AS (SELECT doc_id AS id, octet_length(encode(text)) AS a, substr(text, 1, greatest(length(text) - 4, 0)) AS p FROM documents), s AS (SELECT id, coalesce(a, 0) AS a, coalesce(octet_length(encode(p)), 0) AS b, coalesce(p, '') AS p FROM d) SELECT id, a::INT AS size_a, b::INT AS size_b, (length(p) - length(replace(p, 'e', '')) + a - b)::INT AS differing, CASE WHEN contains(p, 'e') THEN octet_length(encode(split_part(p, 'e', 1))) WHEN a > b THEN b ELSE -1 END::INT AS first_offset, " + s4("b::DOUBLE / nullif(a, 0)") + " AS ratio FROM s")
-def byte_compare_all(spark, sf):
     """Whole texts against copies without their last four characters, with other letters for e."""
     d = R.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     a = d.select("id", F.encode("text", "utf-8").alias("data"))
@@ -160,8 +144,8 @@ def byte_compare_all(spark, sf):
     return A.byte_compare(a, b).select("id", "size_a", "size_b", "differing", "first_offset", r4(F.col("ratio")).alias("ratio"))
 
 
-@query("byte_differences_all", "WITH d AS (SELECT doc_id AS id, string_split(text, 'e') AS p FROM documents), o AS (SELECT id, unnest(range(1, len(p))) AS i, unnest(p[:-2]) AS t FROM d), s AS (SELECT id, i, sum(octet_length(encode(t)) + 1) OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM o) SELECT id, pos::INT AS \"at\", '65' AS a, '61' AS b FROM s WHERE i <= 20")
-def byte_differences_all(spark, sf):
+@query("byte_differences", "WITH d AS (SELECT doc_id AS id, string_split(text, 'e') AS p FROM documents), o AS (SELECT id, unnest(range(1, len(p))) AS i, unnest(p[:-2]) AS t FROM d), s AS (SELECT id, i, sum(octet_length(encode(t)) + 1) OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM o) SELECT id, pos::INT AS \"at\", '65' AS a, '61' AS b FROM s WHERE i <= 20")
+def byte_differences(spark, sf):
     """The first 20 differing bytes of each document, over its whole text."""
     data = lambda c: F.encode(c, "utf-8")
     one = lambda x, i: F.substring(x, i, F.lit(1))
@@ -360,45 +344,28 @@ def spline_line(spark, sf):
 # containers
 
 
-def _files(spark, sf, whole=False):
-    text = F.col("text") if whole else F.substring("text", 1, 200)
-    d = R.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.encode(text, "utf-8").alias("t"), (F.col("doc_id") % 10).cast("int").alias("o"))
+def _files(spark, sf):
+    d = R.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "utf-8").alias("t"), (F.col("doc_id") % 10).cast("int").alias("o"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("payload")) for k, p in (("jxlc", F.concat(F.unhex(F.lit("FF0A")), "t")), ("Exif", F.concat(X.big_endian(F.lit(0), 4), X.exif_block(F.col("o")))), ("xml ", F.encode(F.concat(F.lit("<x>"), F.col("file_id").cast("string"), F.lit("</x>")), "utf-8")), ("ftyp", F.encode(F.lit("jxl \0\0\0\0jxl "), "utf-8")), ("JXL ", F.lit(X.SIGNATURE)))])
     return d.select("file_id", F.posexplode(kinds).alias("seq", "b")).select("file_id", "seq", "b.kind", "b.payload")
 
 
-@query("box_bytes", "SELECT doc_id AS file_id, format('{:08X}', octet_length(encode(t)) + 8) || hex('xml ') || hex(t) AS bytes FROM (SELECT doc_id, substr(text, 1, 100) AS t FROM documents)")
+@query("box_bytes", "SELECT doc_id AS file_id, format('{:08X}', octet_length(encode(text)) + 8) || hex('xml ') || hex(text) AS bytes FROM documents")
 def box_bytes(spark, sf):
-    t = F.encode(F.substring("text", 1, 100), "utf-8")
+    t = F.encode("text", "utf-8")
     return R.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.hex(X.box(F.lit("xml "), t)).alias("bytes"))
 
 
-@query("container_round_trip", "SELECT doc_id AS file_id, i::BIGINT AS seq, ['JXL ', 'ftyp', 'Exif', 'xml ', 'jxlc'][i + 1] AS kind, [4, 12, 30, octet_length(encode('<x>' || doc_id || '</x>')), octet_length(encode(substr(text, 1, 200))) + 2][i + 1]::INT AS size FROM documents, range(5) t(i)")
+@query("container_round_trip", "SELECT doc_id AS file_id, i::BIGINT AS seq, ['JXL ', 'ftyp', 'Exif', 'xml ', 'jxlc'][i + 1] AS kind, [4, 12, 30, octet_length(encode('<x>' || doc_id || '</x>')), octet_length(encode(text)) + 2][i + 1]::INT AS size FROM documents, range(5) t(i)")
 def container_round_trip(spark, sf):
     return X.read_boxes(X.containers(_files(spark, sf))).select("file_id", "seq", "kind", F.octet_length("payload").alias("size"))
 
 
-@query("codestream", "SELECT doc_id AS file_id, 'FF0A' || hex(encode(substr(text, 1, 200))) AS stream FROM documents")
+@query("codestream", "SELECT doc_id AS file_id, 'FF0A' || hex(encode(text)) AS stream FROM documents")
 def codestream(spark, sf):
     return X.codestream(X.containers(_files(spark, sf))).select("file_id", F.hex("stream").alias("stream"))
 
 
-@query("box_bytes_all", "SELECT doc_id AS file_id, format('{:08X}', octet_length(encode(text)) + 8) || hex('xml ') || hex(text) AS bytes FROM documents")
-def box_bytes_all(spark, sf):
-    t = F.encode("text", "utf-8")
-    return R.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.hex(X.box(F.lit("xml "), t)).alias("bytes"))
-
-
-@query("container_round_trip_all", "SELECT doc_id AS file_id, i::BIGINT AS seq, ['JXL ', 'ftyp', 'Exif', 'xml ', 'jxlc'][i + 1] AS kind, [4, 12, 30, octet_length(encode('<x>' || doc_id || '</x>')), octet_length(encode(text)) + 2][i + 1]::INT AS size FROM documents, range(5) t(i)")
-def container_round_trip_all(spark, sf):
-    return X.read_boxes(X.containers(_files(spark, sf, whole=True))).select("file_id", "seq", "kind", F.octet_length("payload").alias("size"))
-
-
-@query("codestream_all", "SELECT doc_id AS file_id, 'FF0A' || hex(encode(text)) AS stream FROM documents")
-def codestream_all(spark, sf):
-    return X.codestream(X.containers(_files(spark, sf, whole=True))).select("file_id", F.hex("stream").alias("stream"))
-
-
 @query("container_metadata", "SELECT doc_id AS file_id, '<x>' || doc_id || '</x>' AS xml, greatest(1, least(8, doc_id % 10))::INT AS orientation FROM documents")
 def container_metadata(spark, sf):
     d = X.metadata(X.containers(_files(spark, sf)))

@@ -64,13 +64,8 @@ def block_coding_cost(spark, sf):
     return d.groupBy(*longs("image_id", "c")).agg(F.count(F.lit(1)).alias("blocks"), r4(F.avg("a")).alias("activity"), r4(F.avg(B.adaptive_scale(F.col("a")))).alias("scale"))
 
 
-@query("lossless_round_trip", f"WITH {PX} SELECT {K}, v FROM px WHERE image_id < 4")
+@query("lossless_round_trip", f"WITH {PX} SELECT {K}, v FROM px")
 def lossless_round_trip(spark, sf):
-    return _lossless(R.embedding_pictures(spark, sf).where("image_id < 4"))
-
-
-@query("lossless_round_trip_all", f"WITH {PX} SELECT {K}, v FROM px")
-def lossless_round_trip_all(spark, sf):
     return _lossless(R.embedding_pictures(spark, sf))
 
 

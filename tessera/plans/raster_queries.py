@@ -53,21 +53,41 @@ def gen_noise(spark, sf):
     return R.noise(spark, 32, 32, [42, 43])
 
 
-_D = "sqrt((x - 16.0) * (x - 16.0) + (y - 16.0) * (y - 16.0))"
+_RINGS = "((u - 0.5) * (u - 0.5) + (t - 0.5) * (t - 0.5))"
+_SPOT = "((u - 0.3) * (u - 0.3) + (t - 0.6) * (t - 0.6))"
+_FACE = "((u - 0.5) * (u - 0.5) / 0.08 + (t - 0.45) * (t - 0.45) / 0.13)"
+_LEAF = "(abs(sin(9 * u + 4 * t) + sin(11 * t - 3 * u)) / 2)"
+_INK = "(y % 8 < 5 AND (x * 7 + y // 8 * 5 + floor(u * 11) * 11) % 4 <> 0)"
+_DOT = "(x % 9 = 4 AND y % 7 = 3)"
+_LINE = "(abs(t - 0.5) < 0.02 OR abs(u - 0.5) < 0.02)"
+_case = lambda *cases: [f"CASE WHEN {c} THEN {a} ELSE {b} END" for c, a, b in cases]
 _PICTURES_SQL = {
-    "smooth_gradient": ("gradient", ["(x + y) / 62.0::DOUBLE * 200 + 30", "(x + y) / 62.0::DOUBLE * 150 + 50", "(1 - (x + y) / 62.0::DOUBLE) * 180 + 40"]),
-    "radial_gradient": ("gradient", [f"(1 - least(1.0::DOUBLE, {_D}::DOUBLE / sqrt(512.0::DOUBLE))) * {k}" for k in (255, 220, 200)]),
-    "stripes": ("edges", ["[255, 0, 0, 255][(x // 2) % 4 + 1]", "[0, 255, 0, 255][(x // 2) % 4 + 1]", "[0, 0, 255, 0][(x // 2) % 4 + 1]"]),
-    "waves": ("texture", [f"(sin(x / 31.0::DOUBLE * 8 * {a} + y / 31.0::DOUBLE * 8 * {b} + {s}) * 0.5 + 0.5) * 255" for a, b, s in (("1.7::DOUBLE", "0.9::DOUBLE", "0.0::DOUBLE"), ("0.8::DOUBLE", "2.1::DOUBLE", "1.5::DOUBLE"), ("1.3::DOUBLE", "1.5::DOUBLE", "3.0::DOUBLE"))]),
-    "colour_bars": ("synthetic", [f"{v}[least(x // 4, 7) + 1]" for v in ([255, 255, 0, 0, 255, 255, 0, 0], [255, 255, 255, 255, 0, 0, 0, 0], [255, 0, 255, 0, 255, 0, 255, 0])]),
-    "zone_plate": ("synthetic", [f"(sin({_D}::DOUBLE / sqrt(512.0::DOUBLE) * 20.0::DOUBLE * {_D}::DOUBLE * 0.1::DOUBLE) * 0.5 + 0.5) * 255"] * 3),
-    "fine_gradient": ("gradient", ["x / 31.0::DOUBLE * 10 + 120", "y / 31.0::DOUBLE * 10 + 125", "(x / 31.0::DOUBLE + y / 31.0::DOUBLE) * 5 + 130"]),
-    "screen": ("screen", [f"CASE WHEN x >= 8 AND x < 24 AND y >= 16 AND y < 19 THEN {b} WHEN y < 4 THEN {d} ELSE 245 END" for b, d in ((30, 50), (120, 50), (230, 60))]),
+    "dusk": ("a", "gradient", ["60 + 140 * t", "70 + 60 * t * (1 - u)", "190 - 120 * t"]),
+    "spotlight": ("a", "gradient", [f"230 / (1 + 6 * {_SPOT})", f"210 / (1 + 9 * {_SPOT})", f"160 / (1 + 14 * {_SPOT})"]),
+    "tiles": ("a", "edges", [f"{v}[CAST(floor(u * 6) * 2 + floor(t * 6) * 3 AS INT) % 5 + 1]" for v in ([12, 240, 128, 60, 200], [200, 30, 128, 90, 220], [90, 60, 10, 180, 30])]),
+    "ripples": ("a", "texture", ["127.5 + 100 * sin(20 * u) * cos(14 * t)", "127.5 + 90 * cos(17 * u + 9 * t)", "127.5 + 80 * sin(23 * t)"]),
+    "portrait": ("a", "photographic", _case(*[(f"{_FACE} < 1", f"{a} - {b} * {_FACE}", f"{c} + {d} * t") for a, b, c, d in ((225, 35, 50, 20), (180, 40, 80, 30), (150, 45, 110, 30))])),
+    "meadow": ("a", "photographic", _case(("t < 0.4", "135", "60 + 25 * sin(31 * u + 47 * t)"), ("t < 0.4", "185 + 40 * t", "130 + 40 * sin(41 * u) * cos(53 * t)"), ("t < 0.4", "235", "50"))),
+    "window": ("a", "screen", [f"CASE WHEN t < 0.1 THEN {a} WHEN u > 0.6 AND u < 0.9 AND t > 0.8 AND t < 0.92 THEN {b} ELSE {c} END" for a, b, c in ((35, 40, 250), (45, 140, 250), (90, 90, 248))]),
+    "mixed": ("a", "mixed", [f"CASE WHEN x < 16 THEN {a} WHEN (x // 2 + y // 2) % 2 = 0 THEN 230 ELSE 25 END" for a in ("255 * t", "510 * u", "90")]),
+    "bars": ("b", "synthetic", [f"{v}[CAST(floor(u * 7) AS INT) + 1]" for v in ([200, 30, 30, 200, 90, 240, 10], [40, 180, 60, 190, 90, 240, 10], [50, 70, 200, 40, 90, 240, 10])]),
+    "rings": ("b", "synthetic", [f"127.5 + 120 * cos(180 * {_RINGS})"] * 3),
+    "shallow": ("b", "gradient", ["100 + 8 * u", "104 + 8 * t", "108 + 4 * (u + t)"]),
+    "dots": ("b", "edges", _case((_DOT, "255", "0")) * 3),
+    "diagram": ("c", "diagram", [f"CASE WHEN {_LINE} THEN 30 WHEN greatest(u, t) < 0.35 AND least(u, t) > 0.1 THEN {a} WHEN greatest(u, t) < 0.9 AND least(u, t) > 0.65 THEN {b} ELSE 255 END" for a, b in ((90, 220), (160, 150), (220, 80))]),
+    "leaf": ("c", "nature", [f"{a} + {b} * {_LEAF}" for a, b in ((30, 60), (90, 120), (20, 40))]),
+    "poster": ("c", "illustration", [f"CASE WHEN {_RINGS} < 0.09 THEN {a} WHEN t > 0.5 + abs(u - 0.5) THEN {b} ELSE {c} END" for a, b, c in ((230, 40, 245), (70, 90, 220), (60, 160, 150))]),
+    "letters": ("c", "text", _case((_INK, "20", "245"), (_INK, "20", "245"), (_INK, "25", "240"))),
 }
+_PLACES = f"(SELECT c, y, x, (x + 0.5::DOUBLE) / 32 AS u, (y + 0.5::DOUBLE) / 32 AS t FROM {GRID()})"
 
 
-@query("corpus_pictures", " UNION ALL ".join(f"SELECT '{n}' AS name, '{cat}' AS category, c, y, x, CAST(floor(CASE c WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {d} END) AS INT) AS v FROM {GRID()}" for n, (cat, (a, b, d)) in _PICTURES_SQL.items()))
+@query("corpus_pictures", " UNION ALL ".join(
+    f"SELECT '{s}' AS \"set\", '{n}' AS name, '{cat}' AS category, c, y, x, CAST(floor(CASE c WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {d} END) AS INT) AS v FROM {_PLACES}"
+    for n, (s, cat, (a, b, d)) in _PICTURES_SQL.items()
+))
 def corpus_pictures(spark, sf):
+    """All sixteen pictures of the three sets."""
     return R.corpus(spark, 32, 32)
 
 
@@ -248,13 +268,8 @@ def tree_residual(spark, sf):
     return P.tree_predict(R.embedding_pictures(spark, sf), 32).select(*longs(*KEYS), F.col("context").cast("int").alias("context"), F.col("r").cast("int").alias("r"))
 
 
-@query("extended_tree_round_trip", f"WITH {PX} SELECT {K}, v FROM px WHERE image_id < 4")
+@query("extended_tree_round_trip", f"WITH {PX} SELECT {K}, v FROM px")
 def extended_tree_round_trip(spark, sf):
-    return _extended(R.embedding_pictures(spark, sf).where("image_id < 4"))
-
-
-@query("extended_tree_round_trip_all", f"WITH {PX} SELECT {K}, v FROM px")
-def extended_tree_round_trip_all(spark, sf):
     return _extended(R.embedding_pictures(spark, sf))
 
 
@@ -529,14 +544,8 @@ def block_sizes_table(spark, sf):
     return spark.createDataFrame([(f"{w}x{h}", w * h) for w, h in B.SIZES], "name string, samples int")
 
 
-@query("matrix_multiply", "WITH m AS (SELECT vec_id AS i, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 64) SELECT a.i AS i, b.i AS j, " + s4("sum(a.v * b.v)") + " AS v FROM m a JOIN m b USING (k) GROUP BY ALL")
+@query("matrix_multiply", "WITH m AS (SELECT vec_id AS k, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.i AS i, b.i AS j, " + s4("sum(a.v * b.v)") + " AS v FROM m a JOIN m b USING (k) GROUP BY ALL")
 def matrix_multiply(spark, sf):
-    m = R.table(spark, sf, "embeddings").where("vec_id < 64").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
-    return B.matrix_multiply(m, m.withColumnRenamed("i", "j")).select(*longs("i", "j"), r4(F.col("v")).alias("v"))
-
-
-@query("matrix_multiply_all", "WITH m AS (SELECT vec_id AS k, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.i AS i, b.i AS j, " + s4("sum(a.v * b.v)") + " AS v FROM m a JOIN m b USING (k) GROUP BY ALL")
-def matrix_multiply_all(spark, sf):
     """The transposed matrix of all vectors times itself: 64 x 64, whatever the number of vectors."""
     m = R.table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
     return B.matrix_multiply(m, m.withColumnRenamed("i", "j")).select(*longs("i", "j"), r4(F.col("v")).alias("v"))

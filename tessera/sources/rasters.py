@@ -7,6 +7,7 @@ a picture of any size is made in parallel; only the pseudo-random one is sequent
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -105,77 +106,103 @@ def noise(spark: SparkSession, width: int, height: int, seeds: list[int], channe
     return rows.mapInPandas(run, "image_id long, c long, y long, x long, v int")
 
 
-def _smooth(spark, w, h):
-    t = (F.col("x") + F.col("y")) / float(max(w + h - 2, 1))
-    return [_trunc(t * 200 + 30), _trunc(t * 150 + 50), _trunc((1 - t) * 180 + 40)]
+def _sun(u: Column, t: Column, x: float, y: float) -> Column:
+    """Squared distance to a point."""
+    return (u - x) * (u - x) + (t - y) * (t - y)
 
 
-def _radial(spark, w, h):
-    cx, cy = w / 2, h / 2
-    t = F.least(F.lit(1.0), F.sqrt((F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy)) / float(np.sqrt(cx * cx + cy * cy)))
-    return [_trunc((1 - t) * k) for k in (255, 220, 200)]
+def _inside(v: Column, low: float, high: float) -> Column:
+    return (v > low) & (v < high)
 
 
-def _palette(index: Column, colours: list[tuple[int, int, int]]) -> list[Column]:
-    return [F.element_at(F.array(*[F.lit(c[k]) for c in colours]), (index + 1).cast("int")) for k in range(3)]
+def _choose(cases: list[tuple[Column, tuple]], other: tuple) -> list[Column]:
+    """Per channel, the value of the first case that holds."""
+    out = []
+    for k in range(3):
+        value = F.when(cases[0][0], cases[0][1][k])
+        for when, colour in cases[1:]:
+            value = value.when(when, colour[k])
+        out.append(value.otherwise(other[k]))
+    return out
+
+
+def _listed(index: Column, *channels: tuple[int, ...]) -> list[Column]:
+    return [F.element_at(F.array(*map(F.lit, c)), (index + 1).cast("int")) for c in channels]
+
+
+def _portrait(u: Column, t: Column) -> list[Column]:
+    e = (u - 0.5) * (u - 0.5) / 0.08 + (t - 0.45) * (t - 0.45) / 0.13
+    return _choose([(e < 1, (225 - 35 * e, 180 - 40 * e, 150 - 45 * e))], (50 + 20 * t, 80 + 30 * t, 110 + 30 * t))
 
 
-def _stripes(spark, w, h):
-    return _palette(F.expr(f"(x div {max(1, w // 16)}) % 4"), [(255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0)])
+def _meadow(u: Column, t: Column) -> list[Column]:
+    grass = (60 + 25 * F.sin(31 * u + 47 * t), 130 + 40 * F.sin(41 * u) * F.cos(53 * t), 50)
+    return _choose([(t < 0.4, (135, 185 + 40 * t, 235))], grass)
 
 
-def _waves(spark, w, h):
-    fx, fy = F.col("x") / float(max(w - 1, 1)) * 8, F.col("y") / float(max(h - 1, 1)) * 8
-    return [_trunc((F.sin(fx * a + fy * b + s) * 0.5 + 0.5) * 255) for a, b, s in ((1.7, 0.9, 0.0), (0.8, 2.1, 1.5), (1.3, 1.5, 3.0))]
+def _mixed(u: Column, t: Column) -> list[Column]:
+    check = (F.floor(u * 16) + F.floor(t * 16)) % 2 == 0
+    return _choose([(u < 0.5, (255 * t, 510 * u, 90)), (check, (230, 230, 230))], (25, 25, 25))
 
 
-def _bars(spark, w, h):
-    colours = [(255, 255, 255), (255, 255, 0), (0, 255, 255), (0, 255, 0), (255, 0, 255), (255, 0, 0), (0, 0, 255), (0, 0, 0)]
-    return _palette(F.expr(f"least(x div {max(1, w // 8)}, 7)"), colours)
+def _diagram(u: Column, t: Column) -> list[Column]:
+    line = (F.abs(t - 0.5) < 0.02) | (F.abs(u - 0.5) < 0.02)
+    first, second = (_inside(u, a, b) & _inside(t, a, b) for a, b in ((0.1, 0.35), (0.65, 0.9)))
+    return _choose([(line, (30, 30, 30)), (first, (90, 160, 220)), (second, (220, 150, 80))], (255, 255, 255))
 
 
-def _zones(spark, w, h):
-    cx, cy = w / 2, h / 2
-    r = F.sqrt((F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy))
-    v = _trunc((F.sin(r / float(np.sqrt(cx * cx + cy * cy)) * 20.0 * r * 0.1) * 0.5 + 0.5) * 255)
-    return [v, v, v]
+def _poster(u: Column, t: Column) -> list[Column]:
+    return _choose([(_sun(u, t, 0.5, 0.5) < 0.09, (230, 70, 60)), (t > 0.5 + F.abs(u - 0.5), (40, 90, 160))], (245, 220, 150))
 
 
-def _fine(spark, w, h):
-    tx, ty = F.col("x") / float(max(w - 1, 1)), F.col("y") / float(max(h - 1, 1))
-    return [_trunc(tx * 10 + 120), _trunc(ty * 10 + 125), _trunc((tx + ty) * 5 + 130)]
+def _letters(u: Column, t: Column) -> list[Column]:
+    ink = (F.floor(t * 32) % 8 < 5) & ((F.floor(u * 32) * 7 + F.floor(t * 4) * 5 + F.floor(u * 11) * 11) % 4 != 0)
+    return _choose([(ink, (20, 20, 25))], (245, 245, 240))
 
 
-def _screen(spark, w, h):
-    button = F.expr(f"x >= {w // 4} AND x < {w // 4 + w // 2} AND y >= {h // 2} AND y < {min(h // 2 + max(1, h // 10), h)}")
-    head = F.col("y") < max(1, h // 8)
-    return [F.when(button, b).when(head, d).otherwise(245) for b, d in ((30, 50), (120, 50), (230, 60))]
+def _leaf(u: Column, t: Column) -> list[Column]:
+    m = F.abs(F.sin(9 * u + 4 * t) + F.sin(11 * t - 3 * u)) / 2
+    return [30 + 60 * m, 90 + 120 * m, 20 + 40 * m]
 
 
-#: name: (category, expected compression from, to, channels' expressions)
+def _window(u: Column, t: Column) -> list[Column]:
+    return _choose([(t < 0.1, (35, 45, 90)), (_inside(u, 0.6, 0.9) & _inside(t, 0.8, 0.92), (40, 140, 90))], (250, 250, 248))
+
+
+#: name: (set, category, channels out of the pixel centre's place (u, t), each from 0 to 1)
 PICTURES = {
-    "smooth_gradient": ("gradient", _smooth),
-    "radial_gradient": ("gradient", _radial),
-    "stripes": ("edges", _stripes),
-    "waves": ("texture", _waves),
-    "colour_bars": ("synthetic", _bars),
-    "zone_plate": ("synthetic", _zones),
-    "fine_gradient": ("gradient", _fine),
-    "screen": ("screen", _screen),
+    "dusk": ("a", "gradient", lambda u, t: [60 + 140 * t, 70 + 60 * t * (1 - u), 190 - 120 * t]),
+    "spotlight": ("a", "gradient", lambda u, t: [a / (1 + b * _sun(u, t, 0.3, 0.6)) for a, b in ((230, 6), (210, 9), (160, 14))]),
+    "tiles": ("a", "edges", lambda u, t: _listed((F.floor(u * 6) * 2 + F.floor(t * 6) * 3) % 5, (12, 240, 128, 60, 200), (200, 30, 128, 90, 220), (90, 60, 10, 180, 30))),
+    "ripples": ("a", "texture", lambda u, t: [127.5 + 100 * F.sin(20 * u) * F.cos(14 * t), 127.5 + 90 * F.cos(17 * u + 9 * t), 127.5 + 80 * F.sin(23 * t)]),
+    "portrait": ("a", "photographic", _portrait),
+    "meadow": ("a", "photographic", _meadow),
+    "window": ("a", "screen", _window),
+    "mixed": ("a", "mixed", _mixed),
+    "bars": ("b", "synthetic", lambda u, t: _listed(F.floor(u * 7), (200, 30, 30, 200, 90, 240, 10), (40, 180, 60, 190, 90, 240, 10), (50, 70, 200, 40, 90, 240, 10))),
+    "rings": ("b", "synthetic", lambda u, t: [127.5 + 120 * F.cos(180 * _sun(u, t, 0.5, 0.5))] * 3),
+    "shallow": ("b", "gradient", lambda u, t: [100 + 8 * u, 104 + 8 * t, 108 + 4 * (u + t)]),
+    "dots": ("b", "edges", lambda u, t: _choose([((F.floor(u * 32) % 9 == 4) & (F.floor(t * 32) % 7 == 3), (255, 255, 255))], (0, 0, 0))),
+    "diagram": ("c", "diagram", _diagram),
+    "leaf": ("c", "nature", _leaf),
+    "poster": ("c", "illustration", _poster),
+    "letters": ("c", "text", _letters),
 }
 
 
 def picture(spark: SparkSession, name: str, width: int, height: int) -> DataFrame:
-    return grid(spark, width, height).withColumn("v", _by_channel(PICTURES[name][1](spark, width, height)).cast("int"))
-
-
-def corpus(spark: SparkSession, width: int, height: int) -> DataFrame:
-    """All named pictures together, with name and category."""
-    parts = [picture(spark, n, width, height).select(F.lit(n).alias("name"), F.lit(c).alias("category"), "c", "y", "x", "v") for n, (c, _) in PICTURES.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    u, t = (F.col("x") + 0.5) / float(width), (F.col("y") + 0.5) / float(height)
+    return grid(spark, width, height).withColumn("v", _by_channel([_trunc(F.lit(v) if isinstance(v, int) else v) for v in PICTURES[name][2](u, t)]))
+
+
+def corpus(spark: SparkSession, width: int, height: int, sets: str = "abc") -> DataFrame:
+    """All named pictures of the sets together, with set, name and category."""
+    parts = [
+        picture(spark, n, width, height).select(F.lit(s).alias("set"), F.lit(n).alias("name"), F.lit(c).alias("category"), "c", "y", "x", "v")
+        for n, (s, c, _) in PICTURES.items()
+        if s in sets
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
