@@ -2,35 +2,89 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one of our own."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one, which serves one machine alone: on a
+    cluster, whose executors would not see it, that is an error."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _own_dir
+        _own_dir = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+    return "file://" + _own_dir
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: a cut of the lineage that outlives lost executors."""
+    """Writes df as Parquet into the shared folder and reads it back: a cut of the lineage that outlives lost executors.
+    `release` deletes it; what a returned DataFrame still reads stays until the folder's owner clears it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a materialized DataFrame that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_id(text: str, key: str) -> Column:
+    """What rows are told apart by: a hash of key and text."""
+    return F.xxhash64(column(key).cast("long"), column(text))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_rows(df: DataFrame, run: Callable, names: list[str]) -> DataFrame:
+    """mapInArrow over columns of any names, which Spark's own takes without dots only: inside, columns have places, and
+    `run` gives back those called `names`, with their types."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    kept = [plain.schema[f"c{df.columns.index(n)}"] for n in names]
+    return plain.mapInArrow(run, StructType(kept)).toDF(*names)
+
+
+#: Rows that a broadcast may have, of two longs at most: some 32 MB. Larger tables are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table, with the hint to broadcast it where a count shows that it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

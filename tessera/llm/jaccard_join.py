@@ -1,11 +1,11 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Texts with equal shingle sets form a class, of which one row stands for all. Classes that agree in a band of MinHash
-values are candidates; bands join them into clusters (a row a class and band, never a pair), and a cluster is compared
-in blocks: each pair of blocks is one task's work, whose memory is that of two blocks. Within it, the MinHash values of
-a row are compared with all others a step at a time, and a pair is dropped as soon as the posterior probability that its
-similarity reaches the threshold, given the matches so far and a uniform prior, falls below `TOLERANCE`. The pairs left
-are counted exactly on their shingle sets.
+values form a group and are each other's candidates; groups with the same members are one. A pair of classes is compared
+in the first group that has both, so once. Groups are dealt in blocks of bounded rows and bytes, and a task compares two
+blocks: no pair is a row. There, the MinHash values of a class are compared with all others a step at a time, and a pair
+is dropped as soon as the posterior probability that its similarity reaches the threshold, given the matches so far and
+a uniform prior, falls below `TOLERANCE`. The pairs left are counted exactly on their shingle sets.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, counts_between, documents, materialize, slices, span_hashes, text_bytes, word_bounds
+from .common import BROADCAST_ROWS, LOWER, column, counts_between, documents, fresh, materialize, release, row_id, slices, small, span_hashes, text_bytes, word_bounds
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 agrees in no band with a chance of (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
 STEP = 24
 TOLERANCE = 1e-6
-#: Classes of a cluster that are compared with those of another block by one task.
-BLOCK = 2048
+#: Classes of a group that are compared with those of another block by one task, and the bytes of their shingle sets.
+BLOCK, BLOCK_BYTES = 256, 2 << 20
 
 _A = (np.random.default_rng(20).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) << 1) | 1
 _B = np.random.default_rng(21).integers(1 << 32, size=BANDS * ROWS, dtype=np.uint32)
@@ -93,20 +94,51 @@ def least_matches(step: int = STEP, similarity: float = SIMILARITY, tolerance: f
     return out
 
 
-def similar(sig_a: np.ndarray, sig_b: np.ndarray, sets_a: list[np.ndarray], sets_b: list[np.ndarray], same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a, the rows of b (after it, if they are the same block) with a similarity that reaches SIMILARITY."""
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band's values."""
+    keys = np.zeros((len(sig), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + sig[:, r::ROWS].astype(np.uint64) + np.uint64(1)
+    return keys
+
+
+class Block(NamedTuple):
+    """Classes to compare: ids, rows of each class, MinHash values, shingle sets, and the keys of the earlier bands, in
+    which a pair that agrees has been compared (with `met` apart for bands whose groups are not dealt)."""
+
+    ids: list[int]
+    sizes: np.ndarray
+    sig: np.ndarray
+    sets: list[np.ndarray]
+    earlier: np.ndarray
+    met: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple], band: int) -> Block:
+        """From rows (id, size, mask of the bands dealt, MinHash values, shingle set)."""
+        sig = np.array([r[3] for r in rows])
+        met = (np.array([r[2] for r in rows], np.int64)[:, None] >> np.arange(band)) & 1 == 1
+        return cls([r[0] for r in rows], np.array([r[1] for r in rows], np.int64), sig, [r[4] for r in rows], band_keys(sig)[:, :band], met)
+
+
+def similar(a: Block, b: Block) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a, the rows of b (after it, if they are the same block) with a similarity that reaches SIMILARITY,
+    but for pairs that agree in an earlier band."""
     least = least_matches()
+    sets_b = b.sets
     sizes = np.array([len(s) for s in sets_b])
     values, numbers = np.unique(np.concatenate(sets_b), return_inverse=True)
     ends = np.cumsum(sizes)
     marked = np.zeros(len(values), bool)
-    for i, s in enumerate(sets_a):
-        alive = np.arange(i + 1 if same else 0, len(sets_b))
+    for i, s in enumerate(a.sets):
+        alive = np.arange(i + 1 if a is b else 0, len(sets_b))
         short, long = np.minimum(sizes[alive], len(s)), np.maximum(sizes[alive], len(s))
         alive = alive[short >= SIMILARITY * long - 1e-9]  # no overlap can be enough otherwise
+        alive = alive[~((b.earlier[alive] == a.earlier[i]) & b.met[alive] & a.met[i]).any(axis=1)]
         matches = np.zeros(len(alive), np.int64)
         for n, m in least.items():
-            matches += (sig_b[alive, n - STEP : n] == sig_a[i, n - STEP : n]).sum(axis=1)
+            matches += (b.sig[alive, n - STEP : n] == a.sig[i, n - STEP : n]).sum(axis=1)
             lives = matches >= m
             alive, matches = alive[lives], matches[lives]
             if not len(alive):
@@ -128,19 +160,23 @@ def similar(sig_a: np.ndarray, sig_b: np.ndarray, sets_a: list[np.ndarray], sets
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, component (its smallest node) of all nodes in edges (a, b), by alternating large-star and small-star steps:
-    each step's rows are at most those of the edges, and the tables of the steps are written to the shared folder."""
+    each step's rows are at most those of the edges, and the tables of the steps are written to the shared folder. The
+    nodes' smallest neighbours are broadcast while the edges, at least half as many, are few; beyond, they are written,
+    so that a join deals both its sides and can split the star of a node with many edges."""
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
+    before, few = None, edges.count() <= BROADCAST_ROWS // 2
+    dealt = lambda low: F.broadcast(low) if few else materialize(low, name)
     while True:
         near = both(edges)
-        low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = dealt(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = near.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = materialize(small.distinct(), name)
+        low = dealt(down.groupBy("a").agg(F.min("b").alias("m")))
+        shrunk = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        old, edges = edges, materialize(shrunk.distinct(), name)
+        release(old)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
@@ -156,11 +192,7 @@ def _sign(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "t"):
                 sets, at = shingle_sets(*text_bytes(part.column("t")))
-                sig = min_hashes(sets, at)
-                with np.errstate(over="ignore"):
-                    keys = np.zeros((len(part), BANDS), np.uint64)
-                    for r in range(ROWS):
-                        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + sig[:, r::ROWS].astype(np.uint64) + np.uint64(1)
+                keys = band_keys(min_hashes(sets, at))
                 whole = [xxhash.xxh3_128_digest(sets[at[i] : at[i + 1]].tobytes()) for i in range(len(part))]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), pa.array(whole, pa.binary()), pa.array(np.diff(at), pa.int32()), bands], names=["row", "k", "hash", "n", "bands"])
@@ -168,22 +200,50 @@ def _sign(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _SIGNED)
 
 
+_DEALT = "band int, value long, x int, y int, block int, row long, size long, mask long, sig binary, shingles binary"
+
+
+def _deal(members: DataFrame) -> DataFrame:
+    """From rows (row, size, mask, groups [(band, value, blocks)], t): one for each pair of blocks that the class is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _DEALT.split(", ")]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        for batch in batches:
+            for part in slices(batch, "t"):
+                sets, at = shingle_sets(*text_bytes(part.column("t")))
+                sig = min_hashes(sets, at)
+                out, held = [], 0
+                for i, (row, size, mask, groups) in enumerate(zip(*(part.column(c).to_pylist() for c in ("row", "size", "mask", "groups")), strict=True)):
+                    body = sig[i].tobytes(), sets[at[i] : at[i + 1]].tobytes()
+                    for g in groups:
+                        own = (row ^ g["value"]) % g["blocks"]
+                        for o in range(g["blocks"]):
+                            out.append((g["band"], g["value"], min(own, o), max(own, o), own, row, size, mask, *body))
+                            held += len(body[1])
+                            if held > 1 << 24:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                                out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return members.mapInArrow(run, _DEALT)
+
+
 def _compare(blocks: DataFrame) -> DataFrame:
-    """From rows (cluster, x, y, block, row, size, t), those of one (cluster, x, y) together: for each row with links,
-    `links` (the rows of all classes linked to it), and edges (row, other) of a spanning forest of the block's links."""
+    """From the rows of _deal, those of one (band, value, x, y) together: for each row with links, `links` (the rows of all
+    classes linked to it), and edges (row, other) of a spanning forest of the blocks' links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            x, y = key[1], key[2]
-            a = [h for h in held if h[0] == x]
-            b = a if x == y else [h for h in held if h[0] == y]
-            if not a or not b:
-                return
-            links = {}
-            root = {h[1]: h[1] for h in (*a, *b)}
+            band, _, x, y = key
+            a = Block.of([h[1:] for h in held if h[0] == x], band)
+            b = a if x == y else Block.of([h[1:] for h in held if h[0] == y], band)
+            links: dict[int, int] = {}
+            root = {r: r for r in (*a.ids, *b.ids)}
 
             def find(v: int) -> int:
                 while root[v] != v:
@@ -191,37 +251,32 @@ def _compare(blocks: DataFrame) -> DataFrame:
                     v = root[v]
                 return v
 
-            sig = lambda rows: min_hashes(np.concatenate([h[3] for h in rows]), np.concatenate([[0], np.cumsum([len(h[3]) for h in rows])]))
-            sig_a = sig(a)
-            sizes = np.array([h[2] for h in b])
-            count_b = np.zeros(len(b), np.int64)
+            count_b = np.zeros(len(b.ids), np.int64)
             edges = []
-            for i, hit in similar(sig_a, sig_a if x == y else sig(b), [h[3] for h in a], [h[3] for h in b], x == y):
-                links[a[i][1]] = links.get(a[i][1], 0) + int(sizes[hit].sum())
-                count_b[hit] += a[i][2]
+            for i, hit in similar(a, b):
+                links[a.ids[i]] = links.get(a.ids[i], 0) + int(b.sizes[hit].sum())
+                count_b[hit] += a.sizes[i]
                 for j in hit.tolist():
-                    u, v = find(a[i][1]), find(b[j][1])
+                    u, v = find(a.ids[i]), find(b.ids[j])
                     if u != v:
                         root[max(u, v)] = min(u, v)
-                        edges.append((a[i][1], b[j][1]))
+                        edges.append((a.ids[i], b.ids[j]))
             for j in np.flatnonzero(count_b).tolist():
-                links[b[j][1]] = links.get(b[j][1], 0) + int(count_b[j])
+                links[b.ids[j]] = links.get(b.ids[j], 0) + int(count_b[j])
             rows = [(r, None, n) for r, n in links.items()] + [(u, v, 0) for u, v in edges]
             if rows:
                 u, v, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["row", "other", "links"])
 
         for batch in batches:
-            for part in slices(batch, "t"):
-                sets, at = shingle_sets(*text_bytes(part.column("t")))
-                columns = [part.column(c).to_pylist() for c in ("cluster", "x", "y", "block", "row", "size")]
-                for i, (cluster, x, y, block, row, size) in enumerate(zip(*columns, strict=True)):
-                    if (cluster, x, y) != key:
-                        if key is not None:
-                            yield from done()
-                        key, held = (cluster, x, y), []
-                    held.append((block, row, size, sets[at[i] : at[i + 1]].copy()))
-        if key is not None:
+            columns = [batch.column(c).to_pylist() for c in ("band", "value", "x", "y", "block", "row", "size", "mask")]
+            for *own, block, row, size, mask, sig, shingles in zip(*columns, batch.column("sig"), batch.column("shingles"), strict=True):
+                if own != key:
+                    if len(held) > 1 and len({h[0] for h in held}) == (1 if key[2] == key[3] else 2):
+                        yield from done()
+                    key, held = own, []
+                held.append((block, row, size, mask, np.frombuffer(sig.as_py(), np.uint32), np.frombuffer(shingles.as_py(), np.uint64)))
+        if len(held) > 1 and len({h[0] for h in held}) == (1 if key[2] == key[3] else 2):
             yield from done()
 
     return blocks.mapInArrow(run, "row long, other long, links long")
@@ -237,48 +292,60 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows of their own; null keys take part, and ids are taken from the others of their group. Other columns are not
     read. An empty table gives no rows.
     """
-    return _linked(docs, text, key)[0]
+    signed, per_class = _linked(docs, text, key)
+    out = signed.where("n > 0").select("k", "hash").join(per_class, "hash", "left")
+    out = out.select(F.col("k").alias("doc_id"), "class_id", "group_id", F.col("n_links").cast("long").alias("n_links"))
+    bare = signed.where("n = 0").select(F.col("k").alias("doc_id"), F.col("k").alias("class_id"), F.col("k").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(bare)
 
 
 def _linked(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    # rows are told apart by key and text: equal in both, they are in one class anyway
-    rows = source.withColumn("row", F.xxhash64("k", "t"))
+    """The signed rows (row, k, hash, n, bands), and per class hash, class_id, group_id, n_links and `stays`, the row with
+    the smallest key of the whole group."""
+    rows = docs.select(column(key).cast("long").alias("k"), column(text).alias("t"), row_id(text, key).alias("row"))
     signed = materialize(_sign(rows), "jaccard-signed")
-    classes = signed.where("n > 0").groupBy("hash").agg(F.min(F.struct(F.coalesce("k", F.lit(2**63 - 1)).alias("k"), "row", "bands")).alias("one"), F.count(F.lit(1)).alias("size"))
-    classes = materialize(classes.select("hash", "size", F.col("one.k").alias("k"), F.col("one.row").alias("row"), F.col("one.bands").alias("bands")), "jaccard-classes")
-    bands = classes.select("row", F.posexplode("bands").alias("band", "value"))
-    groups = bands.groupBy("band", "value").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = bands.join(groups, ["band", "value"]).where("row <> b").select(F.col("row").alias("a"), "b").distinct()
-    clusters = components(edges, "jaccard-clusters")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "component").join(classes.select(F.col("row").alias("node"), "k", "size"), "node")
-    members = members.select(F.col("component").alias("cluster"), F.col("node").alias("row"), "size", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    # the text of each class' one row: the semi-join above has left few rows, so the texts of all others stay where they are
-    texts = rows.join(members, "row").dropDuplicates(["row"])
-    blocks = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("cluster", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "row", "size", "t")
-    order = ["cluster", "x", "y", "block", "row"]
-    found = materialize(_compare(blocks.repartition("cluster", "x", "y").sortWithinPartitions(*order)), "jaccard-links")
-    linked = components(found.where("other IS NOT NULL").select(F.col("row").alias("a"), F.col("other").alias("b")), "jaccard-groups")
+    last = 2**63 - 1  # stands for a null key, so that the others come first
+    one = F.min(F.struct(F.coalesce("k", F.lit(last)).alias("k"), "row", "n", "bands")).alias("one")
+    classes = signed.where("n > 0").groupBy("hash").agg(one, F.count(F.lit(1)).alias("size"))
+    classes = materialize(classes.select("hash", "size", "one.*"), "jaccard-classes")
+    # groups: their members' number and two sums of hashes tell which have the same ones
+    bands = classes.select("row", "n", F.posexplode("bands").alias("band", "value"))
+    groups = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("n"), F.bit_xor(F.xxhash64("row")).alias("p"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("q"))
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("n") * 8 / BLOCK_BYTES)).cast("int")
+    groups = groups.where("c > 1").groupBy("c", "n", "p", "q").agg(F.min(F.struct("band", "value")).alias("g")).select("g.*", blocks.alias("blocks"))
+    groups = materialize(groups, "jaccard-groups")
+    members = bands.join(small(groups), ["band", "value"]).groupBy("row").agg(F.collect_list(F.struct("band", "value", "blocks")).alias("groups"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
+    members = materialize(members.join(classes.select("row", "size"), "row"), "jaccard-members")
+    texts = rows.join(small(members.select("row")), "row", "left_semi").dropDuplicates(["row"])
+    dealt = _deal(texts.join(members, "row").select("row", "size", "mask", "groups", "t"))
+    own = ["band", "value", "x", "y"]
+    found = materialize(_compare(dealt.repartition(*own).sortWithinPartitions(*own, "block", "row")), "jaccard-links")
+    linked = components(found.where("other IS NOT NULL").select(F.col("row").alias("a"), F.col("other").alias("b")), "jaccard-components")
     ids = linked.join(classes.select(F.col("row").alias("node"), "k"), "node")
-    group_ids = ids.groupBy("component").agg(F.min("k").alias("group_id"))
-    per_row = linked.join(group_ids, "component").select(F.col("node").alias("row"), "group_id")
+    firsts = materialize(ids.groupBy("component").agg(F.min(F.struct("k", F.col("node").alias("row"))).alias("first")), "jaccard-firsts")
+    per_row = linked.join(small(firsts), "component").select(F.col("node").alias("row"), "first")
     counted = found.where("other IS NULL").groupBy("row").agg(F.sum("links").alias("links"))
     per_class = classes.join(per_row, "row", "left").join(counted, "row", "left")
-    none = lambda c: F.when(c < 2**63 - 1, c)
-    per_class = per_class.select("hash", none(F.col("k")).alias("class_id"), none(F.coalesce("group_id", "k")).alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    out = signed.where("n > 0").select("row", "k", "hash").join(per_class, "hash", "left")
-    out = out.select(F.col("k").alias("doc_id"), "class_id", "group_id", F.col("n_links").cast("long").alias("n_links"))
-    bare = signed.where("n = 0").select(F.col("k").alias("doc_id"), F.col("k").alias("class_id"), F.col("k").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(bare), classes
+    none = lambda c: F.when(c < last, c)
+    return signed, per_class.select(
+        "hash", none(F.col("k")).alias("class_id"), none(F.coalesce("first.k", "k")).alias("group_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("first.row", "row").alias("stays"),
+    )
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs without those that are linked to one that stays: of each group, the row whose doc_id is the
-    group's. Rows with a null key, which can't be told from each other, all stay."""
-    groups = join(docs, text, key).where("doc_id IS NOT NULL AND doc_id <> group_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(groups, key, "left_anti")
+    """docs with one row of each group of linked rows, the one with the smallest key; null keys come last, and of rows
+    equal in key and text one stays. Null texts and those without words have no links: all their rows stay. Columns of
+    any names pass through. An empty table gives no rows."""
+    signed, per_class = _linked(docs, text, key)
+    row = fresh(docs, "row")
+    rows = signed.where("n > 0").join(per_class.select("hash", "stays"), "hash")
+    lost = materialize(rows.where("row <> stays").select(F.col("row").alias(row)).distinct(), "jaccard-lost")
+    left = docs.withColumn(row, row_id(text, key)).join(small(lost), row, "left_anti")
+    twice = materialize(signed.where("n > 0").groupBy("row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("row").alias(row)), "jaccard-twice")
+    if twice.limit(1).count():
+        left = left.join(small(twice), row, "left_anti").unionByName(left.join(small(twice), row, "left_semi").dropDuplicates([row]))
+    return left.select(*map(column, docs.columns))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
