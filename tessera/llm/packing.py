@@ -25,57 +25,79 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKED = 1000
 
 
-def _complement(gap: int, counts: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
-    """Up to `most` lengths in stock that sum to the gap, larger ones first; counts[n] pieces of length n are left."""
-    if counts[gap]:
-        return (gap,)
-    stock = np.flatnonzero(counts[:gap])[::-1]
-    if not len(stock) or most < 2:
-        return None
-    rest = gap - stock
-    fits = (rest <= stock) & (counts[rest] > (rest == stock))
-    if fits.any():
-        a = int(stock[np.argmax(fits)])
-        return a, gap - a
-    if most < 3:
-        return None
-    for a in stock.tolist():
-        if 3 * a < gap:
-            return None
-        need = gap - a
-        second = stock[(stock <= a) & (stock < need)]
-        third = need - second
-        uses = counts[second] > (second == a)
-        uses &= (third <= second) & (counts[third] > (third == second).astype(int) + (third == a))
-        if len(second) and uses.any():
-            b = int(second[np.argmax(uses)])
-            return a, b, need - b
-    return None
+class Sums:
+    """An index from sums to the combinations of one, two and three lengths in stock, under their counts.
 
+    A pair of sum s is its larger length, a triple of sum s its first length and a pair of the rest. For each sum the
+    index holds the largest such length that still has a combination. Stock is only taken out, so a combination that
+    runs out never comes back, and each entry only moves down: all look-ups together cost no more than the index.
+    """
 
-def _times(lengths: tuple[int, ...], counts: np.ndarray) -> int:
-    return min(int(counts[n]) // lengths.count(n) for n in set(lengths))
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.counts = [0] * (capacity + 1)
+        for n, c in histogram.items():
+            self.counts[n] = c
+        self._pair = list(range(-1, capacity))  # of sum s, the larger length, at most s - 1
+        self._triple = list(range(-2, capacity - 1))
+
+    def take(self, lengths: tuple[int, ...], times: int) -> None:
+        for n in lengths:
+            self.counts[n] -= times
+
+    def holds(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.counts[n] >= lengths.count(n) for n in lengths)
+
+    def times(self, lengths: tuple[int, ...]) -> int:
+        return min(self.counts[n] // lengths.count(n) for n in set(lengths))
+
+    def _pairs(self, s: int) -> Iterator[tuple[int, int]]:
+        counts, a = self.counts, self._pair[s]
+        while 2 * a >= s and not (counts[a] and counts[s - a]):
+            a -= 1
+        self._pair[s] = a
+        while 2 * a >= s > 1:
+            if counts[a] and counts[s - a]:
+                yield a, s - a
+            a -= 1
+
+    def _triples(self, s: int) -> Iterator[tuple[int, int, int]]:
+        counts, a = self.counts, self._triple[s]
+        while 3 * a >= s and not (counts[a] and any(True for _ in self._pairs(s - a))):
+            a -= 1
+        self._triple[s] = a
+        while 3 * a >= s > 2:
+            if counts[a]:
+                yield from ((a, *x) for x in self._pairs(s - a))
+            a -= 1
+
+    def of(self, s: int, most: int = 3, beside: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """Up to `most` lengths that sum to s and are in stock together with those `beside` them, the fewest first."""
+        if s < 1:
+            return None
+        if self.holds((s, *beside)):
+            return (s,)
+        for kind in (self._pairs, self._triples)[: most - 1]:
+            for found in kind(s):
+                if self.holds((*found, *beside)):
+                    return found
+        return None
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Runs of (length: how many in the sequence, sequences), which use each piece of the histogram once."""
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    for n, c in histogram.items():
-        counts[n] = c
+    stock = Sums(histogram, capacity)
+    counts = stock.counts
     out: list[tuple[dict[int, int], int]] = []
     for most in (1, 2, 3):  # fillings of fewer pieces first: they leave the short ones to the others
-        for n in range(capacity, capacity // 2 - 1, -1):
+        for n in range(capacity, 0, -1):
             while counts[n]:
-                counts[n] -= 1
-                more = _complement(capacity - n, counts, most) if n < capacity else ()
-                counts[n] += 1
+                more = stock.of(capacity - n, most, (n,)) if n < capacity else ()
                 if more is None:
                     break
                 lengths = (n, *more)
-                times = _times(lengths, counts)
+                times = stock.times(lengths)
                 out.append((_grouped(lengths), times))
-                for x in lengths:
-                    counts[x] -= times
+                stock.take(lengths, times)
     # the residuals: open sequences by gap, and pieces from the longest, each into the smallest gap that holds it
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}
     gaps = np.zeros(capacity + 1, dtype=np.int64)
@@ -91,11 +113,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     def fill() -> None:
         """What exact complements are left for the open sequences, the fullest first."""
         for gap in np.flatnonzero(gaps).tolist():
-            while gaps[gap] and (more := _complement(gap, counts)):
+            while gaps[gap] and (more := stock.of(gap)):
                 bin_, have = open_[gap].pop()
-                times = min(have, _times(more, counts))
-                for x in more:
-                    counts[x] -= times
+                times = min(have, stock.times(more))
+                stock.take(more, times)
                 gaps[gap] -= have
                 if have > times:
                     put(bin_, have - times)
@@ -106,9 +127,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
             room = np.flatnonzero(gaps[n:])
             if not len(room):  # as many new sequences as these pieces need, filled with their like
                 each = capacity // n
-                if full := int(counts[n]) // each:
+                if full := counts[n] // each:
                     put({n: each}, full)
-                if left := int(counts[n]) % each:
+                if left := counts[n] % each:
                     put({n: left}, 1)
                 counts[n] = 0
                 if n > 1:
@@ -116,8 +137,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
                 break
             gap = n + int(room[0])
             bin_, have = open_[gap].pop()
-            fit = min(gap // n, int(counts[n]))
-            times = min(have, int(counts[n]) // fit)
+            fit = min(gap // n, counts[n])
+            times = min(have, counts[n] // fit)
             gaps[gap] -= have
             counts[n] -= times * fit
             if have > times:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, slices
-from .vocab import CACHED, vocabulary_path
+from .vocab import CACHED, LONGEST, vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -52,13 +52,18 @@ class Pieces:
                 names.append(i)
         self._find.make_automaton()
         self._unknown = float(self.scores[names].min()) - UNKNOWN
+        #: What an id adds to its path: a character written as bytes costs once, with its first byte.
+        self.costs = self.scores.copy()
+        self.costs[self._unk] = self._unknown
+        for b, i in self._byte.items():
+            self.costs[i] = 0.0 if b & 0xC0 == 0x80 else self._unknown
         #: A word is blanks and what follows them; pieces that go on over a word's end would join words.
         joins = any(BLANK in model.id_to_piece(i).lstrip(BLANK) for i in names)
         self._words = re.compile(r"(?s).+") if joins else re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self._cache: dict[str, bytes] = {}
 
     def _bytes_of(self, c: str) -> list[int]:
-        return [self._byte.get(b, self._unk) for b in c.encode()]
+        return [self._byte[b] for b in c.encode()] if len(self._byte) == 256 else [self._unk]
 
     def best(self, word: str) -> list[int]:
         """The ids of a word, without the cache."""
@@ -98,10 +103,15 @@ class Pieces:
         except KeyError:
             if len(known) > CACHED:
                 known.clear()
+            parts = []
             for w in words:
-                if w not in known:
-                    known[w] = np.array(self.best(w), "<u4").tobytes()
-            raw = b"".join(map(known.__getitem__, words))
+                x = known.get(w)
+                if x is None:
+                    x = np.array(self.best(w), "<u4").tobytes()
+                    if len(w) <= LONGEST:
+                        known[w] = x
+                parts.append(x)
+            raw = b"".join(parts)
         return np.frombuffer(raw, "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
@@ -118,12 +128,13 @@ _SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, decoded_sha
 
 
 def encode(docs: DataFrame, model: str = MODEL, folder: str | None = None, text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:
-    """A row each: number of ids, their checksum (of little-endian uint32), the sum of their scores, the SHA-256 of the
+    """A row each: number of ids, their checksum (of little-endian uint32), the path's score, the SHA-256 of the
     text decoded from them, whether it equals the text, and with ids=True the ids.
 
     A null or empty text has no ids, decodes to the empty text and comes back whole. Null keys stay null, repeated rows
     are encoded each, other columns are not read, an empty table gives no rows. A BLANK sign in a text decodes to a
-    blank, the one case in which round_trip is false. Bytes of the byte pieces score 0.
+    blank, the one case in which round_trip is false. `score` is that of the best path, a
+    character written as bytes included.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +145,7 @@ def encode(docs: DataFrame, model: str = MODEL, folder: str | None = None, text:
                 for t in part.column("t").to_pylist():
                     x = p.encode(t)
                     back = p.decode(x)
-                    out.append((len(x), zlib.crc32(x.tobytes()), float(p.scores[x].sum()), hashlib.sha256(back.encode()).hexdigest(), back == (t or ""), x))
+                    out.append((len(x), zlib.crc32(x.tobytes()), float(p.costs[x].sum()), hashlib.sha256(back.encode()).hexdigest(), back == (t or ""), x))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 6
                 arrays = [pa.array(c, t) for c, t in zip(columns[:5], (pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_()), strict=True)]
                 if ids:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, shared_dir, slices
@@ -31,9 +31,10 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 MAGIC = b"TSRA\x01"
 #: Bytes of frames in a file at least, but for the last of a partition.
 FILE_BYTES = 4 << 20
-#: The dictionary is trained on the ids of so many documents, those with the smallest hashes of their keys, and on so
-#: many characters of each at most. It changes the files' size, never what is read from them.
-SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 20_000, 64 << 10
+#: The dictionary is trained on so many documents, those with the smallest hashes of their keys: of each, a slice of at
+#: most so many ids of its whole id array, from a place that the key's hash names. It changes the files' size, never what
+#: is read from them.
+SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
 LEVEL = 1
 
 
@@ -84,27 +85,48 @@ def pack_file(dictionary: bytes, keys: list[int | None], counts: list[int], fram
     return head + ids + ends(counts) + ends([len(f) for f in frames]) + b"".join(frames)
 
 
+def _samples(rows: DataFrame, vocabulary: str, folder: str | None) -> list[bytes]:
+    """Slices of the id arrays of SAMPLE documents: a row for each chosen key, however many rows it has."""
+    keys = rows.select("k").distinct().orderBy(F.xxhash64("k")).limit(SAMPLE)
+    chosen = rows.join(F.broadcast(keys), "k", "left_semi").dropDuplicates(["k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch, "t", 1 << 22):
+                out = []
+                for h, ids in zip(s.column("h").to_pylist(), encoder(vocabulary, folder).encode(s.column("t").to_pylist()), strict=True):
+                    ids += np.uint32(END).tobytes()
+                    first = h % max(1, len(ids) // 4 - SAMPLE_IDS + 1)
+                    out.append(ids[4 * first : 4 * (first + SAMPLE_IDS)])
+                yield pa.RecordBatch.from_arrays([s.column("h"), pa.array(out, pa.binary())], names=["h", "ids"])
+
+    taken = chosen.select(F.xxhash64("k").alias("h"), "t").mapInArrow(run, "h long, ids binary")
+    return [bytes(r.ids) for r in taken.orderBy("h").collect()]
+
+
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, folder: str | None = None, text: str = "text", key: str = "doc_id") -> None:
-    """Writes path/files (part, number, documents, ids, file) and path/dictionary (dictionary), in ascending order of
-    key: parts in the order of their numbers, and in each its files in the order of theirs."""
+    """Writes path/files (part, number, before, documents, ids, file) and path/dictionary (dictionary), in ascending order
+    of key: parts in the order of their numbers, and in each its files in the order of theirs; `before` counts the ids of
+    the part's earlier files.
+
+    A null or empty text is END alone. Null keys come first. Rows repeated with one key are documents of their own and
+    follow each other. Other columns are not read. An empty table gives an empty folder of files.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     tail = np.uint32(END).tobytes()
-    # the keys first, without their texts: each partition offers SAMPLE of them
-    keys = rows.select("k").distinct().orderBy(F.xxhash64("k")).limit(SAMPLE)
-    taken = rows.join(F.broadcast(keys), "k", "left_semi").select(F.substring("t", 1, SAMPLE_CHARS).alias("t"))
-    taken = taken.orderBy(F.xxhash64("t")).limit(SAMPLE).collect()
-    dictionary = train([x + tail for x in encoder(vocabulary, folder).encode([r.t for r in taken])])
+    dictionary = train(_samples(rows, vocabulary, folder))
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").write.parquet(f"{path}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         keys, counts, frames, size = [], [], [], 0
 
         def file() -> pa.RecordBatch:
-            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([pack_file(dictionary, keys, counts, frames)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "number", "documents", "ids", "file"])
+            row = {"part": part, "number": number, "before": before, "documents": len(keys), "ids": sum(counts), "file": pack_file(dictionary, keys, counts, frames)}
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
             for s in slices(batch, "t", 1 << 22):
@@ -116,38 +138,37 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, folder: str
                     size += len(frames[-1])
                     if size >= FILE_BYTES:
                         yield file()
-                        keys, counts, frames, size, number = [], [], [], 0, number + 1
+                        number, before = number + 1, before + sum(counts)
+                        keys, counts, frames, size = [], [], [], 0
         if keys:
             yield file()
 
     ordered = rows.repartitionByRange(F.col("k"), F.xxhash64("t")).sortWithinPartitions("k")
-    files = ordered.mapInArrow(run, "part int, number int, documents long, ids long, file binary")
+    files = ordered.mapInArrow(run, "part int, number int, before long, documents long, ids long, file binary")
     files.write.option("compression", "none").parquet(f"{path}/files")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document in the files of write(). Counts of ids are summed up over
-    parts (the driver holds a number for each part of the writing job), then over a part's files, then within a file."""
+    parts, by a window over a row a part, and joined by a broadcast of 12 bytes a part: parts are the tasks of the writing
+    job, so even a million of them make 12 MB. Within parts and files the sums are in the files."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
     files = spark.read.parquet(f"{path}/files")
-    inside: dict[int, list[tuple[int, int]]] = {}
-    for r in files.select("part", "number", "ids").collect():
-        inside.setdefault(r.part, []).append((r.number, r.ids))
-    first, total = {}, 0
-    for part in sorted(inside):
-        for number, n in sorted(inside[part]):
-            first[part, number] = total
-            total += n
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("ids").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, file in zip(*(batch.column(c) for c in ("part", "number", "file")), strict=True):
-                f, base = TokenFile(file.as_py(), dictionary), first[part.as_py(), number.as_py()]
+            for base, file in zip(batch.column("base").to_pylist(), batch.column("file"), strict=True):
+                f = TokenFile(file.as_py(), dictionary)
                 keys = pa.array(f.keys, pa.int64(), mask=f.null)
                 crc = pa.array([zlib.crc32(f.ids(i)) for i in range(len(f))], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, pa.array(f.first[:-1].astype(np.int64) + base), pa.array(np.diff(f.first.astype(np.int64))), crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                first = f.first.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(first[:-1] + base), pa.array(np.diff(first)), crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "number", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = files.select("part", "before", "file").join(F.broadcast(parts), "part").select((F.col("first") + F.col("before")).alias("base"), "file")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,30 @@
 """Encoding of whole texts piece by piece through a cache.
 
-A text is cut where its tokenizer cuts it anyway, before runs of blanks and line feeds that follow another character, so
-the pieces' ids, one after the other, are the text's. A piece met before costs a look-up. New pieces made of letters go
-straight to the tokenizer's BPE model; all others, and whole texts with other white space or special tokens, go through
-the tokenizer itself.
+A text is cut before each run of white space that follows another character. Both kinds of tokenizer here split there
+themselves, whatever stands beside the cut, so the pieces' ids, one after the other, are the text's. A piece met before
+costs a look-up. A new piece goes through the tokenizer's own steps: its normalizer and its pre-tokenizer split it, and
+its BPE model encodes the parts. For ASCII, where these steps are a lower-casing and the pattern below, `re` does them;
+pieces that hold a special token go through the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
 from functools import cache
 
-#: Pieces kept in each Python worker, in two generations. Bounds memory, not results.
-CACHED = 800_000
+#: Pieces kept in each Python worker, in two generations, none of more than LONGEST characters: some 250 bytes each.
+#: Bounds memory, not results.
+CACHED, LONGEST = 600_000, 48
 FOLDER = "/opt/tokenizers"
 
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space, as the tokenizers see it: not the separators x1C to x1F, which Python's \s has too.
+_PIECES = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+_WORDS = re.compile(r"[\S\x1c-\x1f]+")
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+# fixed values: the two tokenizers' own patterns, with \p{L} and \p{N} written out for ASCII
+_ASCII_BYTES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
@@ -55,51 +61,43 @@ class Encoder(dict):
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         #: Tokenizers that drop white space and lower letters have a normalizer; the others keep all bytes.
         self._words = self._tokenizer.normalizer is not None
-        self._blank = "" if self._words else self._letters[32]
         self._old: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _model_ids(self, part: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(part)]).tobytes()
 
-    def _model_ids(self, text: str) -> bytes:
-        return array("I", [t.id for t in self._model.tokenize(text)]).tobytes()
-
-    def __missing__(self, p: str) -> bytes | None:
+    def __missing__(self, p: str) -> bytes:
         held = self._old.get(p)
         if held is None:
             held = self._ids(p)
-        self[p] = held
+        if len(p) <= LONGEST:
+            self[p] = held
         return held
 
-    def _ids(self, p: str) -> bytes | None:
-        """None: the piece has other white space or a special token, so that its text must not be cut."""
-        if p.isalpha() and p.isascii():  # such letters stand for themselves
-            return self._model_ids(p.lower() if self._words else p)
-        if _OTHER_SPACE.search(p) or any(s in p for s in self._specials):
-            return None
-        start = p.lstrip(" \n")
-        if not start and self._words:
-            return b""
-        word = start.rstrip(".,;:!?")
-        # beyond Latin letters, the tokenizer's own Unicode tables decide
-        if not word.isalpha() or not (word.isascii() or (max(word) < "ɐ" and unicodedata.is_normalized("NFC", word))):
-            return self._whole(p)
-        if len(word) < len(start):
-            return self[p[: len(p) - len(start) + len(word)]] + self[start[len(word) :]]
-        space = p[: len(p) - len(word)]
+    def _ids(self, p: str) -> bytes:
+        if any(s in p for s in self._specials):
+            return array("I", self._tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
+        if p.isascii():
+            low = p.lower() if self._words else p
+            parts = (_ASCII_WORDS if self._words else _ASCII_BYTES).findall(low)
+            if len(parts) == 1 and parts[0] == p:
+                return self._model_ids(p if p.isalpha() else p.translate(self._letters))
+            return b"".join([self[x] for x in parts])  # a part is split no further
         if self._words:
-            if not word.isascii():
-                word = "".join(c.lower() for c in word)
-                if not word.isalpha():
-                    return self._whole(p)
-                return self._model_ids(word.encode().decode("latin-1").translate(self._letters))
-            return self._model_ids(word.lower())
-        if space == "\n":
-            return self["\n"] + self[word]
-        if space not in ("", " "):
-            return self._whole(p)
-        text = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
-        return self._model_ids(self._blank + text if space else text)
+            p = self._tokenizer.normalizer.normalize_str(p)
+        return b"".join([self._part(x) for x, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(p)])
+
+    def _part(self, x: str) -> bytes:
+        """Of a part in the stand-ins of its bytes."""
+        held = self._parts.get(x)
+        if held is None:
+            held = self._model_ids(x)
+            if len(x) <= LONGEST:
+                if len(self._parts) >= CACHED // 4:
+                    self._parts.clear()
+                self._parts[x] = held
+        return held
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
@@ -108,11 +106,8 @@ class Encoder(dict):
         for t in texts:
             t = t or ""
             # where white space is dropped, pieces need none
-            pieces = t.replace("\n", " ").split(" ") if self._words else _PIECES.findall(t)
-            try:
-                out.append(b"".join(map(ids, pieces)))
-            except TypeError:
-                out.append(self._whole(t))
+            pieces = _PIECES.findall(t) if not self._words else _WORDS.findall(t) if _SEPARATORS.search(t) else t.split()
+            out.append(b"".join(map(ids, pieces)))
             if len(self) > CACHED // 2:
                 # what is still in use comes back from the generation before, the rest goes with it
                 self._old = dict(self)

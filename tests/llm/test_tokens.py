@@ -1,5 +1,7 @@
 import random
 import zlib
+from collections import Counter
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -29,6 +31,36 @@ def test_cached_encoding_is_the_tokenizers(name, monkeypatch):
     assert V.Encoder(V.vocabulary_path(name)).encode(TEXTS) == whole
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_random_texts_are_encoded_as_by_the_tokenizer(name):
+    """Letters, marks, case pairs, punctuation, white space of all kinds and special tokens, beside each other."""
+    rng = random.Random(11)
+    signs = [*"abzAZ'''stremvlld019.,;:!?-_()# \n\t\r  ", *"éÉİıßẞÀÑŒǅΣςЖя漢字한글가ㄱ،٣½²Ⅳªµſﬁ̸́̇̈  　\u0085 ​‍"]
+    signs += [*"\x1c\x1f\x0b\x0c\0\x7f­😀👩᠎﻿", "<|endoftext|>", "<|startoftext|>", "İ.", "'S", "  ", " '"]
+    any_char = lambda: chr(rng.choice([rng.randrange(32, 128), rng.randrange(128, 0x600), rng.randrange(0x600, 0xD800), rng.randrange(0x1F000, 0x1FFFF)]))
+    texts = ["İ.", "EN İYİ."]
+    for i in range(6000):
+        pick = any_char if i % 3 == 0 else lambda: rng.choice(signs)
+        texts.append("".join(pick() for _ in range(rng.randint(1, 20))))
+    want = Tokenizer.from_file(V.vocabulary_path(name)).encode_batch(texts, add_special_tokens=False)
+    got = V.Encoder(V.vocabulary_path(name)).encode(texts)
+    assert [t for t, w, g in zip(texts, want, got, strict=True) if np.array(w.ids, "<u4").tobytes() != g] == []
+
+
+def test_very_long_texts(spark):
+    """Without blanks, and with many lines: whole texts, not prefixes; long pieces stay out of the cache."""
+    rows = [(1, "x" * 200_000), (2, "word and more\n" * 150_000), (3, None)]
+    path = f"{shared_dir(spark)}/test-tokens-{random.random()}"
+    T.write(table(spark, rows), path)
+    want = {k: (len(plain(T.VOCABULARY, t)) // 4, zlib.crc32(plain(T.VOCABULARY, t))) for k, t in rows}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in T.read(spark, path).collect()} == want
+    check_packing(K.pack(table(spark, rows)).collect(), rows, K.VOCABULARY)
+    assert all(r.round_trip for r in S.encode(table(spark, rows)).collect())
+    e = V.Encoder(V.vocabulary_path(K.VOCABULARY))
+    e.encode([t for _, t in rows])
+    assert max(map(len, e)) <= V.LONGEST
+
+
 def test_token_files(spark):
     rows = [r for r in ODD if r[0] != 5 and r[0] is not None] + [(5, "word")] + [(100 + i, t) for i, t in enumerate(TEXTS)]
     path = f"{shared_dir(spark)}/test-tokens-{random.random()}"
@@ -105,6 +137,58 @@ def test_plan_uses_each_piece_once(seed):
     assert used == h
 
 
+def optimum(items, capacity):
+    """The fewest sequences, by trying all places of each piece."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) + max(0, -(-(sum(items[i:]) + sum(bins) - capacity * len(bins)) // capacity)) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for size in set(bins):
+            if size + items[i] <= capacity:
+                j = bins.index(size)
+                bins[j] += items[i]
+                go(i + 1, bins)
+                bins[j] -= items[i]
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best
+
+
+def test_plan_against_the_optimum():
+    rng, more = random.Random(1), 0
+    for _ in range(200):
+        capacity = rng.choice([10, 20, 30])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 12))]
+        least, got = optimum(items, capacity), sum(n for _, n in K.plan(Counter(items), capacity))
+        assert got <= least + 1
+        more += got > least
+    assert more <= 4
+
+
+def test_index_of_sums():
+    rng = random.Random(2)
+    for _ in range(50):
+        stock = Counter(rng.choices(range(1, 15), k=rng.randint(1, 9)))
+        index = K.Sums(stock, 30)
+        for _ in range(4):
+            for s in range(1, 31):
+                for most in (1, 2, 3):
+                    choices = (c for k in range(1, most + 1) for c in combinations_with_replacement(sorted(stock), k))
+                    there = any(sum(c) == s and not Counter(c) - stock for c in choices)
+                    got = index.of(s, most)
+                    assert (got is not None) == there and (got is None or (sum(got) == s and not Counter(got) - stock))
+            if stock:
+                out = rng.choice(sorted(stock.elements()))
+                stock -= Counter([out])
+                index.take((out,), 1)
+
+
 def test_plan_finds_exact_complements():
     assert sum(t for _, t in K.plan({1000: 5, 24: 5}, 1024)) == 5
     assert sum(t for _, t in K.plan({600: 4, 300: 4, 124: 4}, 1024)) == 4
@@ -145,5 +229,9 @@ def test_pieces_against_brute_force(spark):
         assert p.decode(ids) == t
     got = S.encode(table(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r.round_trip for r in got)
+    scores = {(r.doc_id, r.ids_crc32): r.score for r in got}
+    for k, t in ODD:
+        if t and len(t) <= 300:
+            assert np.isclose(scores[k, zlib.crc32(p.encode(t).tobytes())], brute(t))
     assert S.encode(table(spark, ODD).limit(0)).count() == 0
     assert S.encode(table(spark, ODD), ids=True).where("size(ids) <> n_pieces").count() == 0
