@@ -1,6 +1,6 @@
 """License scans by ordered signature rules.
 
-Rules are regexes over the lower-cased text, each gated by a literal keyword that its matches contain: a stem search over
+Rules are regexes over the lower-cased text, each gated by literal keywords that its matches contain: a stem search over
 whole blocks of text, then one Aho-Corasick pass over the texts that have a stem, tells which rules can match at all.
 Overlapping detections are resolved by priority and containment: one that lies within a detection of higher priority, or
 within a longer one of its own, is suppressed.
@@ -29,19 +29,19 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 #: label: (names, address patterns, SPDX identifier patterns). A blank in a name stands for any run of separators.
 LICENSES: dict[str, tuple[list[str], list[str], list[str]]] = {
     "gpl-1.0": (["gnu (?:general public license|gpl) (?:version |v )?1(?: 0)?"], [r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"], [r"gpl-1\.0(?:-only|-or-later|\+)?"]),
-    "gpl-2.0": (["gnu (?:general public license|gpl) (?:as published by the free software foundation )?(?:version |v )?2(?: 0)?", "gplv2"], [r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"], [r"gpl-2\.0(?:-only|-or-later|\+)?"]),
-    "gpl-3.0": (["gnu (?:general public license|gpl) (?:as published by the free software foundation )?(?:version |v )?3(?: 0)?", "gplv3"], [r"gnu\.org/licenses/gpl(?:-3\.0)?(?:\.html|\.txt)"], [r"gpl-3\.0(?:-only|-or-later|\+)?"]),
+    "gpl-2.0": (["gnu (?:general public license|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?2(?: 0)?", "version 2 of the gnu general public license", "gplv2"], [r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"], [r"gpl-2\.0(?:-only|-or-later|\+)?"]),
+    "gpl-3.0": (["gnu (?:general public license|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?3(?: 0)?", "version 3 of the gnu general public license", "gplv3"], [r"gnu\.org/licenses/gpl(?:-3\.0)?(?:\.html|\.txt)"], [r"gpl-3\.0(?:-only|-or-later|\+)?"]),
     "lgpl": (["gnu (?:lesser|library) general public license", "gnu lgpl"], [r"gnu\.org/licenses/lgpl\.(?:html|txt)"], []),
     "lgpl-2.0": (["gnu library general public license (?:version |v )?2(?: 0)?"], [r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"], [r"lgpl-2\.0(?:-only|-or-later|\+)?"]),
-    "lgpl-2.1": (["gnu lesser general public license (?:version |v )?2 1", "lgplv2 1"], [r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"], [r"lgpl-2\.1(?:-only|-or-later|\+)?"]),
-    "lgpl-3.0": (["gnu lesser general public license (?:version |v )?3(?: 0)?", "lgplv3"], [r"gnu\.org/licenses/lgpl-3\.0"], [r"lgpl-3\.0(?:-only|-or-later|\+)?"]),
-    "agpl-3.0": (["gnu affero general public license(?: version 3| v3)?", "affero gpl", "agplv3"], [r"gnu\.org/licenses/agpl"], [r"agpl-3\.0(?:-only|-or-later|\+)?"]),
+    "lgpl-2.1": (["gnu lesser general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )?2 1", "lgplv2 1"], [r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"], [r"lgpl-2\.1(?:-only|-or-later|\+)?"]),
+    "lgpl-3.0": (["gnu lesser general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )?3(?: 0)?", "lgplv3"], [r"gnu\.org/licenses/lgpl-3\.0"], [r"lgpl-3\.0(?:-only|-or-later|\+)?"]),
+    "agpl-3.0": (["gnu affero general public license(?: as published by the free software foundation)?(?: either)?(?: version 3| v3)?", "affero gpl", "agplv3"], [r"gnu\.org/licenses/agpl"], [r"agpl-3\.0(?:-only|-or-later|\+)?"]),
     "gfdl": (["gnu free documentation license", "gnu fdl"], [r"gnu\.org/(?:copyleft|licenses)/fdl"], [r"gfdl-1\.[123](?:-only|-or-later)?"]),
     "apache-1.0": (["apache (?:software )?license (?:version |v )?1 0"], [r"apache\.org/licenses/license-1\.0"], [r"apache-1\.0"]),
     "apache-1.1": (["apache (?:software )?license (?:version |v )?1 1"], [r"apache\.org/licenses/license-1\.1"], [r"apache-1\.1"]),
     "apache-2.0": (["apache (?:software )?license (?:version |v )?2(?: 0)?"], [r"apache\.org/licenses/license-2\.0"], [r"apache-2\.0"]),
     "mit-0": (["mit no attribution license"], [r"opensource\.org/licenses?/mit-0"], [r"mit-0"]),
-    "mit-text": (["permission is hereby granted free of charge to any person obtaining a copy"], [r"opensource\.org/licenses?/mit(?:-license)?(?:\.php)?"], [r"mit"]),
+    "mit": (["permission is hereby granted free of charge to any person obtaining a copy", "the above copyright notice and this permission notice shall be included", "expat license"], [r"opensource\.org/licenses?/mit(?:-license)?(?:\.php)?"], [r"mit"]),
     "bsd-2-clause": (["(?:2|two) clause bsd(?: license)?", "simplified bsd license", "freebsd license"], [r"opensource\.org/licenses?/bsd-2-clause"], [r"bsd-2-clause"]),
     "bsd-3-clause": (["(?:3|three) clause bsd(?: license)?", "new bsd license", "modified bsd license", "revised bsd license"], [r"opensource\.org/licenses?/bsd-3-clause"], [r"bsd-3-clause(?:-clear)?"]),
     "bsd-4-clause": (["(?:4|four) clause bsd(?: license)?", "original bsd license"], [], [r"bsd-4-clause"]),
@@ -73,7 +73,7 @@ LICENSES: dict[str, tuple[list[str], list[str], list[str]]] = {
     "wtfpl": (["do what the fuck you want to public license"], [r"wtfpl\.net"], [r"wtfpl"]),
     "public-domain": (["(?:released |placed |dedicated )(?:in|into|to) the public domain", "public domain dedication"], [r"creativecommons\.org/publicdomain/mark"], []),
     "cc0-1.0": (["cc0 1 0(?: universal)?", "creative commons (?:cc0|zero)(?: license)?"], [r"creativecommons\.org/publicdomain/zero/1\.0"], [r"cc0-1\.0"]),
-    "cc-by-text": (["creative commons attribution(?: license| international| unported| [1-4] [05])"], [r"creativecommons\.org/licenses/by/[1-4]\.[05]"], [r"cc-by-[1-4]\.[05]"]),
+    "cc-by": (["creative commons attribution(?: license| international| unported| [1-4] [05])"], [r"creativecommons\.org/licenses/by/[1-4]\.[05]"], [r"cc-by-[1-4]\.[05]"]),
     "cc-by-sa": (["creative commons attribution share ?alike", "cc by sa"], [r"creativecommons\.org/licenses/by-sa/[1-4]\.[05]"], [r"cc-by-sa-[1-4]\.[05]"]),
     "cc-by-nc": (["creative commons attribution non ?commercial", "cc by nc"], [r"creativecommons\.org/licenses/by-nc/[1-4]\.[05]"], [r"cc-by-nc-[1-4]\.[05]"]),
     "cc-by-nd": (["creative commons attribution no ?deriv(?:s|atives)", "cc by nd"], [r"creativecommons\.org/licenses/by-nd/[1-4]\.[05]"], [r"cc-by-nd-[1-4]\.[05]"]),
@@ -108,13 +108,66 @@ LICENSES: dict[str, tuple[list[str], list[str], list[str]]] = {
     "zpl-2.1": (["zope public license"], [r"zope\.org/resources/zpl"], [r"zpl-[12]\.[01]"]),
     "qpl-1.0": (["q public license"], [r"trolltech\.com/.{0,20}qpl"], [r"qpl-1\.0"]),
     "rail": (["responsible ai license", "openrail(?: m)? license", "creativeml open rail"], [r"licenses\.ai"], []),
+    "gpl": (["this program is free software you can redistribute it and or modify", "you should have received a copy of the gnu general public license"], [], []),
+    "apache": (["unless required by applicable law or agreed to in writing software distributed under the license"], [], []),
+    "bsd-text": (["redistribution and use in source and binary forms", "neither the name of the copyright holder nor the names of its contributors"], [], []),
+    "isc-text": (["permission to use copy modify and or distribute this software for any purpose"], [], []),
+    "zlib-text": (["altered source versions must be plainly marked as such"], [], []),
+    "mpl-text": (["this source code form is subject to the terms of the mozilla public license"], [], []),
+    "unlicense-text": (["this is free and unencumbered software released into the public domain"], [], []),
+    "gcc-exception": (["gcc runtime library exception"], [r"gnu\.org/licenses/gcc-exception"], [r"gcc-exception-[23]\.[01]"]),
+    "classpath-exception": (["classpath exception"], [r"gnu\.org/software/classpath/license"], [r"classpath-exception-2\.0"]),
+    "llvm-exception": (["llvm exceptions? to the apache"], [r"llvm\.org/license"], [r"llvm-exception"]),
+    "apsl": (["apple public source license"], [r"opensource\.apple\.com/apsl"], [r"apsl-[12]\.[0-2]"]),
+    "aladdin": (["aladdin free public license"], [r"artifex\.com/licensing/aladdin"], [r"aladdin"]),
+    "beerware": (["beer ?ware license", "buy me a beer in return"], [], [r"beerware"]),
+    "blueoak-1.0.0": (["blue oak model license"], [r"blueoakcouncil\.org/license"], [r"blueoak-1\.0\.0"]),
+    "cal-1.0": (["cryptographic autonomy license"], [r"opensource\.org/licenses?/cal-1\.0"], [r"cal-1\.0"]),
+    "catosl-1.1": (["computer associates trusted open source license"], [], [r"catosl-1\.1"]),
+    "cnri": (["cnri (?:python|open source) license"], [r"handle\.net/.{0,30}cnri"], [r"cnri-python"]),
+    "cpal-1.0": (["common public attribution license"], [r"opensource\.org/licenses?/cpal"], [r"cpal-1\.0"]),
+    "ecl-2.0": (["educational community license"], [r"opensource\.org/licenses?/ecl"], [r"ecl-[12]\.0"]),
+    "hpnd": (["historical permission notice and disclaimer"], [r"opensource\.org/licenses?/hpnd"], [r"hpnd"]),
+    "icu": (["icu license"], [r"icu-project\.org/.{0,30}license"], [r"icu"]),
+    "ijg": (["independent jpeg groups? software"], [], [r"ijg"]),
+    "json": (["the software shall be used for good not evil"], [r"json\.org/license"], [r"json"]),
+    "lppl": (["latex project public license"], [r"latex-project\.org/lppl"], [r"lppl-1\.[0-3][abc]?"]),
+    "mulan": (["mulan permissive software license", "mulan psl"], [r"license\.coscl\.org\.cn/mulanpsl"], [r"mulanpsl-[12]\.0"]),
+    "nasa-1.3": (["nasa open source agreement"], [r"opensource\.org/licenses?/nasa1\.3"], [r"nasa-1\.3"]),
+    "npl": (["netscape public license"], [r"mozilla\.org/npl"], [r"npl-1\.[01]"]),
+    "nokia": (["nokia open source license"], [r"opensource\.org/licenses?/nokia"], [r"nokia"]),
+    "oclc-2.0": (["oclc research public license"], [r"opensource\.org/licenses?/oclc"], [r"oclc-2\.0"]),
+    "parity": (["parity public license"], [r"paritylicense\.com"], [r"parity-[67]\.0\.0"]),
+    "polyform": (["polyform (?:noncommercial|shield|strict) license"], [r"polyformproject\.org/licenses"], [r"polyform-noncommercial-1\.0\.0"]),
+    "prosperity": (["prosperity public license"], [r"prosperitylicense\.com"], []),
+    "rpsl-1.0": (["realnetworks public source license"], [r"opensource\.org/licenses?/real"], [r"rpsl-1\.0"]),
+    "rpl-1.5": (["reciprocal public license"], [r"opensource\.org/licenses?/rpl"], [r"rpl-1\.[15]"]),
+    "sleepycat": (["sleepycat (?:public )?license"], [r"opensource\.org/licenses?/sleepycat"], [r"sleepycat"]),
+    "spl-1.0": (["sun public license"], [r"opensource\.org/licenses?/sunpublic"], [r"spl-1\.0"]),
+    "sissl": (["sun industry standards source license"], [r"opensource\.org/licenses?/sisslpl"], [r"sissl(?:-1\.2)?"]),
+    "watcom-1.0": (["sybase open watcom public license"], [r"opensource\.org/licenses?/watcom"], [r"watcom-1\.0"]),
+    "unicode": (["unicode license agreement", "unicode data files and software"], [r"unicode\.org/copyright"], [r"unicode-(?:dfs-201[56]|3\.0|tou)"]),
+    "vsl-1.0": (["vovida software license"], [r"opensource\.org/licenses?/vovidapl"], [r"vsl-1\.0"]),
+    "zend-2.0": (["zend (?:engine )?license"], [r"zend\.com/license"], [r"zend-2\.0"]),
+    "commons-clause": (["commons clause license condition"], [r"commonsclause\.com"], []),
+    "hippocratic-2.1": (["hippocratic license"], [r"firstdonoharm\.dev"], [r"hippocratic-2\.1"]),
+    "llama": (["llama [234] community license"], [r"ai\.meta\.com/llama/license"], []),
+    "gemma": (["gemma terms of use"], [r"ai\.google\.dev/gemma/terms"], []),
     "proprietary": (["all rights reserved", "unauthorized copying of this file", "proprietary and confidential"], [], [r"licenseref-proprietary"]),
 }
 
 #: Of a rule's kind: the priority, and the confidence it gives.
 TAG, ADDRESS, GRANT, NAME = 100, 90, 80, 60
 #: Every rule's match contains one of these stems; a text without any of them isn't looked at further.
-STEMS = tuple(x.encode() for x in ("licen", "spdx", "gpl", "gnu", "commons", "creative", "cc", "domain", "bsd", "mozilla", "eclipse", "opensource.org", "permission", "redistrib", "wtfpl", "odbl", "odc", "rights", "unauthorized", "proprietary", "rail", "cecill", "eupl", "vimhelp", "mariadb.com", "oracle.com", "w3.org", "trolltech", "zope.org", "sil.org"))
+STEMS = tuple(
+    x.encode() for x in (
+    "licen", "spdx", "gpl", "gnu", "commons", "creative", "cc", "domain", "bsd", "mozilla", "eclipse",
+    "opensource.org", "permission", "redistrib", "wtfpl", "odbl", "odc", "rights", "unauthorized", "proprietary",
+    "rail", "cecill", "eupl", "vimhelp", "mariadb.com", "oracle.com", "w3.org", "trolltech", "zope.org", "sil.org",
+    "redistribut", "altered", "contributors", "unencumbered", "llvm.org", "exception", "apsl", "artifex", "beer",
+    "handle.net", "jpeg", "evil", "lppl", "mulan", "nasa", "unicode", "firstdonoharm", "gemma",
+    )
+)
 
 _SEP = r"[\x00-/:-`{-\x7f]{1,24}"
 _FROM, _TO = r"(?<![0-9a-z\x80-\U0010ffff])", r"(?![0-9a-z\x80-\U0010ffff])"
@@ -123,7 +176,7 @@ _FROM, _TO = r"(?<![0-9a-z\x80-\U0010ffff])", r"(?![0-9a-z\x80-\U0010ffff])"
 class Rule(NamedTuple):
     label: str
     priority: int
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
 
 
@@ -152,42 +205,58 @@ def _spaced(name: str) -> str:
     return name.replace(" ?", "\0").replace(" ", _SEP).replace("\0", f"(?:{_SEP})?")
 
 
+_UNDER = rf"(?:licensed|released|distributed|available|provided|published){_SEP}under{_SEP}(?:the{_SEP}|a{_SEP})?(?:terms{_SEP}of{_SEP}(?:the{_SEP})?)?"
+#: Of an expression of identifiers, the operands before the one that a rule looks for.
+_OPERANDS = r"(?:[a-z0-9.+:-]+[ \t()]+(?:and|or|with)[ \t(]+)*?"
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     out = []
     for label, (names, addresses, tags) in LICENSES.items():
         for x in tags:
-            out.append(Rule(label, TAG, "spdx", re.compile(rf"spdx-license-identifier:[ \t(]*{x}(?![0-9a-z.+-])")))
-            out.append(Rule(label, GRANT, "licen", re.compile(rf"{_FROM}licen[cs]e(?:d under)?[\"']?[ \t]*[:=][ \t\"'\[]*{x}(?![0-9a-z.+-])")))
+            own = max(_keyword(x).split("/"), key=len)
+            tag = rf"spdx-license-identifier:[ \t(]*{_OPERANDS}(?P<x>{x})(?![0-9a-z.+-])"
+            out.append(Rule(label, TAG, ("spdx", own), re.compile(tag)))
+            field = rf"{_FROM}licen[cs]e(?:d under)?[\"']?[ \t]*[:=][ \t\"'\[]*{x}(?![0-9a-z.+-])"
+            out.append(Rule(label, GRANT, ("licen", own), re.compile(field)))
         for x in addresses:
-            out.append(Rule(label, ADDRESS, _keyword(x), re.compile(rf"(?:https?://)?(?:www\.)?{x}")))
+            out.append(Rule(label, ADDRESS, (_keyword(x),), re.compile(rf"(?:https?://)?(?:www\.)?{x}")))
         for x in names:
             # a name's blanks stand for any separators, so that its keyword is a single word
             word = max((_keyword(w, " ") for w in re.split(r" (?![^(]*\))", x)), key=len)
-            out.append(Rule(label, GRANT, word, re.compile(rf"{_FROM}(?:licensed|released|distributed|available|provided|published){_SEP}under{_SEP}(?:the{_SEP}|a{_SEP})?(?:terms{_SEP}of{_SEP}(?:the{_SEP})?)?{_spaced(x)}{_TO}")))
-            out.append(Rule(label, NAME, word, re.compile(rf"{_FROM}{_spaced(x)}{_TO}")))
+            out.append(Rule(label, GRANT, (word, "under"), re.compile(rf"{_FROM}{_UNDER}{_spaced(x)}{_TO}")))
+            out.append(Rule(label, NAME, (word,), re.compile(rf"{_FROM}{_spaced(x)}{_TO}")))
     return tuple(out)
 
 
 @cache
 def _gate() -> tuple[ahocorasick.Automaton, dict[str, list[Rule]]]:
     by: dict[str, list[Rule]] = {}
-    for r in rules():
-        by.setdefault(r.keyword, []).append(r)
     found = ahocorasick.Automaton()
-    for k in by:
-        found.add_word(k, k)
+    for r in rules():
+        by.setdefault(r.keywords[-1] if r.keywords[-1] != "under" else r.keywords[0], []).append(r)
+        for k in r.keywords:
+            found.add_word(k, k)
     found.make_automaton()
     return found, by
 
 
+def _hits(rule: Rule, low: str) -> list[tuple[int, int, int, str]]:
+    """(start, end, priority, label) of a rule's matches; of an expression, the place of the operand."""
+    x = "x" if "x" in rule.pattern.groupindex else 0
+    return [(m.start(x), m.end(x), rule.priority, rule.label) for m in rule.pattern.finditer(low)]
+
+
 def detect(low: str) -> list[tuple[int, int, int, str]]:
     """The detections that stand, (start, end, priority, label), in a lower-cased text."""
     found, by = _gate()
-    hits = []
-    for k in {k for _, k in found.iter(low)}:
-        for r in by[k]:
-            hits += [(m.start(), m.end(), r.priority, r.label) for m in r.pattern.finditer(low)]
+    there = {k for _, k in found.iter(low)}
+    hits: set[tuple[int, int, int, str]] = set()
+    for k in there:
+        for r in by.get(k, ()):
+            if there.issuperset(r.keywords):
+                hits.update(_hits(r, low))
     kept: list[tuple[int, int, int, str]] = []
     above_start, above_end = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for level in sorted({h[2] for h in hits}, reverse=True):
