@@ -10,8 +10,8 @@ array tells which strings they share:
 two-stage sorting sorts directly only the suffixes smaller than their successors; scanning the buckets of first bytes
 from the smallest up, each suffix read puts its predecessor, if that is larger, into the next place of its bucket.
 Adjacent common prefixes of WINDOW bytes or more are repeats. Blocks hold whole anchors and are bounded by
-BLOCK_BYTES or the slices of one anchor; anchors with more than HOT classes are dealt on by the hash of each suffix's
-first WINDOW bytes, so that only equal ones meet and their common prefix is known.
+BLOCK_BYTES or the slices of one anchor. Slices of anchors with more than HOT classes are cut on into chunks of CHUNK
+strings and dealt by what their strings share (see `_recut`); groups of chunks then meet in suffix arrays as well.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INVERSE, BYTE_VALUE, _mix, _power_table, documents, materialize, slices, text_bytes
+from .common import _BASE, _BASE_INVERSE, BYTE_VALUE, _mix, _power_table, column, documents, fresh, map_rows, materialize, row_id, slices, text_bytes
 
 WINDOW, GRAM = 200, 32
 BLOCK_BYTES = 1 << 20
-HOT = 40_000
+#: Classes of an anchor, or of a group of chunks, above which it is cut on.
+HOT, CHUNK = 1024, 32
 #: A text is searched for anchors in parts of so many string starts, each with the bytes its last strings need.
 PART = 1 << 20
 
@@ -46,11 +47,12 @@ def _eights(data: np.ndarray, big: bool) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The slices of the texts in data: anchor hash, text, first string start and number of strings (in data)."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The slices of the texts in data: anchor hash, text, first string start and number of strings (in data), and the
+    anchor's distance from the first string's start."""
     n, span = len(data), WINDOW - GRAM + 1
     if n < WINDOW:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     with np.errstate(over="ignore"):
         h = _mix(_eights(data, False)[:n])
         for step, by in ((8, 0x9E3779B97F4A7C15), (16, 0xC2B2AE3D27D4EB4F)):
@@ -74,7 +76,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
     run = np.flatnonzero(new)
-    return h[at[run]].view(np.int64), text[run], start[run], np.diff(np.append(run, len(at)))
+    return h[at[run]].view(np.int64), text[run], start[run], np.diff(np.append(run, len(at))), at[run] - start[run]
 
 
 def _direct(pos: np.ndarray, eights: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -226,7 +228,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _find(rows: DataFrame) -> DataFrame:
-    """h, s (hash of the slice's bytes), row, start, strings of all slices of rows (row, t)."""
+    """h, s (hash of the slice's bytes), row, start, strings and shift of all slices of rows (row, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,16 +241,16 @@ def _find(rows: DataFrame) -> DataFrame:
                     else:  # strings that start in this part; slices end at its end, in each text at the same places
                         d, base = data[lo : lo + PART + WINDOW - 1], lo
                         o = np.array([0, len(d)])
-                    h, text, start, strings = anchors(d, o)
+                    h, text, start, strings, shift = anchors(d, o)
                     if not len(h):
                         continue
                     raw = d.tobytes()
                     ends = start + strings + WINDOW - 1
                     s = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], np.uint64)
-                    columns = [pa.array(h), pa.array(s.view(np.int64)), pa.array(row[text]), pa.array(start - o[:-1][text] + base), pa.array(strings, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["h", "s", "row", "start", "strings"])
+                    columns = [pa.array(h), pa.array(s.view(np.int64)), pa.array(row[text]), pa.array(start - o[:-1][text] + base), pa.array(strings, pa.int32()), pa.array(shift, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["h", "s", "row", "start", "strings", "shift"])
 
-    return rows.mapInArrow(run, "h long, s long, row long, start long, strings int")
+    return rows.mapInArrow(run, "h long, s long, row long, start long, strings int, shift int")
 
 
 def _squeezed(rows: DataFrame) -> DataFrame:
@@ -265,7 +267,7 @@ def _squeezed(rows: DataFrame) -> DataFrame:
 
 
 def _cut(asked: DataFrame) -> DataFrame:
-    """The slices asked for, from rows (row, z, wants [(h, start, strings)], hot)."""
+    """The slices asked for, from rows (row, z, wants [(h, start, shift, strings)])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,19 +276,19 @@ def _cut(asked: DataFrame) -> DataFrame:
                 raw = zstandard.ZstdDecompressor().decompress(z.as_py())
                 for w in wants:
                     size += w["strings"] + WINDOW - 1
-                    out.append((w["h"], row, w["start"], raw[w["start"] : w["start"] + w["strings"] + WINDOW - 1]))
+                    out.append((w["h"], row, w["start"], w["shift"], raw[w["start"] : w["start"] + w["strings"] + WINDOW - 1]))
                 if size > 1 << 24:
                     yield _slice_batch(out)
                     out, size = [], 0
             if out:
                 yield _slice_batch(out)
 
-    return asked.mapInArrow(run, "h long, row long, start long, b binary")
+    return asked.mapInArrow(run, "h long, row long, start long, shift int, b binary")
 
 
 def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
-    h, row, start, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(b, pa.binary())], names=["h", "row", "start", "b"])
+    kinds = {"h": pa.int64(), "row": pa.int64(), "start": pa.int64(), "shift": pa.int32(), "b": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 def _sort(cut: DataFrame) -> DataFrame:
@@ -326,66 +328,136 @@ def _windows(cut: DataFrame) -> DataFrame:
     return cut.mapInArrow(run, "h2 binary, row long, start long")
 
 
+def _recut(cut: DataFrame, width: int) -> DataFrame:
+    """Slices cut on: strings whose anchor lies `width` * j to `width` * (j + 1) - 1 bytes after their start form chunk j.
+    g is a hash of the anchor, j and the bytes that all strings of a whole chunk share, so equal strings have equal g; s
+    is a hash of the chunk's bytes b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for batch in batches:
+            out = []
+            for h, row, start, shift, b in zip(*(batch.column(c).to_pylist() for c in ("h", "row", "start", "shift", "b")), strict=True):
+                least = shift - (len(b) - WINDOW)  # the last string's distance to its anchor
+                for j in range(least // width, shift // width + 1):
+                    far, near = min(shift, (j + 1) * width - 1), max(least, j * width)
+                    part = b[shift - far : shift - near + WINDOW]
+                    shared = b[shift - j * width : shift - (j + 1) * width + 1 + WINDOW]
+                    g = xxhash.xxh3_128_digest(shared, seed=(h ^ j) & (2**64 - 1))
+                    out.append((g, xxhash.xxh3_128_digest(part), row, start + shift - far, far - near + 1, part))
+                if len(out) > 1 << 14:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "s", "row", "start", "strings", "b"])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "s", "row", "start", "strings", "b"])
+
+    return cut.mapInArrow(run, "g binary, s binary, row long, start long, strings long, b binary")
+
+
+def _hot_marks(cut: DataFrame, hot: int) -> DataFrame:
+    """row, start, strings of the repeated strings of hot anchors. Equal chunks form classes, of which one goes on; groups
+    of several classes meet in suffix arrays. What only the edges of CHUNK strings tell apart and still has more than
+    `hot` classes is dealt by single strings, which are equal or apart."""
+    chunks = materialize(_recut(cut, CHUNK), "suffix-chunks")
+    classes = chunks.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "strings", "b")).alias("one"))
+    classes = materialize(classes.select("g", "s", "n", "one.*"), "suffix-chunk-classes")
+    equal = chunks.join(classes.where("n > 1").select("g", "s"), ["g", "s"], "left_semi").select("row", "start", "strings")
+    mixed = materialize(classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "suffix-chunk-groups")
+    few = classes.join(mixed.where(F.col("c") <= hot).select("g"), "g", "left_semi").select(F.col("g").alias("h"), "row", "start", "b")
+    marks = equal.unionByName(_sort(few.repartition("h").sortWithinPartitions("h")))
+    if mixed.where(F.col("c") > hot).limit(1).count():
+        single = _windows(classes.join(mixed.where(F.col("c") > hot).select("g"), "g", "left_semi").select("row", "start", "b"))
+        single = materialize(single, "suffix-strings")
+        again = materialize(single.groupBy("h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h2"), "suffix-strings-again")
+        marks = marks.unionByName(single.join(again, "h2", "left_semi").select("row", "start", F.lit(1).cast("long").alias("strings")))
+    return marks
+
+
 def repeated_strings(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """row, start, strings: the runs of repeated strings in rows (row, k, t)."""
     found = materialize(_find(rows.select("row", "t")), "suffix-found")
     # written, so that the join deals both its sides and can split an anchor that holds many rows
     several = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "suffix-anchors")
     slices_ = materialize(found.join(several, "h", "left_semi"), "suffix-slices")
-    classes = slices_.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "strings")).alias("one"))
+    classes = slices_.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "shift", "strings")).alias("one"))
     classes = materialize(classes.select("h", "s", "n", "one.*"), "suffix-classes")
     equal = slices_.join(classes.where("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("row", "start", F.col("strings").cast("long").alias("strings"))
-    mixed = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    wants = classes.join(mixed, "h").select("row", F.struct("h", "start", "strings").alias("w"), (F.col("classes") > hot).alias("hot"))
+    mixed = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "suffix-mixed")
+    wants = classes.join(mixed, "h").select("row", F.struct("h", "start", "shift", "strings").alias("w"), (F.col("classes") > hot).alias("hot"))
     wants = wants.groupBy("row", "hot").agg(F.collect_list("w").alias("wants"))
     asked = _squeezed(rows).select("row", "z").dropDuplicates(["row"]).join(wants, "row")
     marks = _sort(_cut(asked.where("NOT hot").select("row", "z", "wants")).repartition("h").sortWithinPartitions("h"))
-    single = _windows(_cut(asked.where("hot").select("row", "z", "wants")))
-    again = single.groupBy("h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h2")
-    marks_hot = single.join(again, "h2", "left_semi").select("row", "start", F.lit(1).cast("long").alias("strings"))
     out = equal.unionByName(materialize(marks, "suffix-marks"))
     if mixed.where(F.col("classes") > hot).limit(1).count():
-        out = out.unionByName(marks_hot)
+        out = out.unionByName(materialize(_hot_marks(_cut(asked.where("hot").select("row", "z", "wants")), hot), "suffix-hot-marks"))
     return out
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT, kept_text: bool = False) -> DataFrame:
-    """A row for each row of docs: bytes, removed bytes, maximal removed runs, SHA-256 of the bytes left, and with
-    kept_text=True `row` and `kept`, the text left: there, a removed run gives back bytes of characters it cuts.
+def _marks(rows: DataFrame, hot: int) -> DataFrame:
+    """row and marks, its repeated strings as (start, strings)."""
+    return repeated_strings(rows, hot).groupBy("row").agg(F.collect_set(F.struct("start", "strings")).alias("marks"))
+
+
+def _removed(marks: list | None) -> list[list[int]]:
+    """The maximal runs of bytes that the strings cover."""
+    runs: list[list[int]] = []
+    for a, b in sorted((x["start"], x["start"] + x["strings"] + WINDOW - 1) for x in marks or ()):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
+
+
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
+    """A row for each row of docs: bytes, removed bytes, maximal removed runs, SHA-256 of the bytes left.
 
     Strings are judged on the input, overlaps and the same text included. A null text counts as empty; texts under
     WINDOW bytes lose nothing; repeated rows are rows of their own, so both lose all of a text of WINDOW bytes or more;
     null keys stay null. Other columns are not read. An empty table gives no rows.
     """
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("row", F.xxhash64("k", "t"))
-    marks = repeated_strings(rows, hot).groupBy("row").agg(F.collect_set(F.struct("start", "strings")).alias("marks"))
-    joined = _squeezed(rows).join(marks, "row", "left").select("row", "k", "z", "marks")
+    rows = docs.select(column(key).cast("long").alias("k"), column(text).alias("t"), row_id(text, key).alias("row"))
+    joined = _squeezed(rows).join(_marks(rows, hot), "row", "left").select("k", "z", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for row, k, z, m in zip(batch.column("row").to_pylist(), batch.column("k").to_pylist(), batch.column("z"), batch.column("marks").to_pylist(), strict=True):
-                raw = read.decompress(z.as_py())
-                runs: list[list[int]] = []
-                for a, b in sorted((x["start"], x["start"] + x["strings"] + WINDOW - 1) for x in m or ()):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
+            for k, z, m in zip(batch.column("k").to_pylist(), batch.column("z"), batch.column("marks").to_pylist(), strict=True):
+                raw, runs = read.decompress(z.as_py()), _removed(m)
                 left = _without(raw, runs)
-                out.append((k, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), row, _without(raw, [_whole(raw, *r) for r in runs]).decode() if kept_text else None))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            arrays = [pa.array(c, t) for c, t in zip(columns[:5], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if kept_text:
-                arrays, names = [*arrays, pa.array(columns[5], pa.int64()), pa.array(columns[6], pa.string())], [*names, "row", "kept"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return joined.mapInArrow(run, _RESULT + ", row long, kept string" * kept_text)
+                out.append((k, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return joined.mapInArrow(run, _RESULT)
+
+
+def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
+    """docs, each text without its repeated strings; every row and column stays, whatever the columns' names. A removed
+    run gives back the bytes of characters that it cuts. Null texts stay null; the rest is as in dedup()."""
+    rows = docs.select(column(key).cast("long").alias("k"), column(text).alias("t"), row_id(text, key).alias("row"))
+    row, marks = fresh(docs, "row"), fresh(docs, "marks")
+    found = _marks(rows, hot).select(F.col("row").alias(row), F.col("marks").alias(marks))
+    joined = docs.withColumn(row, row_id(text, key)).join(found, row, "left")
+    joined = joined.select(*map(column, docs.columns), marks)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, m in enumerate(batch.column(len(batch.columns) - 1).to_pylist()):
+                if m:
+                    raw = texts[i].encode()
+                    texts[i] = _without(raw, [_whole(raw, *r) for r in _removed(m)]).decode()
+            columns = [pa.array(texts, c.type) if j == at else c for j, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return map_rows(joined, run, docs.columns)
 
 
 def _without(raw: bytes, runs: list) -> bytes:

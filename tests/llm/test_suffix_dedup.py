@@ -32,13 +32,22 @@ def corpus():
     return ODD + [(100 + i, t) for i, t in enumerate(p + more)]
 
 
-@pytest.mark.parametrize("hot", [S.HOT, 1])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "chunk"), [(S.HOT, S.CHUNK), (1, 32), (3, 7), (0, 200)])
+def test_against_brute_force(spark, hot, chunk, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", chunk)
     rows = corpus()
     got = Counter(tuple(r) for r in S.dedup(table(spark, rows).repartition(3), hot=hot).collect())
     assert got == brute(rows)
 
 
+def test_hot_passage(spark):
+    """One passage in many texts, each with its own words around: cut on by chunks, and at its edges by strings."""
+    passage = prose(1, 30, 200)[0].ljust(700, "p")[:700]
+    around = prose(80, 31, 60)
+    rows = [(i, around[i] + passage + around[-1 - i]) for i in range(40)]
+    assert Counter(tuple(r) for r in S.dedup(table(spark, rows), hot=8).collect()) == brute(rows)
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(S, "PART", 700)
     text = prose(1, 6, 4000)[0] * 2
@@ -51,9 +60,23 @@ def test_long_text_in_parts(spark, monkeypatch):
 
 def test_kept_text_has_whole_characters(spark):
     body = "é" * 150
-    rows = [(1, "ab" + body + "ü"), (2, "cd" + body + "ö")]
-    got = {r.doc_id: r.kept for r in S.dedup(table(spark, rows), kept_text=True).collect()}
-    assert got == {1: "abü", 2: "cdö"}
+    rows = [(1, "ab" + body + "ü"), (2, "cd" + body + "ö"), (3, None)]
+    assert {r.doc_id: r.text for r in S.remove(table(spark, rows)).collect()} == {1: "abü", 2: "cdö", 3: None}
+
+
+def test_removal_keeps_rows_and_columns(spark):
+    """int keys, repeated rows, null keys and columns named like the operator's own."""
+    rows = corpus()
+    d = table(spark, rows).selectExpr("CAST(doc_id AS INT) AS doc_id", "text", "1 AS __row", "2 AS __MARKS", "3 AS `a.b`", "map('x', 1) AS m")
+    out = S.remove(d)
+    assert out.schema == d.schema
+    got = Counter((r.doc_id, len((r.text or "").encode()), r["__row"], r["__MARKS"], r["a.b"]) for r in out.collect())
+    want = Counter()
+    for (k, n, gone, _, _), c in brute(rows).items():
+        want[k, n - gone, 1, 2, 3] += c
+    different = (got - want) + (want - got)
+    assert all("é" in t for k, t in rows if k in {k for k, *_ in different})  # cut characters come back whole
+    assert S.remove(d.limit(0)).count() == 0
 
 
 def test_suffix_array_and_prefixes():
