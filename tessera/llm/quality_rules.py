@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import IN_WORD, counts_between, documents, slices, span_hashes, text_bytes, word_bounds
+from .common import IN_WORD, counts_between, documents, map_rows, slices, span_hashes, text_bytes, word_bounds
 
 #: A document that loses more than this share of its words with its failed lines is rejected.
 MAX_LOST = 0.5
@@ -25,12 +25,18 @@ SYMBOLS = 3
 #: A line with so many exclamation marks, one to two words at least, is shouting.
 SHOUTS = 6
 
-#: Phrases (lower case) of lines that sites repeat on each page.
+#: Phrases (lower case, ASCII) of lines that sites repeat on each page, in the corpus' four languages.
 BOILERPLATE = (
     "accept cookies", "add to cart", "all rights reserved", "back to top", "click here", "cookie policy",
     "enable javascript", "follow us on", "forgot password", "javascript is disabled", "leave a comment", "log in to",
     "lorem ipsum", "powered by wordpress", "privacy policy", "read more", "share this", "sign in to", "sign up for",
     "skip to content", "subscribe to our", "terms of service", "terms of use", "uses cookies", "view all",
+    "alle rechte vorbehalten", "cookies akzeptieren", "hier klicken", "in den warenkorb", "jetzt anmelden", "kommentar schreiben",
+    "nach oben", "newsletter abonnieren", "passwort vergessen", "verwendet cookies", "weiterlesen", "zum inhalt springen",
+    "accepter les cookies", "ajouter au panier", "aller au contenu", "cliquez ici", "haut de page", "laisser un commentaire",
+    "lire la suite", "mot de passe perdu", "se connecter", "tous droits", "utilise des cookies", "voir tout",
+    "aceptar cookies", "aviso legal", "deja un comentario", "haga clic", "ir al contenido", "leer todo", "seguir leyendo",
+    "todos los derechos", "utiliza cookies", "ver todos", "volver arriba",
 )
 
 _SYMBOL, _SEPARATOR, _END = (np.isin(np.arange(256), list(x)) for x in (b"#*$%&|<>", b"|>", b".!?:;\"')]"))
@@ -145,27 +151,33 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, all columns, their texts without the failed lines."""
+    """The rows of docs that the rules keep, all columns, their texts without the failed lines.
+
+    A null or empty text has no words and goes; repeated rows are judged alike; null keys, and columns of any names, pass
+    through. An empty table gives no rows.
+    """
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for part in slices(batch, text):
+            for part in slices(batch, batch.schema.names[at]):
                 data, offsets = text_bytes(part.column(at))
                 m = measure(data, offsets)
                 texts = part.column(at).to_pylist()
                 raw, cut = data.tobytes(), np.flatnonzero(m["line_failed"])
+                # failed lines are in the order of their documents
+                first = np.searchsorted(m["line_doc"][cut], np.arange(len(part) + 1))
                 for i in np.unique(m["line_doc"][cut]).tolist():
                     pieces, done = [], int(offsets[i])
-                    for j in cut[m["line_doc"][cut] == i].tolist():
+                    for j in cut[first[i] : first[i + 1]].tolist():
                         pieces.append(raw[done : int(m["line_start"][j])])
                         done = min(int(m["line_end"][j]) + 1, int(offsets[i + 1]))
                     pieces.append(raw[done : int(offsets[i + 1])])
                     texts[i] = b"".join(pieces).decode()
-                columns = [pa.array(texts, part.schema.field(at).type) if k == at else c for k, c in enumerate(part.columns)]
+                columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(m["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
