@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages of the corpus operators, one after the other."""
+"""The corpus pipeline: stages of the corpus operators, one after the other.
+
+Each stage takes documents of any columns beside doc_id (a whole number of any width, or null) and text (null counts as
+empty), and all but the last return the same columns. Repeated rows are documents of their own up to exact dedup. An
+empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -10,30 +15,30 @@ from tessera.llm.common import documents, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; failed lines of the others are removed."""
+    """Documents that the quality rules reject go, null and empty texts with them; failed lines of the others are removed.
+    Repeated rows are judged alike."""
     return _counted(quality_rules.clean(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts, null and empty ones being equal, the row with the largest doc_id stays; null keys are smaller than
+    all others, and of rows equal in both one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays, the one with the smallest doc_id."""
+    """Of each group of near copies one row stays, the one with the smallest doc_id, null keys last; rows are told apart
+    by key and text. Rows without words all stay."""
     return jaccard_join.keep_one(docs)
 
 
 def suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that occur more than once are removed from all documents; every document stays."""
-    left = suffix_dedup.dedup(docs, kept_text=True).select(F.col("row").alias("__row"), F.col("kept").alias("__kept"))
-    # equal rows have equal texts left, so one of each serves them all
-    rest = docs.withColumn("__row", F.xxhash64("doc_id", "text")).drop("text").join(left.dropDuplicates(["__row"]), "__row")
-    return _counted(rest.withColumn("text", F.col("__kept")).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    """Strings of 200 bytes that occur more than once are removed from all documents; every row stays, null texts null."""
+    return _counted(suffix_dedup.remove(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of what is left, with their sequences and places."""
+    """The token pieces of what is left, with their sequences and places; a null or empty text is the end token alone."""
     return packing.pack(docs)
 
 
@@ -46,6 +51,7 @@ STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard j
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again as the next one's input."""
     docs = documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
