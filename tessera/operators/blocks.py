@@ -1,15 +1,20 @@
 """Blocks: extraction, cosine transforms, quantisation, scan orders, chroma prediction, passes.
 
-A block is a row with an array of its samples in row order, so the transforms are array expressions inside the JVM: a
-picture's pixels are gathered once, by block.
+A block is a row with an array of its samples in row order: a picture's pixels are gathered once, by block. Transforms and
+quantisation are matrix products over all blocks of an Arrow batch; an array expression would interpret a thousand steps a
+block. What touches a sample once (scans, activity, passes) stays in the JVM.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.scalar import clamp, let
 
@@ -43,40 +48,34 @@ def _basis(n: int) -> list[list[float]]:
     return [[math.sqrt((1 if k == 0 else 2) / n) * math.cos((2 * i + 1) * k * math.pi / (2 * n)) for i in range(n)] for k in range(n)]
 
 
-def _table(rows: list[list[float]]) -> Column:
-    return F.array(*[F.array(*map(F.lit, r)) for r in rows])
+def _each_block(blocks: DataFrame, column: str, out: str, kind: str, of: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """blocks with the array column `out`: a numpy function of all blocks of an Arrow batch, a row of samples each."""
+    names = [c for c in blocks.columns if c != out]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples = batch.column(column).flatten().to_numpy(zero_copy_only=False)
+            result = of(samples.reshape(len(batch), -1), batch) if len(batch) else samples
+            ends = np.arange(len(batch) + 1, dtype=np.int32) * (result.shape[1] if len(batch) else 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(ends, result.ravel())], names=[*names, out])
 
-def _product(rows: list[list[float]], samples: Column, width: int, length: int, along: str) -> Column:
-    """Each line of the block (rows, or columns) times a matrix: an array in the same layout."""
-    n = len(rows)
-    out_width, out_length = (n, length) if along == "x" else (width, n)
-    terms = width if along == "x" else length
-    table, steps = _table(rows), F.sequence(F.lit(0), F.lit(terms - 1))
+    fields = [blocks.schema[c] for c in names]
+    return blocks.mapInArrow(run, StructType([*fields, StructField(out, ArrayType(DoubleType() if kind == "double" else IntegerType()))]))
 
-    def one(i: Column) -> Column:
-        x, y = i % out_width, F.call_function("div", i, F.lit(out_width))
-        k = x if along == "x" else y
 
-        def term(acc: Column, j: Column) -> Column:
-            at = y * width + j if along == "x" else j * width + x
-            return acc + F.get(F.get(table, k.cast("int")), j.cast("int")) * F.get(samples, at.cast("int"))
-
-        return F.aggregate(steps, F.lit(0.0), term)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(out_width * out_length - 1)), one)
+def _products(blocks: DataFrame, rows: np.ndarray, columns: np.ndarray) -> DataFrame:
+    """Each block's rows times a matrix, then its columns: two products for all blocks of a batch."""
+    w, h = len(rows), len(columns)
+    return _each_block(blocks, "coef", "coef", "double", lambda s, _: (columns @ (s.reshape(-1, h, w) @ rows.T)).reshape(-1, h * w))
 
 
 def dct(blocks: DataFrame, bw: int = 8, bh: int = 8) -> DataFrame:
-    """Orthonormal two-dimensional DCT-II, rows, then columns: two products of bw and bh terms for each coefficient."""
-    rows = blocks.withColumn("coef", let(F.col("coef"), lambda s: _product(_basis(bw), s, bw, bh, "x")))
-    return rows.withColumn("coef", let(F.col("coef"), lambda s: _product(_basis(bh), s, bw, bh, "y")))
+    """Orthonormal two-dimensional DCT-II of blocks of bw x bh samples."""
+    return _products(blocks, np.array(_basis(bw)), np.array(_basis(bh)))
 
 
 def idct(blocks: DataFrame, bw: int = 8, bh: int = 8) -> DataFrame:
-    turned = lambda n: [list(r) for r in zip(*_basis(n), strict=True)]
-    rows = blocks.withColumn("coef", let(F.col("coef"), lambda s: _product(turned(bw), s, bw, bh, "x")))
-    return rows.withColumn("coef", let(F.col("coef"), lambda s: _product(turned(bh), s, bw, bh, "y")))
+    return _products(blocks, np.array(_basis(bw)).T, np.array(_basis(bh)).T)
 
 
 def matrix_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -102,14 +101,26 @@ def quant_step(c: Column, i: Column, distance: float, scale: Column) -> Column:
     return F.lit(max(1.0, 8.0 * distance)) * (1.0 + 0.5 * (x + y)) * clamp(1.0 / scale, 0.5, 2.0) * F.when(c > 0, 1.5).otherwise(1.0)
 
 
+def _steps(batch: pa.RecordBatch, distance: float, scale: str) -> np.ndarray:
+    """quant_step of all 64 coefficients of each block in a batch."""
+    i = np.arange(64)
+    grow = max(1.0, 8.0 * distance) * (1.0 + 0.5 * (i % 8 + i // 8))
+    by_scale = np.clip(1.0 / batch.column(scale).to_numpy(), 0.5, 2.0)
+    return grow * by_scale[:, None] * np.where(batch.column("c").to_numpy() > 0, 1.5, 1.0)[:, None]
+
+
 def quantise(blocks: DataFrame, distance: float, scale: str = "scale") -> DataFrame:
     """q: coefficients over their steps, half away from zero, clamped to 16 bits."""
-    one = lambda v, i, s: clamp(F.round(v / quant_step(F.col("c"), i, distance, s)), -32768.0, 32767.0).cast("int")
-    return blocks.withColumn("q", let(F.col(scale), lambda s: F.transform("coef", lambda v, i: one(v, i, s))))
+
+    def of(coef: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        q = coef / _steps(batch, distance, scale)
+        return np.clip(np.copysign(np.floor(np.abs(q) + 0.5), q), -32768, 32767).astype(np.int32)
+
+    return _each_block(blocks, "coef", "q", "int", of)
 
 
 def dequantise(blocks: DataFrame, distance: float, scale: str = "scale") -> DataFrame:
-    return blocks.withColumn("coef", let(F.col(scale), lambda s: F.transform("q", lambda v, i: v * quant_step(F.col("c"), i, distance, s))))
+    return _each_block(blocks, "q", "coef", "double", lambda q, batch: q * _steps(batch, distance, scale))
 
 
 def zigzag_order(n: int = 8) -> list[int]:
@@ -165,6 +176,7 @@ def quality_layers(distance: float, layers: int) -> list[float]:
     return [start * (distance / start) ** (i / max(1, layers - 1)) for i in range(layers)]
 
 
+# fixed values: the limits of block_sizes
 def block_sizes(px: DataFrame, width: int, height: int) -> DataFrame:
     """size of each 8 x 8 block by the variances (of samples in 0..1) of itself and of those right, below and across."""
     d = px.groupBy("image_id", "c", F.expr("y div 8").alias("by"), F.expr("x div 8").alias("bx")).agg((F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v")).alias("a"))

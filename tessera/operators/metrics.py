@@ -31,10 +31,12 @@ def _db(mse: Column, peak: float) -> Column:
 
 
 def psnr(pair: DataFrame, peak: float = 255.0) -> DataFrame:
-    """Per channel, and overall (c null) from the mean of the channels' errors."""
+    """Per channel, and overall (c null) from the mean of the channels' errors: a picture's few channels as one array."""
     d = pair.groupBy("image_id", "c").agg(F.avg((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("mse"))
-    whole = d.groupBy("image_id").agg(F.avg("mse").alias("mse")).select("image_id", F.lit(None).cast("long").alias("c"), "mse")
-    return d.select("image_id", "c", "mse").unionByName(whole).withColumn("psnr", _db(F.col("mse"), peak))
+    row = F.struct(F.col("c").cast("long").alias("c"), "mse")
+    whole = F.struct(F.lit(None).cast("long").alias("c"), F.avg("mse").alias("mse"))
+    d = d.groupBy("image_id").agg(F.concat(F.collect_list(row), F.array(whole)).alias("rows"))
+    return d.select("image_id", F.inline("rows")).withColumn("psnr", _db(F.col("mse"), peak))
 
 
 def pooled_psnr(pair: DataFrame, peak: float = 255.0) -> DataFrame:

@@ -6,6 +6,7 @@ beside. Only what depends on its own earlier output (the extended tree, reconstr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -61,10 +62,13 @@ def all_predictors(px: DataFrame, width: int) -> DataFrame:
 
 
 def properties(px: DataFrame, width: int) -> DataFrame:
-    """What decisions look at. A neighbour outside the picture is replaced by the nearest one inside."""
+    """What decisions look at. A neighbour outside the picture is replaced by the nearest one inside; zn, zw and znw are
+    the same neighbours with 0 outside, as predictors see them."""
     n, w = F.coalesce("n", "w", F.lit(0)), F.coalesce("w", "n", F.lit(0))
     nw = F.when(F.col("n").isNotNull() & F.col("w").isNotNull(), F.col("nw")).otherwise(F.coalesce("n", "w", F.lit(0)))
-    d = neighbours(px, width).select("image_id", "c", "y", "x", "v", n.alias("n"), w.alias("w"), nw.alias("nw"), F.when(F.col("n").isNotNull(), F.coalesce("ne", "n")).otherwise(n).alias("ne"))
+    ne = F.when(F.col("n").isNotNull(), F.coalesce("ne", "n")).otherwise(n)
+    plain = [F.coalesce(k, F.lit(0)).alias("z" + k) for k in ("n", "w", "nw")]  # what predictors see
+    d = neighbours(px, width).select("image_id", "c", "y", "x", "v", n.alias("n"), w.alias("w"), nw.alias("nw"), ne.alias("ne"), *plain)
     n, w, nw = F.col("n"), F.col("w"), F.col("nw")
     return d.withColumns({"gradient_h": F.abs(w - nw), "gradient_v": F.abs(n - nw), "w_nw": w - nw, "n_nw": n - nw, "n_ne": n - F.col("ne")})
 
@@ -95,37 +99,65 @@ def walk(tree, leaf) -> Column:
 def tree_predict(px: DataFrame, width: int, tree: Decision = DEFAULT_TREE) -> DataFrame:
     """context, p and r for a tree that looks at samples alone: fully parallel."""
     d = properties(px, width)
-    plain = neighbours(px, width).select("image_id", "c", "y", "x", *[F.coalesce(k, F.lit(0)).alias("z" + k) for k in ("n", "w", "nw")])
-    d = d.join(plain, [*PLANE, "y", "x"])
     p = predictors(F.col("zn"), F.col("zw"), F.col("znw"))
     origin = (F.col("x") == 0) & (F.col("y") == 0)
     d = d.withColumn("context", walk(tree, lambda t: F.lit(t[1]))).withColumn("p", F.when(origin, 0).otherwise(walk(tree, lambda t: p[t[0]])).cast("int"))
     return d.select("image_id", "c", "y", "x", "v", "context", "p", (F.col("v") - F.col("p")).alias("r"))
 
 
+def _diagonals(height: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(y, x) of each anti-diagonal in turn: all neighbours of its samples lie on those before."""
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        yield y, d - y
+
+
 def _plane_walk(values: np.ndarray, tree, inverse: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The extended tree in raster order; inverse: values are residuals, and samples are rebuilt."""
+    """The extended tree over a plane, a diagonal at a time; inverse: values are residuals, and samples are rebuilt."""
     h, w = values.shape
-    v = np.zeros((h, w), np.int64) if inverse else values.astype(np.int64)
-    r, ctx = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
-    for y in range(h):
-        for x in range(w):
-            n, wv, nw = (int(v[y - 1, x]) if y else 0), (int(v[y, x - 1]) if x else 0), (int(v[y - 1, x - 1]) if x and y else 0)
-            pn, pw = (n if y else wv), (wv if x else n)
-            pnw = nw if x and y else n if y else wv
-            around = [abs(int(r[y - 1, x])) if y else 0, abs(int(r[y, x - 1])) if x else 0, abs(int(r[y - 1, x - 1])) if x and y else 0]
-            props = {"gradient_h": abs(pw - pnw), "gradient_v": abs(pn - pnw), "w_nw": pw - pnw, "n_nw": pn - pnw, "max_residual": max(around)}
-            t = tree
-            while not isinstance(t, tuple):
-                t = t.left if props[t.prop] <= t.threshold else t.right
-            kind, ctx[y, x] = t
-            p = {"zero": 0, "west": wv, "north": n, "average_wn": (wv + n) // 2, "gradient": max(0, min(65535, n + wv - nw)), "select": wv if abs(n - nw) < abs(wv - nw) else n, "average_wnw": (wv + nw) // 2, "average_nnw": (n + nw) // 2}[kind] if x or y else 0
-            if inverse:
-                r[y, x] = values[y, x]
-                v[y, x] = p + r[y, x]
-            else:
-                r[y, x] = v[y, x] - p
-    return (v if inverse else r), ctx
+    v, r = np.zeros((2, h + 1, w + 1), np.int64)  # with a row above and a column before
+    ctx = np.zeros((h, w), np.int64)
+    (r if inverse else v)[1:, 1:] = values
+    for y, x in _diagonals(h, w):
+        n, wv, nw = v[y, x + 1], v[y + 1, x], v[y, x]
+        pn, pw = np.where(y > 0, n, wv), np.where(x > 0, wv, n)
+        pnw = np.where((y > 0) & (x > 0), nw, np.where(y > 0, n, wv))
+        around = np.maximum.reduce([np.abs(r[y, x + 1]), np.abs(r[y + 1, x]), np.abs(r[y, x])])
+        props = {"gradient_h": np.abs(pw - pnw), "gradient_v": np.abs(pn - pnw), "w_nw": pw - pnw, "n_nw": pn - pnw, "max_residual": around}
+        kinds = {
+            "zero": np.zeros_like(n), "west": wv, "north": n, "average_wn": (wv + n) // 2, "gradient": np.clip(n + wv - nw, 0, 65535),
+            "select": np.where(np.abs(n - nw) < np.abs(wv - nw), wv, n), "average_wnw": (wv + nw) // 2, "average_nnw": (n + nw) // 2,
+        }
+
+        def leaf(t) -> tuple[np.ndarray, np.ndarray]:
+            if isinstance(t, tuple):
+                return kinds[t[0]], np.full_like(n, t[1])
+            low = props[t.prop] <= t.threshold
+            return tuple(np.where(low, a, b) for a, b in zip(leaf(t.left), leaf(t.right), strict=True))
+
+        p, ctx[y, x] = leaf(tree)
+        p = np.where((x > 0) | (y > 0), p, 0)
+        if inverse:
+            v[y + 1, x + 1] = p + r[y + 1, x + 1]
+        else:
+            r[y + 1, x + 1] = v[y + 1, x + 1] - p
+    return (v if inverse else r)[1:, 1:], ctx
+
+
+def undo_gradient(residuals: DataFrame, width: int, height: int) -> DataFrame:
+    """v of gradient_predict's r, a plane at a time and in it a diagonal at a time."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        r, v = np.zeros((height, width), np.int64), np.zeros((height + 1, width + 1), np.int64)
+        r[frame["y"], frame["x"]] = frame["r"]
+        for y, x in _diagonals(height, width):
+            n, w, nw = v[y, x + 1], v[y + 1, x], v[y, x]
+            p = np.where(y == 0, w, np.where(x == 0, n, np.clip(n + w - nw, 0, 65535)))
+            v[y + 1, x + 1] = r[y, x] + p
+        y, x = np.divmod(np.arange(width * height), width)
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "c": frame["c"].iloc[0], "y": y, "x": x, "v": v[1:, 1:].ravel()})
+
+    return residuals.select(*PLANE, "y", "x", "r").groupBy(*PLANE).applyInPandas(run, "image_id long, c long, y long, x long, v long")
 
 
 def _per_plane(px: DataFrame, width: int, height: int, value: str, out: str, inverse: bool, tree=EXTENDED_TREE) -> DataFrame:
@@ -158,6 +190,13 @@ def residual_contexts(residuals: DataFrame, width: int) -> DataFrame:
     return d.select("image_id", "c", "y", "x", "r", (size * 2 + (n > w).cast("int")).cast("int").alias("context"))
 
 
+def max_residual(residuals: DataFrame, width: int) -> DataFrame:
+    """The largest size of the three decided residuals around each one: the tree's property of what came before."""
+    d = neighbours(residuals.withColumn("a", F.abs("r")), width, "a")
+    largest = F.greatest(*[F.coalesce(k, F.lit(0)) for k in ("n", "w", "nw")])
+    return d.select("image_id", "c", "y", "x", largest.cast("int").alias("max_residual"))
+
+
 def rice_parameters(contexts: DataFrame) -> DataFrame:
     """floor(log2(mean)) of the folded residuals of each context; 0 where the mean is 0."""
     d = contexts.withColumn("u", fold_sign(F.col("r"))).groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.sum("u").cast("long").alias("total"))
@@ -190,12 +229,13 @@ def dc_residuals(dc: DataFrame) -> DataFrame:
 
 def zero_runs(coefficients: DataFrame, *block: str) -> DataFrame:
     """(block, k, q) with k from 1 to 63: the zeros before each other coefficient, and an end row (k 64, q null) with the
-    trailing zeros, if there are any."""
-    full = coefficients.where("k > 0 AND q <> 0")
-    d = full.withColumn("zeros", F.col("k") - F.lag("k", 1, 0).over(Window.partitionBy(*block).orderBy("k")) - 1).select(*block, "k", "q", "zeros")
-    last = coefficients.groupBy(*block).agg(F.coalesce(F.max(F.when((F.col("k") > 0) & (F.col("q") != 0), F.col("k"))), F.lit(0)).alias("last"))
-    end = last.where("last < 63").select(*block, F.lit(64).cast("int").alias("k"), F.lit(None).cast("int").alias("q"), (63 - F.col("last")).alias("zeros"))
-    return d.select(*block, F.col("k").cast("int").alias("k"), F.col("q").cast("int").alias("q"), F.col("zeros").cast("int").alias("zeros")).unionByName(end.select(*block, "k", "q", F.col("zeros").cast("int").alias("zeros")))
+    trailing zeros, if there are any. One window: the last coefficient's row stands for the end where it is 0."""
+    before = Window.partitionBy(*block).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    here = (F.col("k") > 0) & (F.col("q") != 0)
+    d = coefficients.select(*block, "k", "q", F.coalesce(F.max(F.when(here, F.col("k"))).over(before), F.lit(0)).alias("last")).where(here | (F.col("k") == 63))
+    number = lambda v, name: v.cast("int").alias(name)
+    k, zeros = F.when(here, F.col("k")).otherwise(64), F.when(here, F.col("k") - F.col("last") - 1).otherwise(63 - F.col("last"))
+    return d.select(*block, number(k, "k"), number(F.when(here, F.col("q")), "q"), number(zeros, "zeros"))
 
 
 def keyframes(frames: DataFrame, interval: int, max_delta: int) -> DataFrame:

@@ -1,9 +1,12 @@
 """Round trips and axioms that SQL does not show."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 
 from tessera.operators import blocks as B
+from tessera.operators import coding as K
 from tessera.operators import entropy as E
 from tessera.operators import motion as M
 from tessera.operators import prediction as P
@@ -110,3 +113,57 @@ def test_noise_is_the_generators(spark):
         state, v = R.xorshift(state)
         out.append(v >> 56)
     assert [r.v for r in R.noise(spark, 2, 2, [42], 1).orderBy("y", "x").collect()] == out
+
+
+@pytest.mark.parametrize(("width", "height", "levels"), [(13, 21, 3), (1, 9, 2), (8, 8, 3), (5, 1, 1), (17, 10, 2)])
+def test_tiles_give_the_steps(spark, width, height, levels):
+    """All levels in tiles are the steps one after the other, at any size, and come back."""
+    rng = np.random.default_rng(width)
+    values = rng.integers(-300, 300, (2, height, width))
+    px = spark.createDataFrame([(7, c, y, x, int(values[c, y, x])) for c in range(2) for y in range(height) for x in range(width)], "image_id long, c long, y long, x long, v int")
+    steps = reduce(lambda d, s: W.step(d, *s), W.step_plan(width, height, levels), px)
+    rows = lambda d: sorted(tuple(r) for r in d.select("c", "y", "x", "v").collect())
+    coded = W.forward(px, width, height, levels)
+    assert rows(coded) == rows(steps)
+    assert rows(W.inverse(coded, width, height, levels)) == rows(px)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_planes_come_back_from_bytes(seed):
+    rng = np.random.default_rng(seed)
+    for most in (1, 5, 100, 70_000):
+        h, w = rng.integers(1, 20, 2)
+        r = rng.integers(-most, most + 1, (h, w)) if seed else np.zeros((h, w), np.int64)
+        assert (K.read_plane(K.write_plane(r), w, h) == r).all()
+        symbols = rng.integers(0, most % 50 + 2, int(rng.integers(0, 300))).tolist()
+        assert K.read_matches(K.write_matches(symbols)) == symbols
+        freq = rng.integers(0, 4, int(rng.integers(0, 40))).tolist()
+        assert all(K.read_table(K.Reader(K.write_table(freq, k))) == freq for k in (None, True, False))
+
+
+def test_truncated_sections_raise():
+    data = K.write_plane(np.arange(64).reshape(8, 8))
+    for n in (0, 1, 3):
+        with pytest.raises(ValueError):
+            K.read_plane(data[:n], 8, 8)
+
+
+def test_extended_tree_against_single_samples(spark):
+    """The walk over diagonals against one sample at a time."""
+    rng = np.random.default_rng(5)
+    values = np.where(rng.random((9, 12)) < 0.5, rng.integers(0, 40, (9, 12)), rng.integers(0, 4000, (9, 12)))
+    r, ctx = P._plane_walk(values, P.EXTENDED_TREE, False)
+    for y in range(9):
+        for x in range(12):
+            at = lambda a, dy, dx: int(a[y - dy, x - dx]) if y >= dy and x >= dx else 0
+            n, w, nw = at(values, 1, 0), at(values, 0, 1), at(values, 1, 1)
+            pn, pw = n if y else w, w if x else n
+            pnw = nw if x and y else n if y else w
+            props = {"gradient_h": abs(pw - pnw), "gradient_v": abs(pn - pnw), "w_nw": pw - pnw, "n_nw": pn - pnw}
+            props["max_residual"] = max(abs(at(r, 1, 0)), abs(at(r, 0, 1)), abs(at(r, 1, 1)))
+            t = P.EXTENDED_TREE
+            while not isinstance(t, tuple):
+                t = t.left if props[t.prop] <= t.threshold else t.right
+            p = {"zero": 0, "west": w, "north": n, "gradient": max(0, min(65535, n + w - nw)), "select": w if abs(n - nw) < abs(w - nw) else n, "average_wnw": (w + nw) // 2, "average_nnw": (n + nw) // 2}[t[0]]
+            assert (ctx[y, x], r[y, x]) == (t[1], values[y, x] - (p if x or y else 0))
+    assert (P._plane_walk(r, P.EXTENDED_TREE, True)[0] == values).all()
