@@ -173,3 +173,19 @@ def grow(differences: DataFrame, threshold: float, most: int, peak: int = 255) -
     sums = d.groupBy("image_id", "by", "bx", "dy", "dx", "side").agg(F.sum("sad").alias("sad"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
     good = sums.where((F.col("blocks") == F.col("side") * F.col("side")) & (1 - F.col("sad") / (F.col("n") * float(peak)) >= threshold))
     return good.groupBy("image_id", "by", "bx", "dy", "dx").agg(F.array_sort(F.collect_list("side")).alias("sides")).select("image_id", "by", "bx", "dy", "dx", F.size(F.filter("sides", lambda v, i: v == i + 1)).alias("side")).where("side > 0")
+
+
+def pixel_gaussian(seed: int, *keys: str) -> Column:
+    """A normal deviate for each pixel from a hash of its place: the same on any cluster, in any order."""
+    uniform = lambda n: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(n), *keys), 11).cast("double") + 0.5) * 2.0**-53
+    return box_muller(uniform(1), uniform(2), 1.0)
+
+
+def add_noise(value: Column, deviate: Column, amplitude: float, strength: Column, peak: float = 255.0) -> Column:
+    """A sample with noise of a twentieth of the peak times amplitude and strength, clamped."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(peak), value + deviate * amplitude * strength * peak * 0.05))
+
+
+def noisy_coefficients(px: DataFrame, amplitude: float, strength: float, deviate: Column) -> DataFrame:
+    """Rows (.., i, v: coefficient i of its block) with noise that grows from the mean to the high frequencies."""
+    return px.withColumn("v", F.col("v") + deviate * amplitude * strength * noise_weight(F.col("i")) * 2.0)

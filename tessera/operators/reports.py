@@ -53,6 +53,7 @@ def throughput_gate(now: DataFrame, baseline: DataFrame, threshold: float = 0.1)
     return d.withColumn("passed", F.col("rate") >= F.col("base_rate") * (1 - threshold))
 
 
+# fixed values: the steps of estimated_psnr
 def estimated_psnr(ratio: Column) -> Column:
     """A rough step table, for rows without a decoded picture."""
     return F.when(ratio <= 1, 50.0).when(ratio <= 2, 45.0).when(ratio <= 5, 40.0).when(ratio <= 10, 35.0).when(ratio <= 20, 30.0).otherwise(25.0)
@@ -89,6 +90,32 @@ def structure_checks(files: DataFrame) -> DataFrame:
     return d.withColumn("passed", F.expr("not_empty AND long_enough AND signature AND width_ok AND height_ok AND channels_ok"))
 
 
+def stream_summary(checked: DataFrame) -> DataFrame:
+    """Of structure_checks' rows: streams, passed, failed, how many fail each check, and whether all passed."""
+    checks = [c for c in checked.columns if c not in ("file_id", "passed")]
+    failing = [F.count_if(~F.col(c)).alias(f"no_{c}") for c in checks]
+    return checked.agg(F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), *failing, (F.count_if(~F.col("passed")) == 0).alias("all_passed"))
+
+
+# fixed values: the largest side of a medical frame, its depths and numbers of channels
+MEDICAL_SIDE, MEDICAL_DEPTHS, MEDICAL_CHANNELS = 16384, (8, 12, 16, 32), (1, 3)
+
+
+def medical_checks(frames: DataFrame) -> DataFrame:
+    """The first limit of medical pictures that each frame fails, or null."""
+    size = F.col("width").cast("long") * F.col("height")
+    reason = F.when(F.greatest("width", "height") > MEDICAL_SIDE, "side").when(size > MEDICAL_SIDE * MEDICAL_SIDE, "pixels")
+    return frames.withColumn("failed", reason.when(~F.col("bits").isin(*MEDICAL_DEPTHS), "bits").when(~F.col("channels").isin(*MEDICAL_CHANNELS), "channels"))
+
+
+def json_summary(bench: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One JSON text: how many rows, their mean seconds and ratio (0 without rows), and how many alerts."""
+    mean = lambda c, n: F.format_string(f"%.{n}f", F.coalesce(F.avg(c), F.lit(0.0)))
+    d = bench.agg(F.count(F.lit(1)).alias("n"), mean(F.col("seconds"), 6).alias("s"), mean(F.col("bytes_in") / F.col("bytes_out"), 4).alias("r"))
+    d = d.crossJoin(alerts.agg(F.count(F.lit(1)).alias("a")))  # one row and one row
+    return d.select(F.format_string('{"total":%d,"mean_seconds":%s,"mean_ratio":%s,"regressions":%d}', "n", "s", "r", "a").alias("summary"))
+
+
 def json_report(bench: DataFrame) -> DataFrame:
     """One JSON text a category, its rows by name; built of bounded groups by aggregation."""
     row = F.concat(F.lit('{"name":"'), json_escape(F.col("name")), F.lit('","bytes":'), F.col("bytes_out").cast("long").cast("string"), F.lit("}"))

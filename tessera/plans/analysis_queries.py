@@ -66,11 +66,21 @@ def perceptual_distance(spark, sf):
     return d.select(*longs("image_id"), r4(F.col("distance")).alias("distance"))
 
 
-@query("all_metrics", f"WITH {PX}, {PAIR}, m AS (SELECT image_id, c, avg((a - b) * (a - b)) AS mse FROM pair GROUP BY ALL), o AS (SELECT image_id, avg(mse) AS mse FROM m GROUP BY 1), p2 AS ({_HALF('pair')}), p4 AS ({_HALF('p2')}), a AS ({_SCALE(0, 'pair')}), b AS ({_SCALE(1, 'p2')}), d AS ({_SCALE(2, 'p4')}) SELECT image_id, {_DB} AS psnr, {s4('least(1, pow(greatest(0, a.cs), 0.0448) * pow(greatest(0, b.cs), 0.2856) * pow(greatest(0, d.cs), 0.3001) * pow(greatest(0, d.lum), 0.3001))')} AS ms_ssim FROM o JOIN a USING (image_id) JOIN b USING (image_id) JOIN d USING (image_id)")
+_ALL = f"""WITH {PX}, {PAIR}, m AS (SELECT image_id, c, avg((a - b) * (a - b)) AS mse FROM pair GROUP BY ALL), o AS (SELECT image_id, avg(mse) AS mse FROM m GROUP BY 1),
+  p2 AS ({_HALF('pair')}), p4 AS ({_HALF('p2')}), a AS ({_SCALE(0, 'pair')}), b AS ({_SCALE(1, 'p2')}), d AS ({_SCALE(2, 'p4')}),
+  w AS (SELECT image_id, c, wy, wx, {_MOM} FROM pair JOIN range(25) p(wy) ON y BETWEEN wy AND wy + 7 JOIN range(25) q(wx) ON x BETWEEN wx AND wx + 7 GROUP BY ALL),
+  k AS (SELECT image_id, c, avg({_LUM} * {_CS}) AS s FROM w GROUP BY ALL), s AS (SELECT image_id, avg(s) AS ssim FROM k GROUP BY 1),
+  e AS (SELECT p.image_id, sqrt({_MASK(0, 1)} + {_MASK(1, 0.7)} + {_MASK(2, 0.3)}) AS d FROM {_OPP('a')} p JOIN {_OPP('b')} q USING (image_id, y, x)),
+  f AS (SELECT image_id, 0.6 * max(d) + 0.4 * avg(d) AS distance FROM e GROUP BY 1)"""
+_WEIGHED = "least(1, pow(greatest(0, a.cs), 0.0448) * pow(greatest(0, b.cs), 0.2856) * pow(greatest(0, d.cs), 0.3001) * pow(greatest(0, d.lum), 0.3001))"
+
+
+@query("all_metrics", f"{_ALL} SELECT image_id, {_DB} AS psnr, {s4('ssim')} AS ssim, {s4(_WEIGHED)} AS ms_ssim, {s4('distance')} AS distance FROM o JOIN a USING (image_id) JOIN b USING (image_id) JOIN d USING (image_id) JOIN s USING (image_id) JOIN f USING (image_id)")
 def all_metrics(spark, sf):
-    pair = _pair(spark, sf)
-    d = A.psnr(pair).where("c IS NULL").select("image_id", F.round("psnr", 4).alias("psnr")).join(A.ms_ssim(pair, 32, 32), "image_id")
-    return d.select(*longs("image_id"), "psnr", r4(F.col("ms_ssim")).alias("ms_ssim"))
+    pair, px = _pair(spark, sf), R.embedding_pictures(spark, sf)
+    d = A.psnr(pair).where("c IS NULL").select("image_id", F.round("psnr", 4).alias("psnr"))
+    d = d.join(A.ssim(pair, 32, 32), "image_id").join(A.ms_ssim(pair, 32, 32), "image_id").join(A.perceptual_distance(px, px.withColumn("v", F.col("v") - F.col("v") % 8)), "image_id")
+    return d.select(*longs("image_id"), "psnr", *[r4(F.col(k)).alias(k) for k in ("ssim", "ms_ssim", "distance")])
 
 
 @query("downsample", f"WITH {PX} SELECT image_id, c, y // 2 AS y, x // 2 AS x, {s4('avg(v)')} AS v FROM px GROUP BY ALL")
@@ -396,9 +406,9 @@ def image_header(spark, sf):
     return _headers(spark, sf).select("file_id", *[h[k].alias(k) for k in ("width", "height", "bits", "channels")])
 
 
-@query("structure_checks", "SELECT event_id AS file_id, event_id * 13 % 5000 >= 1 AS width_ok, event_id % 6 BETWEEN 1 AND 4 AS channels_ok, event_id * 13 % 5000 >= 1 AND event_id % 6 BETWEEN 1 AND 4 AS passed FROM events")
+@query("structure_checks", "SELECT event_id AS file_id, true AS not_empty, true AS long_enough, true AS signature, event_id * 13 % 5000 >= 1 AS width_ok, true AS height_ok, event_id % 6 BETWEEN 1 AND 4 AS channels_ok, event_id * 13 % 5000 >= 1 AND event_id % 6 BETWEEN 1 AND 4 AS passed FROM events")
 def structure_checks(spark, sf):
-    return T.structure_checks(_headers(spark, sf)).select("file_id", "width_ok", "channels_ok", "passed")
+    return T.structure_checks(_headers(spark, sf)).select("file_id", "not_empty", "long_enough", "signature", "width_ok", "height_ok", "channels_ok", "passed")
 
 
 @query("header_round_trip", "SELECT event_id AS frame_id, true AS exact FROM events")
@@ -535,13 +545,3 @@ def series_check(spark, sf):
 def frame_check(spark, sf):
     d = R.table(spark, sf, "events").select("event_id", (F.col("event_id") % 300000).alias("width"), (F.col("event_id") % 7).alias("height"), (F.col("event_id") % 6).alias("channels"), F.element_at(F.array(*map(F.lit, (8, 10, 12, 16))), (F.col("event_id") % 4 + 1).cast("int")).alias("bits"))
     return T.frame_checks(d).select("event_id", "failed")
-
-
-@query("conformance_summary", f"WITH {_BENCH}, {_EST}, {_VAL} SELECT category, reasons, count(*) AS n FROM val GROUP BY ALL")
-def conformance_summary(spark, sf):
-    return T.validate(_estimates(spark, sf), 38.0, 0.85, 5000.0).groupBy("category", "reasons").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("presets", "SELECT * FROM (VALUES ('subtle', 0.15::DOUBLE), ('medium', 0.35::DOUBLE), ('film', 0.45::DOUBLE)) t(name, amplitude)")
-def presets(spark, sf):
-    return spark.createDataFrame([("subtle", 0.15), ("medium", 0.35), ("film", 0.45)], "name string, amplitude double")

@@ -43,14 +43,6 @@ def lossy_pixels(spark, sf):
     return lossy(R.embedding_pictures(spark, sf), 1.1).select(*longs(*KEYS), "v")
 
 
-@query("progressive_psnr")
-def progressive_psnr(spark, sf):
-    """Quality grows with each pass: a row a picture and pass."""
-    px = R.embedding_pictures(spark, sf)
-    parts = [A.psnr(A.align(px, lossy(px, 1.1, p))).where("c IS NULL").select(*longs("image_id"), F.lit(p).alias("pass"), r4(F.col("mse")).alias("mse")) for p in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 @query("lossy_symbols", f"WITH {_Q} SELECT CASE WHEN w + u = 0 THEN 0 ELSE 1 END::INT AS context, CASE WHEN q >= 0 THEN 2 * q ELSE -2 * q - 1 END::INT AS sym, count(*) AS n FROM q GROUP BY ALL")
 def lossy_symbols(spark, sf):
     """The symbols of the coder: context 0 for means, 1 for all others."""
@@ -77,12 +69,20 @@ def _lossless(px: DataFrame) -> DataFrame:
     return C.rct_inverse(back.select(*KEYS, (F.col("v") - 256).cast("int").alias("v"))).select(*longs(*KEYS), F.col("v").cast("int").alias("v"))
 
 
-@query("interleaved_ycbcr", f"WITH {PX}, t AS (SELECT image_id, y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM px GROUP BY ALL) SELECT image_id, (y * 32 + x)::INT AS i, {s4('0.299::DOUBLE * r / 255 + 0.587::DOUBLE * g / 255 + 0.114::DOUBLE * b / 255')} AS luma FROM t")
+_LUMA = ["0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b", "-0.168736::DOUBLE * r - 0.331264::DOUBLE * g + 0.5::DOUBLE * b", "0.5::DOUBLE * r - 0.418688::DOUBLE * g - 0.081312::DOUBLE * b"]
+_WIDE = f"WITH {PX}, t AS (SELECT image_id, y, x, max(v) FILTER (c = 0) / 255.0::DOUBLE AS r, max(v) FILTER (c = 1) / 255.0::DOUBLE AS g, max(v) FILTER (c = 2) / 255.0::DOUBLE AS b FROM px GROUP BY ALL)"
+
+
+@query("interleaved_ycbcr", f"{_WIDE} SELECT image_id, (y * 32 + x)::INT AS i, {s4(_LUMA[0])} AS luma, {s4(_LUMA[1] + ' + 0.5')} AS cb, {s4(_LUMA[2] + ' + 0.5')} AS cr FROM t")
 def interleaved_ycbcr(spark, sf):
-    """Luma of interleaved samples, as the array kernels do it: triples by position in one array."""
+    """All three channels of interleaved samples, as the array kernels do it: triples by position in one array."""
     d = A.interleave(R.embedding_pictures(spark, sf), 32, 3)
-    luma = S.let(F.col("samples"), lambda s: F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: 0.299 * F.get(s, i * 3) / 255 + 0.587 * F.get(s, i * 3 + 1) / 255 + 0.114 * F.get(s, i * 3 + 2) / 255))
-    return d.select(*longs("image_id"), F.posexplode(luma).alias("i", "luma")).select("image_id", F.col("i").cast("int").alias("i"), r4(F.col("luma")).alias("luma"))
+    # fixed values: BT.601
+    weights = {"luma": (0.299, 0.587, 0.114, 0.0), "cb": (-0.168736, -0.331264, 0.5, 0.5), "cr": (0.5, -0.418688, -0.081312, 0.5)}
+    mix = lambda s, i, w: sum((F.get(s, i * 3 + k) / 255 * w[k] for k in range(3)), F.lit(w[3]))
+    triple = lambda s, i: F.struct(*[mix(s, i, w).alias(k) for k, w in weights.items()])
+    rows = S.let(F.col("samples"), lambda s: F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: triple(s, i)))
+    return d.select(*longs("image_id"), F.posexplode(rows).alias("i", "v")).select("image_id", F.col("i").cast("int").alias("i"), *[r4(F.col(f"v.{k}")).alias(k) for k in weights])
 
 
 @query("patch_growth", f"""WITH {EV}, blk AS (SELECT image_id, y // 4 AS bty, x // 4 AS btx, y % 4 AS j, x % 4 AS i, v FROM ev),

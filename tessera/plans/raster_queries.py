@@ -254,9 +254,13 @@ _PROPS = f"""{_NEAR}, pr AS (SELECT {K}, v, coalesce(n, w, 0) AS pn, coalesce(w,
   CASE WHEN n IS NOT NULL THEN coalesce(ne, n) ELSE coalesce(n, w, 0) END AS pne, coalesce(n, 0) AS n, coalesce(w, 0) AS w, coalesce(nw, 0) AS nw FROM near)"""
 
 
-@query("tree_properties", f"WITH {_PROPS} SELECT {K}, abs(pw - pnw)::INT AS gradient_h, abs(pn - pnw)::INT AS gradient_v, (pw - pnw)::INT AS w_nw, (pn - pnw)::INT AS n_nw, (pn - pne)::INT AS n_ne FROM pr")
+@query("tree_properties", f"WITH {_PROPS} SELECT {K}, c AS channel, pn::INT AS north, pw::INT AS west, pnw::INT AS north_west, abs(pw - pnw)::INT AS gradient_h, abs(pn - pnw)::INT AS gradient_v, (pw - pnw)::INT AS w_nw, (pn - pnw)::INT AS n_nw, (pn - pne)::INT AS n_ne FROM pr")
 def tree_properties(spark, sf):
-    return P.properties(R.embedding_pictures(spark, sf), 32).select(*longs(*KEYS), *[F.col(k).cast("int").alias(k) for k in ("gradient_h", "gradient_v", "w_nw", "n_nw", "n_ne")])
+    """Nine of the ten; the tenth looks at residuals, see max_residual."""
+    d = P.properties(R.embedding_pictures(spark, sf), 32)
+    whole = lambda c, name: F.col(c).cast("int").alias(name)
+    values = [whole("n", "north"), whole("w", "west"), whole("nw", "north_west")]
+    return d.select(*longs(*KEYS), F.col("c").cast("long").alias("channel"), *values, *[whole(k, k) for k in ("gradient_h", "gradient_v", "w_nw", "n_nw", "n_ne")])
 
 
 _TREE = f"""{_PROPS}, tr AS (SELECT *, CASE WHEN abs(pw - pnw) <= 16 THEN CASE WHEN abs(pn - pnw) <= 16 THEN 0 ELSE 1 END ELSE CASE WHEN abs(pn - pnw) <= 16 THEN 2 ELSE 3 END END AS context FROM pr),

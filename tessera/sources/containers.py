@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,12 +31,17 @@ def box(kind: Column, payload: Column) -> Column:
     return F.when(n.cast("long") + 8 <= 0xFFFFFFFF, small).otherwise(large)
 
 
+def _joined(column: str, of: Callable[[Column], Column]) -> Column:
+    """The binary parts of an array, one after the other: their hex texts are joined once, and read back."""
+    return F.unhex(F.array_join(F.transform(column, lambda x: F.hex(of(x))), ""))
+
+
 def containers(boxes: DataFrame) -> DataFrame:
     """(file_id, kind, payload) to (file_id, data), in the order of ORDER, others last, equal kinds as they come by seq."""
     place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind"))
     d = boxes.withColumn("at", F.when(place == 0, len(ORDER) + 1).otherwise(place)).withColumn("b", box(F.col("kind"), F.col("payload")))
     d = d.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "b"))).alias("s"))
-    return d.select("file_id", F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("data"))
+    return d.select("file_id", _joined("s", lambda x: x["b"]).alias("data"))
 
 
 def parse(data: bytes) -> list[tuple[int, str, bytes]]:
@@ -83,6 +88,106 @@ def codestream(files: DataFrame) -> DataFrame:
     return files.join(boxed, "file_id", "left").select("file_id", F.when(bare, F.col("data")).otherwise(F.col("stream")).alias("stream"))
 
 
+class Container:
+    """Boxes put together step by step, each step a new builder; build() gives the file's bytes as a column."""
+
+    def __init__(self, stream: Column, boxes: dict[str, Column] | None = None):
+        self._stream, self._boxes = stream, boxes or {}
+
+    def _with(self, kind: str, payload: Column) -> Container:
+        return Container(self._stream, {**self._boxes, kind: payload})
+
+    def level(self, level: int) -> Container:
+        return self._with("jxll", F.lit(bytes([level])))
+
+    def icc(self, profile: Column) -> Container:
+        return self._with("colr", F.concat(F.lit(b"prof"), profile))
+
+    def exif(self, block: Column) -> Container:
+        return self._with("Exif", F.concat(F.lit(bytes(4)), block))
+
+    def xml(self, text: Column) -> Container:
+        return self._with("xml ", F.encode(text, "utf-8"))
+
+    def thumbnail(self, stream: Column) -> Container:
+        return self._with("jhgm", stream)
+
+    def frame_index(self, index: Column) -> Container:
+        return self._with("jxli", index)
+
+    def build(self) -> Column:
+        """The signature, the file type, the boxes in the order of ORDER, others after them, the stream last."""
+        head = {"JXL ": F.lit(SIGNATURE), "ftyp": F.lit(b"jxl \0\0\0\0jxl ")}
+        others = [k for k in self._boxes if k not in ORDER]
+        every = {**head, **self._boxes, "jxlc": self._stream}
+        kinds = [k for k in (*ORDER[:-1], *others, ORDER[-1]) if k in every]
+        return F.concat(*[box(F.lit(k), every[k]) for k in kinds])
+
+
+def bits(n: Column, width: int) -> Column:
+    """A number as a text of bits, the highest first."""
+    return F.lpad(F.bin(n.cast("long")), width, "0")
+
+
+def flag(on: Column) -> Column:
+    return F.when(on, "1").otherwise("0")
+
+
+def pack_bits(text: Column) -> Column:
+    """Bits as bytes, zeros after the last."""
+    full = F.rpad(text, F.ceil(F.length(text) / 8).cast("int") * 8, F.lit("0"))
+    fours = F.sequence(F.lit(1), F.length(full), F.lit(4))
+    return F.unhex(F.array_join(F.transform(fours, lambda i: F.conv(F.substring(full, i, F.lit(4)), 2, 16)), ""))
+
+
+#: Names of a colour encoding's fields, their numbers being their places; the first of each, with TRANSFERS' "srgb" and
+#: INTENTS' "relative", is the default.
+SPACES, WHITES, PRIMARIES = ("rgb", "grey", "xyb", "unknown"), ("d65", "custom", "e", "dci"), ("srgb", "custom", "bt2100", "p3")
+TRANSFERS, INTENTS = ("bt709", "unknown", "linear", "srgb", "pq", "hlg", "gamma"), ("perceptual", "relative", "saturation", "absolute")
+#: Encodings of whole colour spaces: (profile, space, white, primaries, transfer, intent). What has no encoding of its own
+#: (cmyk) falls back to the default; custom colours come with a profile.
+ENCODINGS = {
+    "srgb": (False, "rgb", "d65", "srgb", "srgb", "relative"),
+    "linear": (False, "rgb", "d65", "srgb", "linear", "relative"),
+    "grey": (False, "grey", "d65", "srgb", "srgb", "relative"),
+    "cmyk": (False, "rgb", "d65", "srgb", "srgb", "relative"),
+    "custom": (True, "rgb", "d65", "custom", "srgb", "relative"),
+}
+
+
+def _colour_text(profile: bool, space: str, white: str, primaries: str, transfer: str, intent: str) -> str:
+    """One bit for the default; one for a profile, which stands for all else; then the fields, with room for custom
+    values, which are 0 here."""
+    if (profile, space, white, primaries, transfer, intent) == ENCODINGS["srgb"]:
+        return "1"
+    if profile:
+        return "01"
+    out = f"00{SPACES.index(space):02b}{WHITES.index(white):02b}" + "0" * 64 * (white == "custom")
+    if space == "rgb":
+        out += f"{PRIMARIES.index(primaries):02b}" + "0" * 192 * (primaries == "custom")
+    return out + f"{TRANSFERS.index(transfer):03b}" + "0" * 24 * (transfer == "gamma") + f"{INTENTS.index(intent):02b}"
+
+
+def colour_bits(space: Column) -> Column:
+    """The bits of the colour encoding that a colour space's name maps to; null for an unknown name."""
+    out = F.lit(None).cast("string")
+    for name, fields in ENCODINGS.items():
+        out = F.when(space == name, _colour_text(*fields)).otherwise(out)
+    return out
+
+
+def metadata_bits(m: dict[str, Column]) -> Column:
+    """The bits of an image's metadata: depth, alpha, extra (channels), xyb, space, orientation, ticks (numerator, 0 without
+    animation), per (denominator), loops. One bit where all are the default."""
+    default = (m["depth"] == 8) & ~m["alpha"] & (m["extra"] == 0) & ~m["xyb"] & (colour_bits(m["space"]) == "1") & (m["orientation"] == 1) & (m["ticks"] == 0)
+    wide = F.when(m["depth"] <= 8, F.concat(F.lit("00"), bits(m["depth"], 8))).when(m["depth"] <= 16, F.concat(F.lit("01"), bits(m["depth"], 16)))
+    depth = F.when(m["depth"] == 8, "1").otherwise(F.concat(F.lit("0"), wide.otherwise(F.concat(F.lit("10"), bits(m["depth"], 32)))))
+    extra = F.concat(flag(m["alpha"]), F.when(m["alpha"] | (m["extra"] > 0), bits(m["extra"], 8)).otherwise(""))
+    turn = F.when(m["orientation"] == 1, "1").otherwise(F.concat(F.lit("0"), bits(m["orientation"] - 1, 3)))
+    moving = F.when(m["ticks"] == 0, "0").otherwise(F.concat(F.lit("1"), *[bits(m[k], 32) for k in ("ticks", "per", "loops")]))
+    return F.when(default, "1").otherwise(F.concat(F.lit("0"), depth, extra, flag(m["xyb"]), colour_bits(m["space"]), turn, moving))
+
+
 def metadata(files: DataFrame) -> DataFrame:
     """Exif (without its four-byte offset), XML and colour profile (without its four-byte kind) of each file."""
     first = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.col("payload")), F.when(F.col("kind") == kind, F.col("seq")))
@@ -128,7 +233,7 @@ def frame_index(entries: DataFrame) -> DataFrame:
     """(file_id, i, size, offset, duration): a count, then 32, 64 and 32 bits an entry."""
     e = F.concat(big_endian(F.col("size"), 4), big_endian(F.col("offset"), 8), big_endian(F.col("duration"), 4))
     d = entries.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("i", e.alias("e")))).alias("s"))
-    return d.select("file_id", F.concat(big_endian(F.size("s"), 4), F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["e"]))).alias("data"))
+    return d.select("file_id", F.concat(big_endian(F.size("s"), 4), _joined("s", lambda x: x["e"])).alias("data"))
 
 
 def read_frame_index(files: DataFrame) -> DataFrame:
@@ -224,8 +329,8 @@ def header_round_trip(frames: DataFrame) -> DataFrame:
 def sections(parts: DataFrame) -> DataFrame:
     """(frame_id, i, data): the count and all lengths first, then the payloads."""
     d = parts.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("i", "data"))).alias("s"))
-    lengths = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, big_endian(F.octet_length(x["data"]), 4)))
-    return d.select("frame_id", F.concat(big_endian(F.size("s"), 4), lengths, F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["data"]))).alias("data"))
+    lengths = _joined("s", lambda x: big_endian(F.octet_length(x["data"]), 4))
+    return d.select("frame_id", F.concat(big_endian(F.size("s"), 4), lengths, _joined("s", lambda x: x["data"])).alias("data"))
 
 
 def pixmaps(px: DataFrame, width: int, height: int) -> DataFrame:
