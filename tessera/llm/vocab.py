@@ -15,7 +15,7 @@ from functools import cache
 
 #: Pieces kept in each Python worker, in two generations, none of more than LONGEST characters: some 250 bytes each.
 #: Bounds memory, not results.
-CACHED, LONGEST = 600_000, 48
+CACHED, LONGEST = 400_000, 48
 FOLDER = "/opt/tokenizers"
 
 #: White space, as the tokenizers see it: not the separators x1C to x1F, which Python's \s has too.
