@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import column, documents, fresh, materialize
 
 #: regions > racks > weights of the shards: 3 x 2 x 4
 TOPOLOGY = tuple(tuple(tuple(1.0 for _ in range(4)) for _ in range(2)) for _ in range(3))
@@ -51,7 +51,7 @@ def place(df: DataFrame, key: Column, tree: tuple, name: str) -> DataFrame:
             for s in range(len(shards)):
                 numbers[r, k, s] = n
                 n += 1
-    region, rack = f"__{name}_region", f"__{name}_rack"
+    region, rack = fresh(df, f"{name}_region"), fresh(df, f"{name}_rack")
     df = df.withColumn(region, _pick(key, (), [total(x) for x in tree]))
     df = df.withColumn(rack, _cases(F.col(region), [_pick(key, (r,), [total(x) for x in racks]) for r, racks in enumerate(tree)]))
     leaf = _cases(F.col(region), [_cases(F.col(rack), [_pick(key, (r, k), list(shards)) + F.lit(numbers[r, k, 0]) for k, shards in enumerate(racks)]) for r, racks in enumerate(tree)])
@@ -64,12 +64,16 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", tree: tuple
     The key and the tree alone decide the shard, so rows repeated with the same key share one, and so do all null keys.
     Null texts count as empty: size 8, checksum 0. slot numbers a shard's rows from 0 without gaps: rows are numbered
     within PARTS hashed parts of each shard and the parts' sizes are summed up before them, so that no task holds a
-    whole shard. Other columns are not read. An empty table gives no rows.
+    whole shard; rows repeated with key and text part by the partition they are read in. The sizes are a row a shard
+    and part, at most 100 shards x PARTS x 24 bytes = 10 MB, and are broadcast. Which slot a row gets depends on how the
+    table is read; that slots are gapless does not. Other columns are not read. An empty table gives no rows.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body).cast("long") + F.lit(8)).alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"))
+    body = F.coalesce(column(text), F.lit(""))
+    rows = docs.select(column(key).cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + F.lit(8)).alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"))
     rows = place(place(rows, F.col("doc_id"), tree, "shard"), F.col("doc_id"), grow(tree), "grown_shard")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int"))
+    spread = F.xxhash64(F.lit("slot"), "doc_id", "text_crc32", "size", F.spark_partition_id())
+    # written, so that the parts' sizes and the numbers in them come from the same rows, and texts are read once
+    rows = materialize(rows.withColumn("part", F.pmod(spread, F.lit(PARTS)).cast("int")), "shard-rows")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1
