@@ -54,6 +54,16 @@ def row_id(text: str, key: str) -> Column:
     return F.xxhash64(column(key).cast("long"), column(text))
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches from Spark's default of 64 MB to 8 MB: each batch is held by the JVM and by a
+    Python worker at once, for each task. A setting of the session's own stays."""
+    if spark.conf.get(_BATCH) in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(_BATCH, "8m")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

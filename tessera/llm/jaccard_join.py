@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, column, counts_between, documents, fresh, materialize, release, row_id, slices, small, span_hashes, text_bytes, word_bounds
+from .common import BROADCAST_ROWS, LOWER, bounded, column, counts_between, documents, fresh, materialize, release, row_id, slices, small, span_hashes, text_bytes, word_bounds
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 agrees in no band with a chance of (1 - 0.8**6)**40 = 5e-6.
@@ -302,6 +302,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 def _linked(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     """The signed rows (row, k, hash, n, bands), and per class hash, class_id, group_id, n_links and `stays`, the row with
     the smallest key of the whole group."""
+    bounded(docs.sparkSession)
     rows = docs.select(column(key).cast("long").alias("k"), column(text).alias("t"), row_id(text, key).alias("row"))
     signed = materialize(_sign(rows), "jaccard-signed")
     last = 2**63 - 1  # stands for a null key, so that the others come first

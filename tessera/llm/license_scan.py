@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import LOWER, counts_between, documents, slices, span_hashes, text_bytes, word_bounds
+from .common import LOWER, bounded, counts_between, documents, slices, span_hashes, text_bytes, word_bounds
 
 #: Words are runs of 0-9, a-z and the bytes of all characters beyond ASCII.
 _IN_WORD = np.zeros(256, dtype=bool)
@@ -326,6 +326,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 columns = [part.column("k").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array([len(p) for p in places], pa.int64()), pa.array([min(p, default=None) for p in places], pa.int64()), pa.array([max(p, default=None) for p in places], pa.int64()), pa.array([",".join(sorted(b)) for b in base], pa.string()), pa.array([",".join(x) for x in labels], pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
+    bounded(docs.sparkSession)
     return docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInArrow(run, _SCHEMA)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, counts_between, documents, materialize, slices, span_hashes, text_bytes, word_bounds
+from .common import LOWER, bounded, counts_between, documents, materialize, slices, span_hashes, text_bytes, word_bounds
 
 DEPTH = 4
 GRAMS = 1_000_000
@@ -353,6 +353,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int =
     Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded(spark)
     held = F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "utf-8")) % 7 == 2
     rows = docs.select(F.col(key).cast("long").alias("k"), held.alias("held"), F.col(text).alias("t"))
     counts = materialize(count(rows, depth), "lm-counts")

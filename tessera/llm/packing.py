@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices
+from .common import bounded, column, documents, materialize, slices
 from .vocab import encoder
 
 CAPACITY, END = 1024, 2
@@ -204,7 +204,8 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str | No
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.selectExpr(f"cast(`{key}` AS long) AS k", f"`{text}` AS t").mapInArrow(run, _PIECES)
+    bounded(docs.sparkSession)
+    return docs.select(column(key).cast("long").alias("k"), column(text).alias("t")).mapInArrow(run, _PIECES)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, **names) -> DataFrame:
@@ -213,16 +214,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **names) -> DataFrame:
     A null or empty text is END alone. Rows repeated with the same key are documents of their own, and null keys stay
     null. Other columns are not read. An empty table gives no rows. Ties of length are broken by key, piece and
     checksum; pieces equal in all of them are interchangeable. The pieces, without their ids, are written to the shared
-    folder once; ranks are dealt in parts of bounded size, so no task holds all pieces of a length.
+    folder once; ranks are dealt in parts of bounded size, so no task holds all pieces of a length, nor all of a third of the
+    rows that are equal. At most `capacity` lengths and some hundred thousand parts' sizes are broadcast: a few MB.
     """
-    pieces = materialize(token_pieces(docs, capacity=capacity, **names), "pieces")
+    pieces = materialize(token_pieces(docs, capacity=capacity, **names).withColumn("salt", F.spark_partition_id()), "pieces")
     histogram = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     deal = Deal(plan(histogram, capacity))
     each = max(RANKED, sum(histogram.values()) // 100_000)
     spark = docs.sparkSession
     parts = spark.createDataFrame([(n, -(-c // each)) for n, c in histogram.items()], "length long, parts long")
     rows = pieces.join(F.broadcast(parts), "length")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("parts"))).drop("parts")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "salt"), F.col("parts"))).drop("parts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, slices
+from .common import bounded, documents, slices
 from .vocab import CACHED, LONGEST, vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
@@ -152,6 +152,7 @@ def encode(docs: DataFrame, model: str = MODEL, folder: str | None = None, text:
                     arrays.append(pa.array([x.astype(np.int32) for x in columns[5]], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([part.column("k"), *arrays], names=["doc_id", "n_pieces", "ids_crc32", "score", "decoded_sha256", "round_trip", *["ids"] * ids])
 
+    bounded(docs.sparkSession)
     return docs.selectExpr(f"cast(`{key}` AS long) AS k", f"`{text}` AS t").mapInArrow(run, _SCHEMA + ", ids array<int>" * ids)
 
 

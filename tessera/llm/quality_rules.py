@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import IN_WORD, counts_between, documents, map_rows, slices, span_hashes, text_bytes, word_bounds
+from .common import IN_WORD, bounded, counts_between, documents, map_rows, slices, span_hashes, text_bytes, word_bounds
 
 #: A document that loses more than this share of its words with its failed lines is rejected.
 MAX_LOST = 0.5
@@ -147,6 +147,7 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                 columns = [part.column("k").cast(pa.int64()), *(pa.array(m[c], pa.int64()) for c in _COUNTS), pa.array(m["base_failed"]), pa.array(m["kept"]), pa.array(m["n_lost_words"], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_COUNTS, "base_failed", "kept", "n_lost_words"])
 
+    bounded(docs.sparkSession)
     return docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInArrow(run, _SCHEMA)
 
 
@@ -177,6 +178,7 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
                 columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(m["kept"]))
 
+    bounded(docs.sparkSession)
     return map_rows(docs, run, docs.columns)
 
 

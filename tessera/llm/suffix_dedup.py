@@ -22,18 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INVERSE, BYTE_VALUE, _mix, _power_table, column, documents, fresh, map_rows, materialize, row_id, slices, text_bytes
+from .common import _BASE, _BASE_INVERSE, BROADCAST_ROWS, BYTE_VALUE, _mix, _power_table, bounded, column, documents, fresh, map_rows, materialize, row_id, slices, small, text_bytes
 
 WINDOW, GRAM = 200, 32
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Classes of an anchor, or of a group of chunks, above which it is cut on.
 HOT, CHUNK = 1024, 32
 #: A text is searched for anchors in parts of so many string starts, each with the bytes its last strings need.
-PART = 1 << 20
+PART = 1 << 19
 
 
 def _eights(data: np.ndarray, big: bool) -> np.ndarray:
@@ -232,7 +231,7 @@ def _find(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", 1 << 19):
                 data, offsets = text_bytes(part.column("t"))
                 row = part.column("row").to_numpy()
                 for lo in range(0, max(len(data), 1), PART) if len(part) == 1 else (None,):
@@ -253,41 +252,28 @@ def _find(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, s long, row long, start long, strings int, shift int")
 
 
-def _squeezed(rows: DataFrame) -> DataFrame:
-    """row, k, z: the text compressed, for its way through a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in slices(batch, "t"):
-                z = [press.compress((t or "").encode()) for t in part.column("t").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), pa.array(z, pa.binary())], names=["row", "k", "z"])
-
-    return rows.mapInArrow(run, "row long, k long, z binary")
-
-
 def _cut(asked: DataFrame) -> DataFrame:
-    """The slices asked for, from rows (row, z, wants [(h, start, shift, strings)])."""
+    """The slices asked for, from rows (row, t, wants [(h, start, shift, strings, hot)])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            for row, z, wants in zip(batch.column("row").to_pylist(), batch.column("z"), batch.column("wants").to_pylist(), strict=True):
-                raw = zstandard.ZstdDecompressor().decompress(z.as_py())
+            for row, t, wants in zip(batch.column("row").to_pylist(), batch.column("t"), batch.column("wants").to_pylist(), strict=True):
+                raw = t.as_py().encode()
                 for w in wants:
                     size += w["strings"] + WINDOW - 1
-                    out.append((w["h"], row, w["start"], w["shift"], raw[w["start"] : w["start"] + w["strings"] + WINDOW - 1]))
-                if size > 1 << 24:
-                    yield _slice_batch(out)
-                    out, size = [], 0
+                    out.append((w["h"], row, w["start"], w["shift"], w["hot"], raw[w["start"] : w["start"] + w["strings"] + WINDOW - 1]))
+                    if size > 1 << 22:
+                        yield _slice_batch(out)
+                        out, size = [], 0
             if out:
                 yield _slice_batch(out)
 
-    return asked.mapInArrow(run, "h long, row long, start long, shift int, b binary")
+    return asked.mapInArrow(run, "h long, row long, start long, shift int, hot boolean, b binary")
 
 
 def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"h": pa.int64(), "row": pa.int64(), "start": pa.int64(), "shift": pa.int32(), "b": pa.binary()}
+    kinds = {"h": pa.int64(), "row": pa.int64(), "start": pa.int64(), "shift": pa.int32(), "hot": pa.bool_(), "b": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
@@ -383,22 +369,32 @@ def repeated_strings(rows: DataFrame, hot: int = HOT) -> DataFrame:
     classes = materialize(classes.select("h", "s", "n", "one.*"), "suffix-classes")
     equal = slices_.join(classes.where("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("row", "start", F.col("strings").cast("long").alias("strings"))
     mixed = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "suffix-mixed")
-    wants = classes.join(mixed, "h").select("row", F.struct("h", "start", "shift", "strings").alias("w"), (F.col("classes") > hot).alias("hot"))
-    wants = wants.groupBy("row", "hot").agg(F.collect_list("w").alias("wants"))
-    asked = _squeezed(rows).select("row", "z").dropDuplicates(["row"]).join(wants, "row")
-    marks = _sort(_cut(asked.where("NOT hot").select("row", "z", "wants")).repartition("h").sortWithinPartitions("h"))
+    wants = classes.join(mixed, "h").select("row", F.struct("h", "start", "shift", "strings", (F.col("classes") > hot).alias("hot")).alias("w"))
+    wants = materialize(wants.groupBy("row").agg(F.collect_list("w").alias("wants")), "suffix-wants")
+    asked = rows.select("row", "t").join(small(wants.select("row")), "row", "left_semi").dropDuplicates(["row"]).join(wants, "row")
+    cut = materialize(_cut(asked.select("row", "t", "wants")), "suffix-cut")
+    marks = _sort(cut.where("NOT hot").select("h", "row", "start", "b").repartition("h").sortWithinPartitions("h"))
     out = equal.unionByName(materialize(marks, "suffix-marks"))
     if mixed.where(F.col("classes") > hot).limit(1).count():
-        out = out.unionByName(materialize(_hot_marks(_cut(asked.where("hot").select("row", "z", "wants")), hot), "suffix-hot-marks"))
+        out = out.unionByName(materialize(_hot_marks(cut.where("hot"), hot), "suffix-hot-marks"))
     return out
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _marks(rows: DataFrame, hot: int) -> DataFrame:
-    """row and marks, its repeated strings as (start, strings)."""
-    return repeated_strings(rows, hot).groupBy("row").agg(F.collect_set(F.struct("start", "strings")).alias("marks"))
+def _with_marks(docs: DataFrame, rows: DataFrame, row: str, marks: str, hot: int) -> DataFrame:
+    """docs, with a column `row` that names its rows as in rows (row, k, t), and `marks`: the repeated strings of each as
+    (start, strings), null without any. Texts without marks stay where they are while the others' names are few enough to
+    be broadcast; else all meet their marks in a shuffle."""
+    found = repeated_strings(rows, hot).groupBy("row").agg(F.collect_set(F.struct("start", "strings")).alias(marks))
+    found = materialize(found.withColumnRenamed("row", row), "suffix-found-marks")
+    if found.count() > BROADCAST_ROWS:
+        return docs.join(found, row, "left")
+    ids = F.broadcast(found.select(row))
+    none = F.lit(None).cast(found.schema[marks].dataType).alias(marks)
+    touched = docs.join(ids, row, "left_semi").join(found, row)
+    return touched.unionByName(docs.join(ids, row, "left_anti").select(*map(column, docs.columns), none))
 
 
 def _removed(marks: list | None) -> list[list[int]]:
@@ -419,15 +415,15 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = H
     WINDOW bytes lose nothing; repeated rows are rows of their own, so both lose all of a text of WINDOW bytes or more;
     null keys stay null. Other columns are not read. An empty table gives no rows.
     """
+    bounded(docs.sparkSession)
     rows = docs.select(column(key).cast("long").alias("k"), column(text).alias("t"), row_id(text, key).alias("row"))
-    joined = _squeezed(rows).join(_marks(rows, hot), "row", "left").select("k", "z", "marks")
+    joined = _with_marks(rows, rows, "row", "marks", hot).select("k", "t", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for k, z, m in zip(batch.column("k").to_pylist(), batch.column("z"), batch.column("marks").to_pylist(), strict=True):
-                raw, runs = read.decompress(z.as_py()), _removed(m)
+            for k, t, m in zip(batch.column("k").to_pylist(), batch.column("t"), batch.column("marks").to_pylist(), strict=True):
+                raw, runs = (t.as_py() or "").encode(), _removed(m)
                 left = _without(raw, runs)
                 out.append((k, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
@@ -442,9 +438,8 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int =
     run gives back the bytes of characters that it cuts. Null texts stay null; the rest is as in dedup()."""
     rows = docs.select(column(key).cast("long").alias("k"), column(text).alias("t"), row_id(text, key).alias("row"))
     row, marks = fresh(docs, "row"), fresh(docs, "marks")
-    found = _marks(rows, hot).select(F.col("row").alias(row), F.col("marks").alias(marks))
-    joined = docs.withColumn(row, row_id(text, key)).join(found, row, "left")
-    joined = joined.select(*map(column, docs.columns), marks)
+    bounded(docs.sparkSession)
+    joined = _with_marks(docs.withColumn(row, row_id(text, key)), rows, row, marks, hot).select(*map(column, docs.columns), marks)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

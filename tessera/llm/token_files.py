@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, slices
+from .common import bounded, documents, shared_dir, slices
 from .vocab import encoder
 
 VOCABULARY, END = "word_bpe_49k.json", 2
@@ -113,6 +113,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, folder: str
     follow each other. Other columns are not read. An empty table gives an empty folder of files.
     """
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     tail = np.uint32(END).tobytes()
     dictionary = train(_samples(rows, vocabulary, folder))

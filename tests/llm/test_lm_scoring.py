@@ -128,4 +128,17 @@ def test_held_out_accuracy_grows_with_depth(spark):
 
 def test_empty_table(spark):
     assert L.score(table(spark, ODD).limit(0)).count() == 0
-    assert L.score(table(spark, ODD).where("doc_id IS NULL OR true").where("crc32(cast(doc_id AS string)) % 7 = 2")).count() >= 0
+    only_held = [(k, t) for k, t in ODD if held(k)]
+    got = L.score(table(spark, only_held)).collect()
+    assert len(got) == len(only_held) > 0 and all((r.train_tokens, r.n_known, r.held_out) == (0, 0, True) for r in got)
+    # without training, each bit has the probability of a half
+    assert all(np.isclose(r.score, -8 * len(lower(t)) * math.log10(2)) for r, (k, t) in zip(sorted(got, key=lambda r: r.doc_id), sorted(only_held), strict=True))
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 977}" for i in range(300_000))
+    a, b, c = [k for k in range(100) if not held(k)][:3]
+    rows = [(a, text), (b, "short text"), (c, None), (next(k for k in range(100) if held(k)), text[:1000])]
+    got = [r for r in L.score(table(spark, rows)).collect()]
+    assert all(np.isfinite(r.score) for r in got) and max(r.n_tokens for r in got) == 300_001
+    assert all(r.bits_per_byte < 2 for r in got if r.n_tokens > 100) and [r.score for r in got if r.doc_id == c] == [0]

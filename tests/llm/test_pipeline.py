@@ -52,6 +52,34 @@ def test_stages(spark):
             assert any(gone for _, gone in want.values())
 
 
+def test_stages_take_odd_tables(spark):
+    """Narrow keys, repeated rows and keys, null keys and texts, a very long text, columns named like the operators' own;
+    and no rows at all."""
+    long_text = "\n".join(f"Line {i} has some words of its own, number {i * 7919 % 100003}." for i in range(60_000))
+    data = corpus() + [(5, "word"), (5, "word"), (700, long_text), (701, long_text), (702, long_text + " End."), (100, prose(1, 77, 90)[0])]
+    extra = "1 AS __row", "2 AS __kept", "3 AS __xd", "4 AS __xd_digest", "5 AS __marks", "6 AS `a.b`"
+    docs = table(spark, data).selectExpr("CAST(doc_id AS INT) AS doc_id", "text", "lang", "source", "n_chars", *extra)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.count() == 0
+        if name == "best-fit packing":
+            assert {r.doc_id for r in stage(spark, docs, SF).collect()} >= {700, 701, 702, None}
+            continue
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes == empty.dtypes
+        rows = out.collect()
+        assert rows and all((r["__row"], r["__kept"], r["__xd"], r["__xd_digest"], r["__marks"], r["a.b"]) == (1, 2, 3, 4, 5, 6) for r in rows)
+        assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+        left = Counter(r.doc_id for r in rows)
+        if name == "exact dedup":
+            assert (left[5], left[700], left[701], left[702]) == (1, 0, 1, 1)
+        if name == "n-gram Jaccard join":
+            assert (left[700], left[701], left[702]) == (1, 0, 0) and left[5] == 0 and left[4] == 1
+        if name == "suffix-array dedup":
+            assert len(rows) == len(data) and all(not r.text for r in rows if r.doc_id in (700, 701))
+
+
 def test_run_gives_rows(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

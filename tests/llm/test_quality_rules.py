@@ -56,3 +56,16 @@ def test_clean_removes_failed_lines_only(spark):
     assert got == {1: body, 2: body}
     assert Q.clean(d).columns == d.columns
     assert Q.judge(d.limit(0)).count() == Q.clean(d.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    text = "\n".join(f"Line {i} has words of its own, number {i * 7919 % 100003}." for i in range(40_000)) + "\nno end here at all\n" * 3
+    rows = [(1, text), (2, "z" * 2_000_000)]
+    assert Counter(tuple(r) for r in Q.judge(table(spark, rows)).collect()) == Counter((k, *brute(t)) for k, t in rows)
+
+
+def test_clean_takes_columns_of_any_names(spark):
+    body = "\n".join(f"a{i} b{i} c{i} d{i} e{i} f{i}." for i in range(12))
+    d = table(spark, [(1, body), (1, body)]).selectExpr("text", "doc_id", "1 AS `a.b`", "map('x', 1) AS m")
+    out = Q.clean(d)
+    assert out.dtypes == d.dtypes and [r["a.b"] for r in out.collect()] == [1, 1]
