@@ -55,7 +55,8 @@ def distance_of_quality(q: Column) -> Column:
 
 def normalise_sample(v: Column, kind: Column) -> Column:
     """Samples to 0..1, signed ones to -1..1 with the negative side's own range."""
-    return F.when(kind == "uint8", v / 255.0).when(kind == "uint16", v / 65535.0).when(kind == "int16", F.when(v >= 0, v / 32767.0).otherwise(v / 32768.0)).otherwise(v)
+    return F.when(kind == "uint8", v / 255.0).when(kind == "uint16", v / 65535.0).when(kind == "int16",
+        F.when(v >= 0, v / 32767.0).otherwise(v / 32768.0)).otherwise(v)
 
 
 def store_sample(v: Column, kind: str) -> Column:
@@ -88,7 +89,8 @@ def roi_multiplier(px: Column, py: Column, x: int, y: int, w: int, h: int, boost
 def byte_size(n: Column) -> Column:
     """Bytes, KB or MB with one decimal, truncated: integer arithmetic, so that all engines agree."""
     tenths = lambda unit: F.concat(div(div(n * 10, unit), 10).cast("string"), F.lit("."), (div(n * 10, unit) % 10).cast("string"))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(tenths(1024), F.lit(" KB"))).otherwise(F.concat(tenths(1 << 20), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20,
+        F.concat(tenths(1024), F.lit(" KB"))).otherwise(F.concat(tenths(1 << 20), F.lit(" MB")))
 
 
 FORMATS = {"png": "png", "tif": "tiff", "tiff": "tiff", "bmp": "bmp"}
@@ -100,7 +102,8 @@ def format_of_extension(ext: Column) -> Column:
 
 def output_path(path: Column, source: str, target: str, ext: str) -> Column:
     """The path below `source` moved below `target`, with another extension."""
-    return F.concat(F.lit(target.rstrip("/") + "/"), F.regexp_replace(F.substring(path, len(source.rstrip("/")) + 2, 1 << 20), r"\.[^./]*$", ""), F.lit("." + ext))
+    return F.concat(F.lit(target.rstrip("/") + "/"), F.regexp_replace(F.substring(path, len(source.rstrip("/")) + 2, 1 << 20), r"\.[^./]*$", ""),
+        F.lit("." + ext))
 
 
 def json_escape(s: Column) -> Column:

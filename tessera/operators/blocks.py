@@ -33,7 +33,8 @@ def extract(px: DataFrame, bw: int = 8, bh: int = 8, width: int | None = None, h
         px = px.withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
     place = ((F.col("y") % bh) * bw + F.col("x") % bw).alias("i")
     cell = F.struct(place, F.col("v").cast("double").alias("v"))
-    d = px.groupBy("image_id", "c", F.expr(f"y div {bh}").alias("by"), F.expr(f"x div {bw}").alias("bx")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    d = px.groupBy("image_id", "c", F.expr(f"y div {bh}").alias("by"),
+        F.expr(f"x div {bw}").alias("bx")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     return d.select(*BLOCK, F.transform("cells", lambda s: s["v"]).alias("coef"))
 
 
@@ -125,7 +126,8 @@ def dequantise(blocks: DataFrame, distance: float, scale: str = "scale") -> Data
 
 def zigzag_order(n: int = 8) -> list[int]:
     """Diagonals in turn, each in the other direction."""
-    return [y * n + x for y, x in sorted(((y, x) for y in range(n) for x in range(n)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))]
+    return [y * n + x for y, x in sorted(((y, x) for y in range(n) for x in range(n)),
+        key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))]
 
 
 def natural_order(n: int = 8) -> list[int]:
@@ -149,15 +151,19 @@ def chroma_factor(blocks: DataFrame) -> DataFrame:
     luma = blocks.where("c = 0").select("image_id", "by", "bx", F.col("coef").alias("luma"))
     d = blocks.where("c > 0").join(luma, ["image_id", "by", "bx"])
     both = F.slice(F.arrays_zip(F.col("luma").alias("l"), F.col("coef").alias("v")), 2, 63)
-    sums = let(both, lambda z: F.struct(F.aggregate(z, F.lit(0.0), lambda a, x: a + x["l"] * x["v"]).alias("dot"), F.aggregate(z, F.lit(0.0), lambda a, x: a + x["l"] * x["l"]).alias("power")))
+    sums = let(both, lambda z: F.struct(F.aggregate(z, F.lit(0.0), lambda a, x: a + x["l"] * x["v"]).alias("dot"),
+        F.aggregate(z, F.lit(0.0), lambda a, x: a + x["l"] * x["l"]).alias("power")))
     d = d.withColumn("sums", sums).withColumn("factor", F.when(F.col("sums.power") <= 1e-10, 0.0).otherwise(F.col("sums.dot") / F.col("sums.power")))
-    residual = let(F.col("factor"), lambda f: F.transform(F.zip_with("coef", "luma", lambda v, m: F.struct(v.alias("v"), m.alias("l"))), lambda x, i: F.when(i == 0, x["v"]).otherwise(x["v"] - f * x["l"])))
+    residual = let(F.col("factor"),
+        lambda f: F.transform(F.zip_with("coef", "luma", lambda v, m: F.struct(v.alias("v"), m.alias("l"))), lambda x,
+            i: F.when(i == 0, x["v"]).otherwise(x["v"] - f * x["l"])))
     return d.select(*BLOCK, "luma", "coef", "factor", residual.alias("residual"))
 
 
 def chroma_rebuild(d: DataFrame) -> DataFrame:
     zipped = F.zip_with("residual", "luma", lambda v, m: F.struct(v.alias("v"), m.alias("l")))
-    return d.withColumn("coef", let(F.col("factor"), lambda f: F.transform(zipped, lambda x, i: F.when(i == 0, x["v"]).otherwise(x["v"] + f * x["l"]))))
+    return d.withColumn("coef", let(F.col("factor"),
+        lambda f: F.transform(zipped, lambda x, i: F.when(i == 0, x["v"]).otherwise(x["v"] + f * x["l"]))))
 
 
 def pass_of(k: Column) -> Column:
@@ -179,7 +185,8 @@ def quality_layers(distance: float, layers: int) -> list[float]:
 # fixed values: the limits of block_sizes
 def block_sizes(px: DataFrame, width: int, height: int) -> DataFrame:
     """size of each 8 x 8 block by the variances (of samples in 0..1) of itself and of those right, below and across."""
-    d = px.groupBy("image_id", "c", F.expr("y div 8").alias("by"), F.expr("x div 8").alias("bx")).agg((F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v")).alias("a"))
+    d = px.groupBy("image_id", "c", F.expr("y div 8").alias("by"),
+        F.expr("x div 8").alias("bx")).agg((F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v")).alias("a"))
     d = d.withColumn("a", F.greatest(F.lit(0.0), F.col("a")))
     across = (width + 7) // 8
     w = Window.partitionBy("image_id", "c").orderBy(F.col("by") * across + F.col("bx"))

@@ -178,7 +178,8 @@ def block_sections(blocks: DataFrame, passes: tuple = PASSES) -> DataFrame:
             contexts = np.broadcast_to(np.arange(first, last + 1) > 0, part.shape).astype(np.int64)
             head = varint(len(s))
             if p == 0:
-                head += b"".join(varint(int(v)) for b in zip(frame["by"], frame["bx"], strict=True) for v in b) + frame["scale"].to_numpy("<f8").tobytes()
+                head += b"".join(varint(int(v)) for b in zip(frame["by"], frame["bx"],
+                    strict=True) for v in b) + frame["scale"].to_numpy("<f8").tobytes()
             rows.append((frame["image_id"].iloc[0], frame["c"].iloc[0], p, head + write_section(fold(part).ravel(), contexts.ravel())))
         return pd.DataFrame(rows, columns=["image_id", "c", "pass", "data"])
 
@@ -201,7 +202,8 @@ def read_blocks(sections: DataFrame, last_pass: int | None = None, passes: tuple
                 s = np.zeros((n, passes[-1][1] + 1), np.int64)
             symbols = read_section(data[p][reader.at :], lambda i, _, f=first, k=span: int(f + i % k > 0))
             s[:, first : last + 1] = unfold(np.array(symbols, np.int64)).reshape(n, span)
-        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "c": frame["c"].iloc[0], "by": [b for b, _ in places], "bx": [b for _, b in places], "scale": scale, "s": list(s.astype(np.int32))})
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "c": frame["c"].iloc[0], "by": [b for b, _ in places],
+            "bx": [b for _, b in places], "scale": scale, "s": list(s.astype(np.int32))})
 
     kept = sections.where(F.col("pass") < len(known))
     return kept.groupBy(*PLANE).applyInPandas(run, "image_id long, c long, by long, bx long, scale double, s array<int>")
@@ -257,7 +259,8 @@ def tables_as_bytes(table: DataFrame, alphabet: int) -> DataFrame:
         exact = read_table(Reader(raw)) == freq == read_table(Reader(runs))
         return pd.DataFrame({"ctx": [frame["ctx"].iloc[0]], "raw": [raw], "runs": [runs], "exact": [exact]})
 
-    return table.select("ctx", "sym", "freq").groupBy("ctx").applyInPandas(run, f"ctx {dict(table.dtypes)['ctx']}, raw binary, runs binary, exact boolean")
+    return table.select("ctx", "sym", "freq").groupBy("ctx").applyInPandas(run,
+        f"ctx {dict(table.dtypes)['ctx']}, raw binary, runs binary, exact boolean")
 
 
 def varint_column(n: Column) -> Column:

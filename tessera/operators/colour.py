@@ -47,7 +47,8 @@ def ycbcr_forward(px: DataFrame, offset: float = 128.0) -> DataFrame:
 
 def ycbcr_inverse(px: DataFrame, offset: float = 128.0) -> DataFrame:
     luma, cb, cr = F.col("luma"), F.col("cb") - offset, F.col("cr") - offset
-    d = to_columns(px, "luma", "cb", "cr").select("image_id", "y", "x", (luma + 1.402 * cr).alias("r"), (luma - 0.344136 * cb - 0.714136 * cr).alias("g"), (luma + 1.772 * cb).alias("b"))
+    d = to_columns(px, "luma", "cb", "cr").select("image_id", "y", "x", (luma + 1.402 * cr).alias("r"),
+        (luma - 0.344136 * cb - 0.714136 * cr).alias("g"), (luma + 1.772 * cb).alias("b"))
     return to_rows(d, "r", "g", "b")
 
 
@@ -64,7 +65,8 @@ def xyb_forward(px: DataFrame, peak: float = 255.0) -> DataFrame:
     """The float form; a store into unsigned samples would lose the negative X."""
     bias = BIAS ** (1 / 3)
     lms = [F.cbrt(F.greatest(F.lit(0.0), m) + BIAS) - bias for m in _mix(ABSORBANCE, [F.col(n) / peak for n in ("r", "g", "b")])]
-    d = to_columns(px, "r", "g", "b").select("image_id", "y", "x", ((lms[0] - lms[1]) * 0.5).alias("xx"), ((lms[0] + lms[1]) * 0.5).alias("yy"), lms[2].alias("bb"))
+    d = to_columns(px, "r", "g", "b").select("image_id", "y", "x", ((lms[0] - lms[1]) * 0.5).alias("xx"), ((lms[0] + lms[1]) * 0.5).alias("yy"),
+        lms[2].alias("bb"))
     return to_rows(d, "xx", "yy", "bb")
 
 

@@ -60,7 +60,8 @@ def encode_lossy(px: DataFrame, width: int, height: int, distance: float) -> Dat
 def streams(sections: DataFrame, width: int, height: int, distance: float | None) -> DataFrame:
     """image_id and data: a picture's sections behind its header."""
     section = F.concat(X.big_endian(F.col("c"), 1), X.big_endian(F.col("pass"), 1), X.big_endian(F.octet_length("data"), 4), "data")
-    d = sections.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("c", "pass", section.alias("b")))).alias("s"), F.count_distinct("c").alias("n"))
+    d = sections.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("c", "pass", section.alias("b")))).alias("s"),
+        F.count_distinct("c").alias("n"))
     one = lambda v: F.lit(v)
     head = X.image_header(one(width), one(height), one(8), F.col("n"), one(0), (F.col("n") % 2 == 0).cast("int"))
     mode = F.lit(struct.pack(">Bd", int(distance is not None), distance or 0.0))
@@ -106,7 +107,8 @@ def pictures(spark: SparkSession, side: int = 16) -> DataFrame:
         "checkerboard": lambda n: R.checkerboard(spark, side, side, 4, n), "noise": lambda n: R.noise(spark, side, side, [42], n),
         "black": lambda n: R.solid(spark, side, side, [0] * n), "white": lambda n: R.solid(spark, side, side, [255] * n),
     }
-    row = lambda i, d: d.select(F.lit(i).cast("long").alias("image_id"), *[F.col(k).cast("long").alias(k) for k in ("c", "y", "x")], F.col("v").cast("int").alias("v"))
+    row = lambda i, d: d.select(F.lit(i).cast("long").alias("image_id"), *[F.col(k).cast("long").alias(k) for k in ("c", "y", "x")],
+        F.col("v").cast("int").alias("v"))
     return _union([row(i, made[v[2]](v[3])) for i, v in enumerate(VECTORS)])
 
 
@@ -126,7 +128,8 @@ def checks(spark: SparkSession, side: int = 16) -> DataFrame:
     """id, category, name and passed: each vector encoded, looked at, decoded and compared."""
     px = pictures(spark, side)
     files, back = round_trip(px, {i: v[4] for i, v in enumerate(VECTORS)}, side, side)
-    known = spark.createDataFrame([(i, v[0], v[1], v[3], v[4] is None, v[5]) for i, v in enumerate(VECTORS)], "image_id long, id string, category string, channels int, lossless boolean, least double")
+    known = spark.createDataFrame([(i, v[0], v[1], v[3], v[4] is None, v[5]) for i, v in enumerate(VECTORS)],
+        "image_id long, id string, category string, channels int, lossless boolean, least double")
     quality = A.psnr(A.align(px, back)).where("c IS NULL").select("image_id", "psnr")
     whole = px.groupBy("image_id").agg(F.count(F.lit(1)).alias("samples"))
     there = back.groupBy("image_id").agg(F.count(F.lit(1)).alias("decoded"))
@@ -135,7 +138,8 @@ def checks(spark: SparkSession, side: int = 16) -> DataFrame:
     size = F.coalesce(F.octet_length("data"), F.lit(0))
     found: list[tuple[str, Column]] = [
         ("least_size", size >= 2), ("signature", F.hex(F.substring(data, 1, 2)) == "FF0A"), ("content", size > HEAD + 9),
-        ("bare", F.hex(F.substring(data, 5, 4)) != "4A584C20"), ("sides", (h["width"] == side) & (h["height"] == side)), ("channels", h["channels"] == F.col("channels")),
+        ("bare", F.hex(F.substring(data, 5, 4)) != "4A584C20"), ("sides", (h["width"] == side) & (h["height"] == side)),
+            ("channels", h["channels"] == F.col("channels")),
         ("frame", F.col("decoded") == F.col("samples")), ("exact", ~F.col("lossless") | (F.col("psnr") == float("inf"))),
         ("psnr", F.col("least").isNull() | (F.col("psnr") >= F.col("least"))),
     ]
@@ -146,10 +150,12 @@ def checks(spark: SparkSession, side: int = 16) -> DataFrame:
 def summary(checked: DataFrame) -> DataFrame:
     """By category: vectors, checks, and how many of both pass."""
     per = checked.groupBy("category", "id").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("ok"))
-    return per.groupBy("category").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("ok") == F.col("n")).alias("vectors_passed"), F.sum("n").alias("checks"), F.sum("ok").alias("checks_passed"))
+    return per.groupBy("category").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("ok") == F.col("n")).alias("vectors_passed"),
+        F.sum("n").alias("checks"), F.sum("ok").alias("checks_passed"))
 
 
-def harness(px: DataFrame, of: dict[int, float | None], width: int, height: int, least_psnr: float, least_ssim: float, least_ratio: float) -> DataFrame:
+def harness(px: DataFrame, of: dict[int, float | None], width: int, height: int, least_psnr: float, least_ssim: float,
+    least_ratio: float) -> DataFrame:
     """image_id, bytes_in, bytes_out, ratio, psnr, ssim, distance, passed: measured on what is decoded, never estimated."""
     files, back = round_trip(px, of, width, height)
     pair = A.align(px, back)

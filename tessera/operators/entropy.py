@@ -37,7 +37,8 @@ def normalise(hist: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("ctx")
     order = w.orderBy(F.desc("n"), "sym")
-    d = hist.where("n > 0").withColumn("total", F.sum("n").over(w)).withColumn("f", F.greatest(F.lit(1), F.expr(f"CAST(n * {SLOTS} AS LONG) div total")))
+    d = hist.where("n > 0").withColumn("total", F.sum("n").over(w)).withColumn("f",
+        F.greatest(F.lit(1), F.expr(f"CAST(n * {SLOTS} AS LONG) div total")))
     d = d.withColumn("left", SLOTS - F.sum("f").over(w)).withColumn("rank", F.row_number().over(order)).withColumn("k", F.count(F.lit(1)).over(w))
     more = F.expr("`left` div k") + (F.col("rank") <= F.col("left") % F.col("k")).cast("int")
     spare = F.col("f") - 1
@@ -65,7 +66,8 @@ def divergence(hist: DataFrame) -> DataFrame:
     ids = hist.select("ctx").distinct()
     pairs = ids.select(F.col("ctx").alias("a")).join(ids.select(F.col("ctx").alias("b")), F.col("a") < F.col("b"))
     both = pairs.withColumn("ctx", F.explode(F.array("a", "b"))).join(p.select("ctx", "sym", "p"), "ctx")
-    d = both.groupBy("a", "b", "sym").agg(F.coalesce(F.max(F.when(F.col("ctx") == F.col("a"), F.col("p"))), F.lit(0.0)).alias("p"), F.coalesce(F.max(F.when(F.col("ctx") == F.col("b"), F.col("p"))), F.lit(0.0)).alias("q"))
+    d = both.groupBy("a", "b", "sym").agg(F.coalesce(F.max(F.when(F.col("ctx") == F.col("a"), F.col("p"))), F.lit(0.0)).alias("p"),
+        F.coalesce(F.max(F.when(F.col("ctx") == F.col("b"), F.col("p"))), F.lit(0.0)).alias("q"))
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / ((F.col("p") + F.col("q")) / 2))).otherwise(0.0)
     return d.groupBy("a", "b").agg(((F.sum(part("p")) + F.sum(part("q"))) / 2).alias("jsd"))
 
@@ -177,7 +179,8 @@ def rans_round_trip(symbols: DataFrame, by_context: bool = True) -> DataFrame:
         tables = _tables(frame.assign(g=ctx), "g")
         syms = frame["sym"].astype(int).tolist()
         data = rans_encode(syms, ctx, tables)
-        return pd.DataFrame({"stream": [frame["stream"].iloc[0]], "n": [len(syms)], "coded": [len(data)], "exact": [rans_decode(data, ctx, tables) == syms]})
+        return pd.DataFrame({"stream": [frame["stream"].iloc[0]], "n": [len(syms)], "coded": [len(data)],
+            "exact": [rans_decode(data, ctx, tables) == syms]})
 
     return _by_stream(symbols, "stream int, n long, coded long, exact boolean", run)
 
@@ -231,7 +234,8 @@ def match_round_trip(symbols: DataFrame) -> DataFrame:
         syms = frame["sym"].astype(int).tolist()
         tokens = matches(syms)
         size = sum(len(varint(2 * t[0])) if not t[1] else len(varint(2 * t[1] + 1)) + len(varint(t[2])) for t in tokens)
-        return pd.DataFrame({"stream": [frame["stream"].iloc[0]], "n": [len(syms)], "tokens": [len(tokens)], "bytes": [size], "exact": [unmatch(tokens) == syms]})
+        return pd.DataFrame({"stream": [frame["stream"].iloc[0]], "n": [len(syms)], "tokens": [len(tokens)], "bytes": [size],
+            "exact": [unmatch(tokens) == syms]})
 
     return _by_stream(symbols, "stream int, n long, tokens long, bytes long, exact boolean", run)
 
@@ -240,7 +244,8 @@ def table_bytes(table: DataFrame) -> DataFrame:
     """Size of each context's table as runs of equal frequencies: gaps and islands over the symbols."""
     w = Window.partitionBy("ctx").orderBy("sym")
     d = table.withColumn("new", (~F.lag("freq", 1).over(w).eqNullSafe(F.col("freq"))) | (F.lag("sym", 1).over(w) != F.col("sym") - 1))
-    d = d.withColumn("island", F.sum(F.coalesce("new", F.lit(True)).cast("int")).over(w)).groupBy("ctx", "island", "freq").agg(F.count(F.lit(1)).alias("length"))
+    d = d.withColumn("island", F.sum(F.coalesce("new", F.lit(True)).cast("int")).over(w)).groupBy("ctx", "island",
+        "freq").agg(F.count(F.lit(1)).alias("length"))
     return d.groupBy("ctx").agg(F.count(F.lit(1)).alias("runs"), F.sum("length").alias("symbols"))
 
 

@@ -69,7 +69,8 @@ def ssim(pair: DataFrame, width: int, height: int, peak: float = 255.0) -> DataF
     that hold it (at most 64), whose moments are combined before the shuffle. Below 8 x 8 there is no window, and no row."""
     if width < 8 or height < 8:
         return pair.select("image_id", F.lit(0.0).alias("ssim")).where("false")
-    d = pair.withColumn("wy", F.explode(_starts("y", height, max(1, height // 32)))).withColumn("wx", F.explode(_starts("x", width, max(1, width // 32))))
+    d = pair.withColumn("wy", F.explode(_starts("y", height, max(1, height // 32)))).withColumn("wx",
+        F.explode(_starts("x", width, max(1, width // 32))))
     lum, cs = _parts(peak)
     windows = d.groupBy("image_id", "c", "wy", "wx").agg(*_moments()).select("image_id", "c", (lum * cs).alias("s"))
     return windows.groupBy("image_id", "c").agg(F.avg("s").alias("s")).groupBy("image_id").agg(F.avg("s").alias("ssim"))
@@ -119,7 +120,8 @@ def byte_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     odd = F.filter(at, lambda i: ~F.substring("a", i, F.lit(1)).eqNullSafe(F.substring("b", i, F.lit(1))))
     d = d.withColumn("odd", odd)
-    return d.select("id", F.octet_length("a").alias("size_a"), F.octet_length("b").alias("size_b"), F.size("odd").alias("differing"), F.coalesce(F.get("odd", F.lit(0)) - 1, F.lit(-1)).alias("first_offset"), (F.octet_length("b") / F.octet_length("a")).alias("ratio"))
+    return d.select("id", F.octet_length("a").alias("size_a"), F.octet_length("b").alias("size_b"), F.size("odd").alias("differing"),
+        F.coalesce(F.get("odd", F.lit(0)) - 1, F.lit(-1)).alias("first_offset"), (F.octet_length("b") / F.octet_length("a")).alias("ratio"))
 
 
 def vector_statistics(v: DataFrame, column: str = "embedding") -> DataFrame:
@@ -128,14 +130,17 @@ def vector_statistics(v: DataFrame, column: str = "embedding") -> DataFrame:
     total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
     squares = F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)
     n = F.size(column)
-    return v.select("vec_id", total.alias("total"), (total / n).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), squares / n - (total / n) * (total / n))).alias("deviation"), F.sqrt(squares).alias("norm"), F.array_max(e).alias("largest"), F.array_min(e).alias("smallest"))
+    return v.select("vec_id", total.alias("total"), (total / n).alias("mean"),
+        F.sqrt(F.greatest(F.lit(0.0), squares / n - (total / n) * (total / n))).alias("deviation"), F.sqrt(squares).alias("norm"),
+            F.array_max(e).alias("largest"), F.array_min(e).alias("smallest"))
 
 
 def normalised(v: DataFrame, column: str = "embedding") -> DataFrame:
     """Centred on its mean and scaled to length one; a constant vector is only centred."""
     wide = F.transform(column, lambda x: x.cast("double"))
     centred = let(wide, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x) / F.size(e), lambda m: F.transform(e, lambda x: x - m)))
-    scaled = let(centred, lambda e: let(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), lambda s: F.when(s > 0, F.transform(e, lambda x: x / s)).otherwise(e)))
+    scaled = let(centred, lambda e: let(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)),
+        lambda s: F.when(s > 0, F.transform(e, lambda x: x / s)).otherwise(e)))
     return v.select("vec_id", scaled.alias("e"))
 
 
@@ -152,7 +157,8 @@ def resize_nearest(px: DataFrame, width: int, height: int, to_width: int, to_hei
 
 def interleave(px: DataFrame, width: int, components: int, opaque: int = 255) -> DataFrame:
     """A picture's samples in the order row, column, component as one array; a component it lacks is opaque."""
-    full = px.groupBy("image_id", "y", "x").agg(*[F.coalesce(F.max(F.when(F.col("c") == i, F.col("v"))), F.lit(opaque)).alias(f"s{i}") for i in range(components)])
+    full = px.groupBy("image_id", "y",
+        "x").agg(*[F.coalesce(F.max(F.when(F.col("c") == i, F.col("v"))), F.lit(opaque)).alias(f"s{i}") for i in range(components)])
     cell = F.struct((F.col("y") * width + F.col("x")).alias("i"), F.array(*[f"s{i}" for i in range(components)]).alias("s"))
     return full.groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(cell)), lambda p: p["s"])).alias("samples"))
 
@@ -167,4 +173,5 @@ def tiles(px: DataFrame, tile: int, width: int, height: int) -> DataFrame:
     """Tiles, those at the edges partial: origin, size, and the sum of their samples."""
     ty, tx = F.expr(f"y div {tile}"), F.expr(f"x div {tile}")
     d = px.groupBy("image_id", "c", ty.alias("ty"), tx.alias("tx")).agg(F.sum("v").cast("long").alias("total"), F.count(F.lit(1)).alias("n"))
-    return d.withColumn("w", F.least(F.lit(tile), width - F.col("tx") * tile).cast("int")).withColumn("h", F.least(F.lit(tile), height - F.col("ty") * tile).cast("int"))
+    return d.withColumn("w", F.least(F.lit(tile), width - F.col("tx") * tile).cast("int")).withColumn("h",
+        F.least(F.lit(tile), height - F.col("ty") * tile).cast("int"))

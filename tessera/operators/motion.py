@@ -15,7 +15,8 @@ from ..functions.scalar import div
 def block_rows(px: DataFrame, size: int) -> DataFrame:
     """(image_id, by, bx, samples): all channels of a block in one array."""
     cell = F.struct("c", "y", "x", "v")
-    d = px.groupBy("image_id", F.expr(f"y div {size}").alias("by"), F.expr(f"x div {size}").alias("bx")).agg(F.array_sort(F.collect_list(cell)).alias("s"))
+    d = px.groupBy("image_id", F.expr(f"y div {size}").alias("by"),
+        F.expr(f"x div {size}").alias("bx")).agg(F.array_sort(F.collect_list(cell)).alias("s"))
     return d.select("image_id", "by", "bx", F.transform("s", lambda p: p["v"]).alias("samples"))
 
 
@@ -26,8 +27,10 @@ def search(px: DataFrame, size: int, radius: int, threshold: float, peak: int =
     blocks = block_rows(px, size)
     offsets = F.sequence(F.lit(-radius), F.lit(radius))
     wanted = blocks.withColumn("dy", F.explode(offsets)).withColumn("dx", F.explode(offsets))
-    wanted = wanted.select("image_id", "by", "bx", "samples", (F.col("image_id") - 1).alias("ref"), (F.col("by") + F.col("dy")).alias("sy"), (F.col("bx") + F.col("dx")).alias("sx"))
-    found = wanted.join(blocks.select(F.col("image_id").alias("ref"), F.col("by").alias("sy"), F.col("bx").alias("sx"), F.col("samples").alias("other")), ["ref", "sy", "sx"])
+    wanted = wanted.select("image_id", "by", "bx", "samples", (F.col("image_id") - 1).alias("ref"), (F.col("by") + F.col("dy")).alias("sy"),
+        (F.col("bx") + F.col("dx")).alias("sx"))
+    found = wanted.join(blocks.select(F.col("image_id").alias("ref"), F.col("by").alias("sy"), F.col("bx").alias("sx"),
+        F.col("samples").alias("other")), ["ref", "sy", "sx"])
     sad = F.aggregate(F.zip_with("samples", "other", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda acc, v: acc + v)
     sim = 1 - sad / (F.size("samples") * F.lit(float(peak)))
     found = found.withColumn("s", sim).withColumn("similarity", F.when(F.col("s") >= threshold, F.col("s")).otherwise(0.0))
@@ -47,13 +50,15 @@ def merge_rows(found: DataFrame, size: int) -> DataFrame:
     d = found.select("image_id", "by", "bx", (F.col("sy") - F.col("by")).alias("dy"), (F.col("sx") - F.col("bx")).alias("dx"))
     d = d.withColumn("island", F.col("bx") - F.row_number().over(Window.partitionBy(*keys).orderBy("bx")))
     d = d.groupBy(*keys, "island").agg(F.min("bx").alias("bx"), F.count(F.lit(1)).alias("blocks"))
-    return d.select("image_id", (F.col("by") * size).alias("y"), (F.col("bx") * size).alias("x"), (F.col("blocks") * size).alias("w"), F.lit(size).cast("long").alias("h"), "dy", "dx")
+    return d.select("image_id", (F.col("by") * size).alias("y"), (F.col("bx") * size).alias("x"), (F.col("blocks") * size).alias("w"),
+        F.lit(size).cast("long").alias("h"), "dy", "dx")
 
 
 def overlap(a: str, b: str) -> Column:
     """Whether two rectangles (x, y, w, h) overlap."""
     f = lambda t, n: F.col(f"{t}.{n}")
-    return (f(a, "x") < f(b, "x") + f(b, "w")) & (f(b, "x") < f(a, "x") + f(a, "w")) & (f(a, "y") < f(b, "y") + f(b, "h")) & (f(b, "y") < f(a, "y") + f(a, "h"))
+    return (f(a, "x") < f(b, "x") + f(b, "w")) & (f(b, "x") < f(a, "x") + f(a, "w")) & (f(a, "y") < f(b, "y") + f(b, "h")) & (f(b, "y") < f(a,
+        "y") + f(a, "h"))
 
 
 def overlapping_pairs(patches: DataFrame, cell: int) -> DataFrame:
@@ -104,7 +109,8 @@ def key_deltas(px: DataFrame, step: int) -> DataFrame:
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """Each left row with the last right value at or before it: one union, one sort, a running last value."""
-    both = left.select(by, at, F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("side")).unionByName(right.select(by, at, value, F.lit(0).alias("side")))
+    both = left.select(by, at, F.lit(None).cast(right.schema[value].dataType).alias(value),
+        F.lit(1).alias("side")).unionByName(right.select(by, at, value, F.lit(0).alias("side")))
     w = Window.partitionBy(by).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, True).over(w)).where("side = 1").drop("side")
 
@@ -112,7 +118,8 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> Da
 def durations(frames: DataFrame, given: list[int], ticks: int = 1000, fps: int = 30) -> DataFrame:
     """Duration of each frame, the given ones first, and where it starts: a running sum."""
     listed = F.array(*map(F.lit, given)) if given else F.array().cast("array<int>")
-    d = frames.select("frame_id").distinct().withColumn("duration", F.coalesce(F.get(listed, F.col("frame_id").cast("int")), F.lit(ticks // fps)).cast("long"))
+    d = frames.select("frame_id").distinct().withColumn("duration",
+        F.coalesce(F.get(listed, F.col("frame_id").cast("int")), F.lit(ticks // fps)).cast("long"))
     return offsets(d, "frame_id", "duration")
 
 
@@ -122,7 +129,8 @@ def offsets(rows: DataFrame, order: str, size: str, part: int = 4096) -> DataFra
     p = F.expr(f"CAST({order} AS LONG) div {part}")
     d = rows.withColumn("__part", p)
     w = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = d.groupBy("__part").agg(F.sum(size).alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = d.groupBy("__part").agg(F.sum(size).alias("__sum")).withColumn("__before",
+        F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     d = d.withColumn("__in", F.coalesce(F.sum(size).over(w), F.lit(0))).join(before.select("__part", "__before"), "__part")
     return d.withColumn("start", (F.col("__before") + F.col("__in")).cast("long")).drop("__part", "__before", "__in")
 
@@ -139,7 +147,8 @@ def gaussian_noise(spark, n: int, seed: int, sigma: float = 1.0, streams: int =
                     state, value = xorshift(state)
                     u.append((value >> 40) / float(1 << 24))
                 u1, u2 = np.array(u[::2]), np.array(u[1::2])
-                yield pd.DataFrame({"stream": stream, "i": np.arange(n), "u1": u1, "u2": u2, "z": sigma * np.sqrt(-2 * np.log(np.maximum(u1, 1e-10))) * np.cos(2 * np.pi * u2)})
+                yield pd.DataFrame({"stream": stream, "i": np.arange(n), "u1": u1, "u2": u2,
+                    "z": sigma * np.sqrt(-2 * np.log(np.maximum(u1, 1e-10))) * np.cos(2 * np.pi * u2)})
 
     return spark.range(streams).repartition(streams, "id").mapInPandas(run, "stream long, i long, u1 double, u2 double, z double")
 
@@ -159,7 +168,8 @@ def block_differences(px: DataFrame, size: int, radius: int) -> DataFrame:
     offsets = F.sequence(F.lit(-radius), F.lit(radius))
     wanted = blocks.withColumn("dy", F.explode(offsets)).withColumn("dx", F.explode(offsets)).withColumn("ref", F.col("image_id") - 1)
     wanted = wanted.withColumn("sy", F.col("by") + F.col("dy")).withColumn("sx", F.col("bx") + F.col("dx"))
-    found = wanted.join(blocks.select(F.col("image_id").alias("ref"), F.col("by").alias("sy"), F.col("bx").alias("sx"), F.col("samples").alias("other")), ["ref", "sy", "sx"])
+    found = wanted.join(blocks.select(F.col("image_id").alias("ref"), F.col("by").alias("sy"), F.col("bx").alias("sx"),
+        F.col("samples").alias("other")), ["ref", "sy", "sx"])
     sad = F.aggregate(F.zip_with("samples", "other", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda acc, v: acc + v)
     return found.select("image_id", "by", "bx", "dy", "dx", sad.alias("sad"), F.size("samples").alias("n"))
 
@@ -168,11 +178,16 @@ def grow(differences: DataFrame, threshold: float, most: int, peak: int = 255) -
     """Largest square (in blocks) from each block at each displacement whose similarity, and that of all smaller ones,
     reaches the threshold. A block's difference is dealt to the squares that hold it: most * (most + 1) * (2 most + 1) / 6
     rows each, whatever the picture's size."""
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(n.alias("side"), i.alias("i"), j.alias("j")))))))
-    d = differences.withColumn("s", F.explode(spans)).select("image_id", (F.col("by") - F.col("s.i")).alias("by"), (F.col("bx") - F.col("s.j")).alias("bx"), "dy", "dx", F.col("s.side").alias("side"), "sad", "n")
-    sums = d.groupBy("image_id", "by", "bx", "dy", "dx", "side").agg(F.sum("sad").alias("sad"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)),
+        lambda n: F.flatten(F.transform(F.sequence(F.lit(0), n - 1),
+            lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(n.alias("side"), i.alias("i"), j.alias("j")))))))
+    d = differences.withColumn("s", F.explode(spans)).select("image_id", (F.col("by") - F.col("s.i")).alias("by"),
+        (F.col("bx") - F.col("s.j")).alias("bx"), "dy", "dx", F.col("s.side").alias("side"), "sad", "n")
+    sums = d.groupBy("image_id", "by", "bx", "dy", "dx", "side").agg(F.sum("sad").alias("sad"), F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("blocks"))
     good = sums.where((F.col("blocks") == F.col("side") * F.col("side")) & (1 - F.col("sad") / (F.col("n") * float(peak)) >= threshold))
-    return good.groupBy("image_id", "by", "bx", "dy", "dx").agg(F.array_sort(F.collect_list("side")).alias("sides")).select("image_id", "by", "bx", "dy", "dx", F.size(F.filter("sides", lambda v, i: v == i + 1)).alias("side")).where("side > 0")
+    return good.groupBy("image_id", "by", "bx", "dy", "dx").agg(F.array_sort(F.collect_list("side")).alias("sides")).select("image_id", "by", "bx",
+        "dy", "dx", F.size(F.filter("sides", lambda v, i: v == i + 1)).alias("side")).where("side > 0")
 
 
 def pixel_gaussian(seed: int, *keys: str) -> Column:

@@ -58,7 +58,8 @@ def all_predictors(px: DataFrame, width: int) -> DataFrame:
     for k in ("n", "w", "nw"):
         d = d.withColumn(k, F.coalesce(k, F.lit(0)))
     origin = (F.col("x") == 0) & (F.col("y") == 0)
-    return d.select("image_id", "c", "y", "x", *[F.when(origin, 0).otherwise(e).cast("int").alias(k) for k, e in predictors(F.col("n"), F.col("w"), F.col("nw")).items()])
+    return d.select("image_id", "c", "y", "x",
+        *[F.when(origin, 0).otherwise(e).cast("int").alias(k) for k, e in predictors(F.col("n"), F.col("w"), F.col("nw")).items()])
 
 
 def properties(px: DataFrame, width: int) -> DataFrame:
@@ -81,7 +82,8 @@ class Decision:
 
 
 #: Leaves are (predictor, context).
-DEFAULT_TREE = Decision("gradient_h", 16, Decision("gradient_v", 16, ("gradient", 0), ("west", 1)), Decision("gradient_v", 16, ("north", 2), ("select", 3)))
+DEFAULT_TREE = Decision("gradient_h", 16, Decision("gradient_v", 16, ("gradient", 0), ("west", 1)),
+    Decision("gradient_v", 16, ("north", 2), ("select", 3)))
 EXTENDED_TREE = Decision(
     "gradient_h", 16,
     Decision("gradient_v", 16, Decision("max_residual", 4, ("gradient", 0), ("gradient", 1)), Decision("n_nw", 0, ("average_wnw", 2), ("west", 3))),
@@ -101,7 +103,8 @@ def tree_predict(px: DataFrame, width: int, tree: Decision = DEFAULT_TREE) -> Da
     d = properties(px, width)
     p = predictors(F.col("zn"), F.col("zw"), F.col("znw"))
     origin = (F.col("x") == 0) & (F.col("y") == 0)
-    d = d.withColumn("context", walk(tree, lambda t: F.lit(t[1]))).withColumn("p", F.when(origin, 0).otherwise(walk(tree, lambda t: p[t[0]])).cast("int"))
+    d = d.withColumn("context", walk(tree, lambda t: F.lit(t[1]))).withColumn("p",
+        F.when(origin, 0).otherwise(walk(tree, lambda t: p[t[0]])).cast("int"))
     return d.select("image_id", "c", "y", "x", "v", "context", "p", (F.col("v") - F.col("p")).alias("r"))
 
 
@@ -166,7 +169,8 @@ def _per_plane(px: DataFrame, width: int, height: int, value: str, out: str, inv
         plane[frame["y"], frame["x"]] = frame[value]
         result, ctx = _plane_walk(plane, tree, inverse)
         y, x = np.divmod(np.arange(width * height), width)
-        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "c": frame["c"].iloc[0], "y": y, "x": x, out: result.ravel(), "context": ctx.ravel()})
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "c": frame["c"].iloc[0], "y": y, "x": x, out: result.ravel(),
+            "context": ctx.ravel()})
 
     return px.groupBy(*PLANE).applyInPandas(run, f"image_id long, c long, y long, x long, {out} long, context long")
 
@@ -232,7 +236,8 @@ def zero_runs(coefficients: DataFrame, *block: str) -> DataFrame:
     trailing zeros, if there are any. One window: the last coefficient's row stands for the end where it is 0."""
     before = Window.partitionBy(*block).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     here = (F.col("k") > 0) & (F.col("q") != 0)
-    d = coefficients.select(*block, "k", "q", F.coalesce(F.max(F.when(here, F.col("k"))).over(before), F.lit(0)).alias("last")).where(here | (F.col("k") == 63))
+    d = coefficients.select(*block, "k", "q",
+        F.coalesce(F.max(F.when(here, F.col("k"))).over(before), F.lit(0)).alias("last")).where(here | (F.col("k") == 63))
     number = lambda v, name: v.cast("int").alias(name)
     k, zeros = F.when(here, F.col("k")).otherwise(64), F.when(here, F.col("k") - F.col("last") - 1).otherwise(63 - F.col("last"))
     return d.select(*block, number(k, "k"), number(F.when(here, F.col("q")), "q"), number(zeros, "zeros"))

@@ -10,20 +10,25 @@ from ..functions.scalar import clamp, json_escape
 
 def speed_summary(bench: DataFrame, by: str = "category") -> DataFrame:
     rate = F.col("pixels") / 1e6 / F.col("seconds")
-    return bench.groupBy(by).agg(F.avg("seconds").alias("mean_seconds"), F.avg(rate).alias("mean_rate"), F.min("seconds").alias("fastest"), F.max("seconds").alias("slowest"), F.min_by("name", F.struct("seconds", "name")).alias("fastest_name"), F.max_by("name", F.struct("seconds", "name")).alias("slowest_name"), F.count(F.lit(1)).alias("n"))
+    return bench.groupBy(by).agg(F.avg("seconds").alias("mean_seconds"), F.avg(rate).alias("mean_rate"), F.min("seconds").alias("fastest"),
+        F.max("seconds").alias("slowest"), F.min_by("name", F.struct("seconds", "name")).alias("fastest_name"),
+            F.max_by("name", F.struct("seconds", "name")).alias("slowest_name"), F.count(F.lit(1)).alias("n"))
 
 
 def compression_summary(bench: DataFrame) -> DataFrame:
     d = bench.withColumn("ratio", F.col("bytes_in") / F.col("bytes_out"))
-    return d.agg(F.max("ratio").alias("best"), F.min("ratio").alias("worst"), F.avg("ratio").alias("mean"), F.max_by("name", F.struct("ratio", "name")).alias("best_name"), F.min_by("name", F.struct("ratio", "name")).alias("worst_name"))
+    return d.agg(F.max("ratio").alias("best"), F.min("ratio").alias("worst"), F.avg("ratio").alias("mean"),
+        F.max_by("name", F.struct("ratio", "name")).alias("best_name"), F.min_by("name", F.struct("ratio", "name")).alias("worst_name"))
 
 
 def memory_summary(bench: DataFrame) -> DataFrame:
-    return bench.agg(F.max("memory").alias("peak"), F.avg("memory").alias("mean"), F.min("memory").alias("least"), (F.max("memory") / (F.sum("pixels") / 1e6)).alias("peak_per_megapixel"))
+    return bench.agg(F.max("memory").alias("peak"), F.avg("memory").alias("mean"), F.min("memory").alias("least"),
+        (F.max("memory") / (F.sum("pixels") / 1e6)).alias("peak_per_megapixel"))
 
 
 def batch_summary(files: DataFrame) -> DataFrame:
-    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"), F.avg(F.col("bytes_in") / F.col("bytes_out")).alias("mean_ratio"))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"),
+        F.avg(F.col("bytes_in") / F.col("bytes_out")).alias("mean_ratio"))
 
 
 def stage_profile(spans: DataFrame, top: int = 3) -> DataFrame:
@@ -34,16 +39,19 @@ def stage_profile(spans: DataFrame, top: int = 3) -> DataFrame:
 
 def merge_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two profiles (stage, total, calls) as one: sums of partial sums."""
-    return a.unionByName(b).groupBy("stage").agg(F.sum("total").alias("total"), F.sum("calls").alias("calls")).withColumn("mean", F.col("total") / F.col("calls"))
+    return a.unionByName(b).groupBy("stage").agg(F.sum("total").alias("total"), F.sum("calls").alias("calls")).withColumn("mean",
+        F.col("total") / F.col("calls"))
 
 
 def regressions(now: DataFrame, baseline: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Alerts by name: slower by more than the threshold, or compressing less by more than it."""
     d = now.join(baseline.select("name", F.col("seconds").alias("base_seconds"), F.col("ratio").alias("base_ratio")), "name")
     slow = d.where((F.col("base_seconds") > 0) & (F.col("seconds") / F.col("base_seconds") > 1 + threshold))
-    slow = slow.select("name", F.lit("time").alias("metric"), F.col("base_seconds").alias("before"), F.col("seconds").alias("after"), (F.col("seconds") / F.col("base_seconds") - 1).alias("change"))
+    slow = slow.select("name", F.lit("time").alias("metric"), F.col("base_seconds").alias("before"), F.col("seconds").alias("after"),
+        (F.col("seconds") / F.col("base_seconds") - 1).alias("change"))
     loose = d.where((F.col("ratio") > 0) & (F.col("base_ratio") / F.col("ratio") > 1 + threshold))
-    loose = loose.select("name", F.lit("ratio").alias("metric"), F.col("base_ratio").alias("before"), F.col("ratio").alias("after"), (F.col("base_ratio") / F.col("ratio") - 1).alias("change"))
+    loose = loose.select("name", F.lit("ratio").alias("metric"), F.col("base_ratio").alias("before"), F.col("ratio").alias("after"),
+        (F.col("base_ratio") / F.col("ratio") - 1).alias("change"))
     return slow.unionByName(loose)
 
 
@@ -70,14 +78,17 @@ def estimated_distance(psnr: Column) -> Column:
 def validate(rows: DataFrame, least_psnr: float, least_ssim: float, most_seconds: float) -> DataFrame:
     """(name, psnr, ssim, seconds) with passed and the reasons against, comma-joined."""
     reasons = F.filter(
-        F.array(F.when(F.col("psnr") < least_psnr, F.lit("psnr")), F.when(F.col("ssim") < least_ssim, F.lit("ssim")), F.when(F.col("seconds") > most_seconds, F.lit("time"))), lambda r: r.isNotNull()
+        F.array(F.when(F.col("psnr") < least_psnr, F.lit("psnr")), F.when(F.col("ssim") < least_ssim, F.lit("ssim")),
+            F.when(F.col("seconds") > most_seconds, F.lit("time"))), lambda r: r.isNotNull()
     )
     return rows.withColumn("passed", F.size(reasons) == 0).withColumn("reasons", F.array_join(reasons, ","))
 
 
 def validation_summary(rows: DataFrame, by: str | None = None) -> DataFrame:
     finite = F.when(F.abs("psnr") < float("inf"), F.col("psnr"))
-    aggs = [F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.coalesce(F.avg(finite), F.lit(0.0)).alias("mean_psnr"), F.coalesce(F.avg("ssim"), F.lit(0.0)).alias("mean_ssim"), F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("mean_seconds")]
+    aggs = [F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"),
+        F.coalesce(F.avg(finite), F.lit(0.0)).alias("mean_psnr"), F.coalesce(F.avg("ssim"), F.lit(0.0)).alias("mean_ssim"),
+            F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("mean_seconds")]
     return rows.groupBy(by).agg(*aggs) if by else rows.agg(*aggs)
 
 
@@ -86,7 +97,10 @@ def structure_checks(files: DataFrame) -> DataFrame:
     from ..sources.containers import read_image_header
 
     h = read_image_header(F.col("data"))
-    d = files.select("file_id", (F.octet_length("data") > 0).alias("not_empty"), (F.octet_length("data") >= 14).alias("long_enough"), (F.hex(F.substring("data", 1, 2)) == "FF0A").alias("signature"), *[F.coalesce(e.between(a, b), F.lit(False)).alias(n) for n, e, a, b in (("width_ok", h["width"], 1, 262144), ("height_ok", h["height"], 1, 262144), ("channels_ok", h["channels"], 1, 4))])
+    d = files.select("file_id", (F.octet_length("data") > 0).alias("not_empty"), (F.octet_length("data") >= 14).alias("long_enough"),
+        (F.hex(F.substring("data", 1, 2)) == "FF0A").alias("signature"),
+            *[F.coalesce(e.between(a, b), F.lit(False)).alias(n) for n, e, a,
+                b in (("width_ok", h["width"], 1, 262144), ("height_ok", h["height"], 1, 262144), ("channels_ok", h["channels"], 1, 4))])
     return d.withColumn("passed", F.expr("not_empty AND long_enough AND signature AND width_ok AND height_ok AND channels_ok"))
 
 
@@ -94,7 +108,8 @@ def stream_summary(checked: DataFrame) -> DataFrame:
     """Of structure_checks' rows: streams, passed, failed, how many fail each check, and whether all passed."""
     checks = [c for c in checked.columns if c not in ("file_id", "passed")]
     failing = [F.count_if(~F.col(c)).alias(f"no_{c}") for c in checks]
-    return checked.agg(F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), *failing, (F.count_if(~F.col("passed")) == 0).alias("all_passed"))
+    return checked.agg(F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), *failing,
+        (F.count_if(~F.col("passed")) == 0).alias("all_passed"))
 
 
 # fixed values: the largest side of a medical frame, its depths and numbers of channels
@@ -105,7 +120,8 @@ def medical_checks(frames: DataFrame) -> DataFrame:
     """The first limit of medical pictures that each frame fails, or null."""
     size = F.col("width").cast("long") * F.col("height")
     reason = F.when(F.greatest("width", "height") > MEDICAL_SIDE, "side").when(size > MEDICAL_SIDE * MEDICAL_SIDE, "pixels")
-    return frames.withColumn("failed", reason.when(~F.col("bits").isin(*MEDICAL_DEPTHS), "bits").when(~F.col("channels").isin(*MEDICAL_CHANNELS), "channels"))
+    return frames.withColumn("failed",
+        reason.when(~F.col("bits").isin(*MEDICAL_DEPTHS), "bits").when(~F.col("channels").isin(*MEDICAL_CHANNELS), "channels"))
 
 
 def json_summary(bench: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -120,23 +136,27 @@ def json_report(bench: DataFrame) -> DataFrame:
     """One JSON text a category, its rows by name; built of bounded groups by aggregation."""
     row = F.concat(F.lit('{"name":"'), json_escape(F.col("name")), F.lit('","bytes":'), F.col("bytes_out").cast("long").cast("string"), F.lit("}"))
     d = bench.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("name", row.alias("j")))).alias("s"))
-    return d.select("category", F.concat(F.lit('{"category":"'), json_escape(F.col("category")), F.lit('","results":['), F.array_join(F.transform("s", lambda x: x["j"]), ","), F.lit("]}")).alias("report"))
+    return d.select("category", F.concat(F.lit('{"category":"'), json_escape(F.col("category")), F.lit('","results":['),
+        F.array_join(F.transform("s", lambda x: x["j"]), ","), F.lit("]}")).alias("report"))
 
 
 def html_table(bench: DataFrame) -> DataFrame:
     from ..functions.scalar import html_escape
 
-    row = F.concat(F.lit("<tr><td>"), html_escape(F.col("name")), F.lit("</td><td>"), F.col("bytes_out").cast("long").cast("string"), F.lit("</td></tr>"))
+    row = F.concat(F.lit("<tr><td>"), html_escape(F.col("name")), F.lit("</td><td>"), F.col("bytes_out").cast("long").cast("string"),
+        F.lit("</td></tr>"))
     d = bench.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("name", row.alias("r")))).alias("s"))
     return d.select("category", F.concat(F.lit("<table>"), F.array_join(F.transform("s", lambda x: x["r"]), ""), F.lit("</table>")).alias("html"))
 
 
 def series_checks(frames: DataFrame) -> DataFrame:
     """(series, width, height, channels, kind): whether all frames of a series agree."""
-    return frames.groupBy("series").agg(F.count(F.lit(1)).alias("frames"), (F.count_distinct("width", "height", "channels", "kind") == 1).alias("uniform"))
+    return frames.groupBy("series").agg(F.count(F.lit(1)).alias("frames"),
+        (F.count_distinct("width", "height", "channels", "kind") == 1).alias("uniform"))
 
 
 def frame_checks(frames: DataFrame) -> DataFrame:
     """The first failed limit of each frame, or null: sides 1..262144, 1..4 channels, depth 8, 12, 16 or 32."""
-    reason = F.when(~F.col("width").between(1, 262144), "width").when(~F.col("height").between(1, 262144), "height").when(~F.col("channels").between(1, 4), "channels").when(~F.col("bits").isin(8, 12, 16, 32), "bits")
+    reason = F.when(~F.col("width").between(1, 262144), "width").when(~F.col("height").between(1, 262144),
+        "height").when(~F.col("channels").between(1, 4), "channels").when(~F.col("bits").isin(8, 12, 16, 32), "bits")
     return frames.withColumn("failed", reason)

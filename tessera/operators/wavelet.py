@@ -32,7 +32,8 @@ def _pairs(px: DataFrame, axis: str, width: int, height: int, of: Column, first:
     inside = (F.col("x") < width) & (F.col("y") < height)
     other = [k for k in KEY if k != axis]
     one = F.when(~inside | first, F.col("v"))
-    return px.groupBy(*other, inside.alias("inside"), F.when(inside, of).otherwise(F.col(axis)).alias("i")).agg(F.max(one).alias("e"), F.max(F.when(inside & ~first, F.col("v"))).alias("o"))
+    return px.groupBy(*other, inside.alias("inside"), F.when(inside, of).otherwise(F.col(axis)).alias("i")).agg(F.max(one).alias("e"),
+        F.max(F.when(inside & ~first, F.col("v"))).alias("o"))
 
 
 def _spread(pairs: DataFrame, axis: str, first: tuple[Column, Column], second: tuple[Column, Column]) -> DataFrame:
@@ -138,7 +139,8 @@ def _by_tiles(tiles: DataFrame, width: int, height: int, levels: int, inverse: b
                     y = ids["ty"][here][:, None] * bands[:, 2] + bands[:, 1]
                     x = ids["tx"][here][:, None] * bands[:, 4] + bands[:, 3]
                 whole = [np.repeat(ids[k][here], sx * sy) for k in ("image_id", "c")]
-                yield pa.RecordBatch.from_arrays([pa.array(k) for k in (*whole, y.ravel(), x.ravel())] + [pa.array(result.ravel().astype(np.int32))], names=[*KEY, "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(k) for k in (*whole, y.ravel(), x.ravel())] + [pa.array(result.ravel().astype(np.int32))],
+                    names=[*KEY, "v"])
 
     return tiles.mapInArrow(run, "image_id long, c long, y long, x long, v int")
 
@@ -147,7 +149,8 @@ def forward(px: DataFrame, width: int, height: int, levels: int = 3) -> DataFram
     """All steps of step_plan: one grouping into tiles that are transformed on their own."""
     size = 1 << levels
     cell = F.struct("y", "x", F.col("v").cast("int").alias("v"))
-    d = px.groupBy(*[F.col(k).cast("long").alias(k) for k in ("image_id", "c")], F.expr(f"CAST(y div {size} AS LONG)").alias("ty"), F.expr(f"CAST(x div {size} AS LONG)").alias("tx"))
+    d = px.groupBy(*[F.col(k).cast("long").alias(k) for k in ("image_id", "c")], F.expr(f"CAST(y div {size} AS LONG)").alias("ty"),
+        F.expr(f"CAST(x div {size} AS LONG)").alias("tx"))
     d = d.agg(F.array_sort(F.collect_list(cell)).alias("s")).select("image_id", "c", "ty", "tx", F.transform("s", lambda s: s["v"]).alias("v"))
     return _by_tiles(d, width, height, levels, False)
 

@@ -46,7 +46,8 @@ def _block_sections(spark, sf):
 @query("coded_blocks")
 def coded_blocks(spark, sf):
     """Bytes of each channel's section of each pass."""
-    return _block_sections(spark, sf).select(*longs("image_id", "c"), "pass", F.octet_length("data").alias("bytes"), F.crc32("data").alias("checksum"))
+    return _block_sections(spark, sf).select(*longs("image_id", "c"), "pass", F.octet_length("data").alias("bytes"),
+        F.crc32("data").alias("checksum"))
 
 
 @query("decoded_blocks", f"WITH {_BACK} SELECT {KEY}, v FROM rec")
@@ -100,7 +101,11 @@ def clustered_sections(spark, sf):
     return E.rans_round_trip(E.split_streams(clustered)).select("stream", "n", "coded", "exact")
 
 
-@query("frequency_tables", f"WITH {_NORM}, a AS (SELECT c.ctx, s.sym, coalesce(d.freq, 0) AS f FROM (SELECT DISTINCT ctx FROM dist) c JOIN range(32) s(sym) ON true LEFT JOIN dist d ON d.ctx = c.ctx AND d.sym = s.sym) SELECT ctx, '0020' || string_agg(format('{{:04X}}', f), '' ORDER BY sym) AS raw, true AS exact FROM a GROUP BY 1")
+@query("frequency_tables", (
+    f"WITH {_NORM}, a AS (SELECT c.ctx, s.sym, coalesce(d.freq, 0) AS f FROM (SELECT DISTINCT ctx FROM dist) c JOIN range(32) s(sym) ON "
+    f"true LEFT JOIN dist d ON d.ctx = c.ctx AND d.sym = s.sym) SELECT ctx, '0020' || string_agg(format('{{:04X}}', f), '' ORDER BY sym) AS "
+    f"raw, true AS exact FROM a GROUP BY 1"
+))
 def frequency_tables(spark, sf):
     """Each context's table as bytes; exact: it reads back in both forms."""
     return K.tables_as_bytes(E.normalise(E.histogram(_symbols(spark, sf))), 32).select("ctx", F.hex("raw").alias("raw"), "exact")
@@ -154,7 +159,8 @@ def metadata_bits(spark, sf):
     e = F.col("event_id")
     depth = F.element_at(F.array(*map(F.lit, (8, 8, 12, 16, 32))), (e % 5 + 1).cast("int"))
     ticks = F.when(e % 5 < 4, 0).otherwise(e % 5 * 6)
-    m = {"depth": depth, "alpha": e % 2 == 1, "extra": e % 3, "xyb": e % 6 == 5, "space": _space(), "orientation": e % 6 + 1, "ticks": ticks, "per": F.lit(1), "loops": e % 7}
+    m = {"depth": depth, "alpha": e % 2 == 1, "extra": e % 3, "xyb": e % 6 == 5, "space": _space(), "orientation": e % 6 + 1, "ticks": ticks,
+        "per": F.lit(1), "loops": e % 7}
     d = R.table(spark, sf, "events").select("event_id", X.metadata_bits(m).alias("bits"))
     return d.select("event_id", "bits", F.octet_length(X.pack_bits(F.col("bits"))).alias("bytes"))
 
@@ -182,7 +188,10 @@ def conformance_checks(spark, sf):
     return V.checks(spark).select("id", "category", "name", "passed")
 
 
-@query("conformance_summary", f"SELECT category, count(*) AS vectors, count(*) AS vectors_passed, count(*) * 9 AS checks, count(*) * 9 AS checks_passed FROM (VALUES {_VECTORS}) t(id, category) GROUP BY 1")
+@query("conformance_summary", (
+    f"SELECT category, count(*) AS vectors, count(*) AS vectors_passed, count(*) * 9 AS checks, count(*) * 9 AS checks_passed FROM (VALUES "
+    f"{_VECTORS}) t(id, category) GROUP BY 1"
+))
 def conformance_summary(spark, sf):
     return V.summary(V.checks(spark)).select("category", *longs("vectors", "vectors_passed", "checks", "checks_passed"))
 
@@ -202,7 +211,8 @@ def harness(spark, sf):
     names, d = _measured(spark)
     name = F.element_at(F.array(*map(F.lit, names)), (F.col("image_id") % 100 + 1).cast("int"))
     mode = F.when(F.col("image_id") < 100, "lossless").otherwise("lossy")
-    return d.select(name.alias("name"), mode.alias("mode"), *longs("bytes_in", "bytes_out"), *[F.round(c, 4).alias(c) for c in ("ratio", "psnr", "ssim", "distance")], "passed")
+    return d.select(name.alias("name"), mode.alias("mode"), *longs("bytes_in", "bytes_out"),
+        *[F.round(c, 4).alias(c) for c in ("ratio", "psnr", "ssim", "distance")], "passed")
 
 
 @query("batch_encode")
@@ -216,25 +226,39 @@ def batch_encode(spark, sf):
     return d.select("path", output_path(F.col("path"), "/data/in/", "out", "img").alias("out"), "bytes_in", "bytes_out")
 
 
-@query("stream_summary", "SELECT count(*) AS total, count(*) FILTER (w AND c) AS passed, count(*) FILTER (NOT (w AND c)) AS failed, 0::BIGINT AS no_signature, count(*) FILTER (NOT w) AS no_width, count(*) FILTER (NOT c) AS no_channels, false AS all_passed FROM (SELECT event_id * 13 % 5000 >= 1 AS w, event_id % 6 BETWEEN 1 AND 4 AS c FROM events)")
+@query("stream_summary", (
+    "SELECT count(*) AS total, count(*) FILTER (w AND c) AS passed, count(*) FILTER (NOT (w AND c)) AS failed, 0::BIGINT AS no_signature, "
+    "count(*) FILTER (NOT w) AS no_width, count(*) FILTER (NOT c) AS no_channels, false AS all_passed FROM (SELECT event_id * 13 % 5000 >= "
+    "1 AS w, event_id % 6 BETWEEN 1 AND 4 AS c FROM events)"
+))
 def stream_summary(spark, sf):
     d = T.stream_summary(T.structure_checks(_headers(spark, sf)))
-    return d.select(*longs("total", "passed", "failed", "no_signature"), F.col("no_width_ok").alias("no_width"), F.col("no_channels_ok").alias("no_channels"), "all_passed")
+    return d.select(*longs("total", "passed", "failed", "no_signature"), F.col("no_width_ok").alias("no_width"),
+        F.col("no_channels_ok").alias("no_channels"), "all_passed")
 
 
-@query("medical_check", "SELECT event_id, CASE WHEN event_id * 7 % 20000 > 16384 THEN 'side' WHEN [8, 10, 12, 16][event_id % 4 + 1] = 10 THEN 'bits' WHEN event_id % 5 NOT IN (1, 3) THEN 'channels' END AS failed FROM events")
+@query("medical_check", (
+    "SELECT event_id, CASE WHEN event_id * 7 % 20000 > 16384 THEN 'side' WHEN [8, 10, 12, 16][event_id % 4 + 1] = 10 THEN 'bits' WHEN "
+    "event_id % 5 NOT IN (1, 3) THEN 'channels' END AS failed FROM events"
+))
 def medical_check(spark, sf):
     e = F.col("event_id")
-    d = R.table(spark, sf, "events").select("event_id", (e * 7 % 20000).alias("width"), (e % 9).alias("height"), (e % 5).alias("channels"), F.element_at(F.array(*map(F.lit, (8, 10, 12, 16))), (e % 4 + 1).cast("int")).alias("bits"))
+    d = R.table(spark, sf, "events").select("event_id", (e * 7 % 20000).alias("width"), (e % 9).alias("height"), (e % 5).alias("channels"),
+        F.element_at(F.array(*map(F.lit, (8, 10, 12, 16))), (e % 4 + 1).cast("int")).alias("bits"))
     return T.medical_checks(d).select("event_id", "failed")
 
 
-@query("json_summary", f"WITH {_BENCH}, {_NOW}, a AS (SELECT (n.seconds / b.seconds > 1.1)::INT + (b.ratio / n.ratio > 1.1)::INT AS k FROM cur n JOIN base b USING (name)) SELECT '{{\"total\":' || count(*) || ',\"mean_seconds\":' || format('{{:.6f}}', avg(seconds)) || ',\"mean_ratio\":' || format('{{:.4f}}', avg(bytes_in / bytes_out)) || ',\"regressions\":' || (SELECT sum(k) FROM a) || '}}' AS summary FROM bench")
+@query("json_summary", (
+    f"WITH {_BENCH}, {_NOW}, a AS (SELECT (n.seconds / b.seconds > 1.1)::INT + (b.ratio / n.ratio > 1.1)::INT AS k FROM cur n JOIN base b "
+    f"USING (name)) SELECT '{{\"total\":' || count(*) || ',\"mean_seconds\":' || format('{{:.6f}}', avg(seconds)) || ',\"mean_ratio\":' || "
+    f"format('{{:.4f}}', avg(bytes_in / bytes_out)) || ',\"regressions\":' || (SELECT sum(k) FROM a) || '}}' AS summary FROM bench"
+))
 def json_summary(spark, sf):
     return T.json_summary(_bench(spark, sf), T.regressions(*_now_and_base(spark, sf)))
 
 
-@query("presets", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}', '{k}', '{float(v)}'::DOUBLE)" for f, ns in PRESETS.items() for n, s in ns.items() for k, v in s.items()) + ") t(family, name, setting, value)")
+@query("presets", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}', '{k}', '{float(v)}'::DOUBLE)" for f, ns in PRESETS.items() for n,
+    s in ns.items() for k, v in s.items()) + ") t(family, name, setting, value)")
 def all_presets(spark, sf):
     return presets(spark)
 
@@ -245,7 +269,10 @@ _U = ["((image_id * 7 + c * 5 + y * 31 + x * 13) % 97) / 97.0::DOUBLE", "((image
 _Z = f"sqrt(-2 * ln(greatest({_U[0]}, 1e-10))) * cos(2 * pi() * ({_U[1]}))"
 
 
-@query("noisy_pixels", f"WITH {PX} SELECT {KEY}, {s4(f'greatest(0, least(255, v + ({_Z}) * 0.35 * CASE WHEN c = 0 THEN 1.0 ELSE 0.5 END * 255 * 0.05))')} AS v FROM px")
+@query("noisy_pixels", (
+    f"WITH {PX} SELECT {KEY}, {s4(f'greatest(0, least(255, v + ({_Z}) * 0.35 * CASE WHEN c = 0 THEN 1.0 ELSE 0.5 END * 255 * 0.05))')} AS v "
+    f"FROM px"
+))
 def noisy_pixels(spark, sf):
     """The moderate preset over given deviates: luma in full, chroma by half."""
     u = [F.expr(e.replace("::DOUBLE", "D")) for e in _U]
@@ -254,10 +281,14 @@ def noisy_pixels(spark, sf):
     return R.embedding_pictures(spark, sf).select(*longs(*KEYS), r4(v).alias("v"))
 
 
-@query("noisy_coefficients", f"WITH {PX}, z AS (SELECT image_id, c, y // 8 AS \"by\", x // 8 AS bx, ((y % 8) * 8 + x % 8)::INT AS i, v, {_Z} AS z FROM px) SELECT {BK}, i, {s4('v + z * 0.35 * 1.0 * CASE WHEN i = 0 THEN 0.1 WHEN i < 8 THEN 0.5 ELSE 1.0 END * 2.0')} AS v FROM z")
+@query("noisy_coefficients", (
+    f"WITH {PX}, z AS (SELECT image_id, c, y // 8 AS \"by\", x // 8 AS bx, ((y % 8) * 8 + x % 8)::INT AS i, v, {_Z} AS z FROM px) SELECT "
+    f"{BK}, i, {s4('v + z * 0.35 * 1.0 * CASE WHEN i = 0 THEN 0.1 WHEN i < 8 THEN 0.5 ELSE 1.0 END * 2.0')} AS v FROM z"
+))
 def noisy_coefficients(spark, sf):
     u = [F.expr(e.replace("::DOUBLE", "D")) for e in _U]
-    d = R.embedding_pictures(spark, sf).select("image_id", "c", F.expr("y div 8").alias("by"), F.expr("x div 8").alias("bx"), F.expr("CAST((y % 8) * 8 + x % 8 AS INT)").alias("i"), "v", M.box_muller(*u).alias("z"))
+    d = R.embedding_pictures(spark, sf).select("image_id", "c", F.expr("y div 8").alias("by"), F.expr("x div 8").alias("bx"),
+        F.expr("CAST((y % 8) * 8 + x % 8 AS INT)").alias("i"), "v", M.box_muller(*u).alias("z"))
     return M.noisy_coefficients(d, 0.35, 1.0, F.col("z")).select(*longs(*B.BLOCK), "i", r4(F.col("v")).alias("v"))
 
 

@@ -22,7 +22,10 @@ PAIR = "pair AS (SELECT image_id, c, y, x, v AS a, v - v % 8 AS b FROM px)"
 RGB = "rgb AS (SELECT image_id, y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM px GROUP BY ALL)"
 #: Blocks as rows of one sample, the orthonormal basis, and the transform.
 BLK = "blk AS (SELECT image_id, c, y // 8 AS by, x // 8 AS bx, y % 8 AS j, x % 8 AS i, v::DOUBLE AS v FROM px)"
-BASIS = "basis AS (SELECT k, i, CASE WHEN k = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END * cos((2 * i + 1) * k * pi() / 16) AS b FROM range(8) t(k), range(8) s(i))"
+BASIS = (
+    "basis AS (SELECT k, i, CASE WHEN k = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END * cos((2 * i + 1) * k * pi() / 16) AS b FROM "
+    "range(8) t(k), range(8) s(i))"
+)
 DCT = """h AS (SELECT image_id, c, "by", bx, j, k AS u, sum(blk.v * b) AS v FROM blk JOIN basis USING (i) GROUP BY ALL),
   dct AS (SELECT image_id, c, "by", bx, k AS w, u, sum(h.v * b) AS v FROM h JOIN (SELECT k, i AS j, b FROM basis) USING (j) GROUP BY ALL)"""
 

@@ -32,6 +32,10 @@ def stream_frame_samples(spark, sf):
     return S.drain(S.frame_samples(S.arriving_events(spark, sf)), _folder(spark))
 
 
-@query("stream_complete_frames", "SELECT event_id // 256 AS frame_id, sum(CAST(floor(least(value, 255)) AS INT))::BIGINT AS total FROM events GROUP BY 1 HAVING count(*) = 256")
+@query("stream_complete_frames", (
+    "SELECT event_id // 256 AS frame_id, sum(CAST(floor(least(value, 255)) AS INT))::BIGINT AS total FROM events GROUP BY 1 HAVING "
+    "count(*) = 256"
+))
 def stream_complete_frames(spark, sf):
-    return S.drain(S.complete_frames(S.frame_samples(S.arriving_events(spark, sf))), _folder(spark)).select("frame_id", F.col("total").cast("long").alias("total"))
+    return S.drain(S.complete_frames(S.frame_samples(S.arriving_events(spark, sf))), _folder(spark)).select("frame_id",
+        F.col("total").cast("long").alias("total"))

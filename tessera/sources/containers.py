@@ -239,7 +239,8 @@ def frame_index(entries: DataFrame) -> DataFrame:
 def read_frame_index(files: DataFrame) -> DataFrame:
     n = from_big_endian(F.col("data"), 1, 4)
     d = files.withColumn("i", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))))
-    at = lambda k, size: F.conv(F.hex(F.substring(F.col("data"), (5 + 16 * F.col("i") + k).cast("int"), F.lit(size))), 16, 10).cast("long")
+    at = lambda k, size: F.conv(F.hex(F.substring(F.col("data"), (5 + 16 * F.col("i") + k).cast("int"), F.lit(size))), 16,
+        10).cast("long")
     return d.select("file_id", "i", at(0, 4).alias("size"), at(4, 8).alias("offset"), at(12, 4).alias("duration"))
 
 
@@ -301,7 +302,8 @@ def put_frame(bits: Bits, f: dict) -> Bits:
     """A flag for the default frame (regular, replace, no duration, last, slot 0); else all fields. Slots 0..7 take three bits."""
     if (f["type"], f["blend"], f["duration"], f["last"], f["slot"]) == ("regular", "replace", 0, True, 0):
         return bits.put(1, 1)
-    return bits.put(0, 1).put(FRAME_TYPES.index(f["type"]), 2).put(BLENDS.index(f["blend"]), 3).put(f["duration"], 32).put(int(f["last"]), 1).put(f["slot"], 3)
+    return bits.put(0, 1).put(FRAME_TYPES.index(f["type"]), 2).put(BLENDS.index(f["blend"]), 3).put(f["duration"], 32).put(int(f["last"]),
+        1).put(f["slot"], 3)
 
 
 def get_frame(bits: Bits) -> dict:

@@ -46,7 +46,8 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid(spark: SparkSession, width: int, height: int, channels: int = 3) -> DataFrame:
     """The (c, y, x) of a picture."""
     n = width * height
-    return spark.range(n * channels).select(F.expr(f"id div {n}").alias("c"), F.expr(f"(id % {n}) div {width}").alias("y"), F.expr(f"id % {width}").alias("x"))
+    return spark.range(n * channels).select(F.expr(f"id div {n}").alias("c"), F.expr(f"(id % {n}) div {width}").alias("y"),
+        F.expr(f"id % {width}").alias("x"))
 
 
 def _by_channel(values: list[Column]) -> Column:
@@ -173,13 +174,16 @@ def _window(u: Column, t: Column) -> list[Column]:
 PICTURES = {
     "dusk": ("a", "gradient", lambda u, t: [60 + 140 * t, 70 + 60 * t * (1 - u), 190 - 120 * t]),
     "spotlight": ("a", "gradient", lambda u, t: [a / (1 + b * _sun(u, t, 0.3, 0.6)) for a, b in ((230, 6), (210, 9), (160, 14))]),
-    "tiles": ("a", "edges", lambda u, t: _listed((F.floor(u * 6) * 2 + F.floor(t * 6) * 3) % 5, (12, 240, 128, 60, 200), (200, 30, 128, 90, 220), (90, 60, 10, 180, 30))),
-    "ripples": ("a", "texture", lambda u, t: [127.5 + 100 * F.sin(20 * u) * F.cos(14 * t), 127.5 + 90 * F.cos(17 * u + 9 * t), 127.5 + 80 * F.sin(23 * t)]),
+    "tiles": ("a", "edges", lambda u,
+        t: _listed((F.floor(u * 6) * 2 + F.floor(t * 6) * 3) % 5, (12, 240, 128, 60, 200), (200, 30, 128, 90, 220), (90, 60, 10, 180, 30))),
+    "ripples": ("a", "texture", lambda u,
+        t: [127.5 + 100 * F.sin(20 * u) * F.cos(14 * t), 127.5 + 90 * F.cos(17 * u + 9 * t), 127.5 + 80 * F.sin(23 * t)]),
     "portrait": ("a", "photographic", _portrait),
     "meadow": ("a", "photographic", _meadow),
     "window": ("a", "screen", _window),
     "mixed": ("a", "mixed", _mixed),
-    "bars": ("b", "synthetic", lambda u, t: _listed(F.floor(u * 7), (200, 30, 30, 200, 90, 240, 10), (40, 180, 60, 190, 90, 240, 10), (50, 70, 200, 40, 90, 240, 10))),
+    "bars": ("b", "synthetic", lambda u,
+        t: _listed(F.floor(u * 7), (200, 30, 30, 200, 90, 240, 10), (40, 180, 60, 190, 90, 240, 10), (50, 70, 200, 40, 90, 240, 10))),
     "rings": ("b", "synthetic", lambda u, t: [127.5 + 120 * F.cos(180 * _sun(u, t, 0.5, 0.5))] * 3),
     "shallow": ("b", "gradient", lambda u, t: [100 + 8 * u, 104 + 8 * t, 108 + 4 * (u + t)]),
     "dots": ("b", "edges", lambda u, t: _choose([((F.floor(u * 32) % 9 == 4) & (F.floor(t * 32) % 7 == 3), (255, 255, 255))], (0, 0, 0))),

@@ -17,13 +17,15 @@ def arriving_events(spark: SparkSession, folder: str, name: str = "events", file
 
 def frame_samples(events: DataFrame, size: int = 256) -> DataFrame:
     """frame, position and clamped sample of each event; stateless, so the same on a table and on a stream."""
-    return events.select(F.expr(f"event_id div {size}").alias("frame_id"), (F.col("event_id") % size).alias("pos"), F.floor(F.least("value", F.lit(255.0))).cast("int").alias("v"))
+    return events.select(F.expr(f"event_id div {size}").alias("frame_id"), (F.col("event_id") % size).alias("pos"),
+        F.floor(F.least("value", F.lit(255.0))).cast("int").alias("v"))
 
 
 def window_statistics(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events, mean and largest value in tumbling windows of event time; state is dropped `late` after a window's end."""
     w = F.window("ts", width)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("largest")).select(F.col("window.start").alias("start"), "event_type", "n", "mean", "largest")
+    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
+        F.max("value").alias("largest")).select(F.col("window.start").alias("start"), "event_type", "n", "mean", "largest")
 
 
 def complete_frames(samples: DataFrame, size: int = 256) -> DataFrame:
@@ -42,12 +44,14 @@ def complete_frames(samples: DataFrame, size: int = 256) -> DataFrame:
         else:
             state.update((n, total))
 
-    return samples.groupBy("frame_id").applyInPandasWithState(update, "frame_id long, total long", "n int, total long", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy("frame_id").applyInPandasWithState(update, "frame_id long, total long", "n int, total long", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
     """Runs a stream over what is there now, into Parquet below `folder`, and reads the result."""
     spark, at = stream.sparkSession, f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation",
+        f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

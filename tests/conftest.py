@@ -10,7 +10,9 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 
 @pytest.fixture(scope="session")
 def spark():
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
+    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled",
+        "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory",
+            "4g").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -120,7 +120,8 @@ def test_tiles_give_the_steps(spark, width, height, levels):
     """All levels in tiles are the steps one after the other, at any size, and come back."""
     rng = np.random.default_rng(width)
     values = rng.integers(-300, 300, (2, height, width))
-    px = spark.createDataFrame([(7, c, y, x, int(values[c, y, x])) for c in range(2) for y in range(height) for x in range(width)], "image_id long, c long, y long, x long, v int")
+    px = spark.createDataFrame([(7, c, y, x, int(values[c, y, x])) for c in range(2) for y in range(height) for x in range(width)],
+        "image_id long, c long, y long, x long, v int")
     steps = reduce(lambda d, s: W.step(d, *s), W.step_plan(width, height, levels), px)
     rows = lambda d: sorted(tuple(r) for r in d.select("c", "y", "x", "v").collect())
     coded = W.forward(px, width, height, levels)
@@ -164,6 +165,7 @@ def test_extended_tree_against_single_samples(spark):
             t = P.EXTENDED_TREE
             while not isinstance(t, tuple):
                 t = t.left if props[t.prop] <= t.threshold else t.right
-            p = {"zero": 0, "west": w, "north": n, "gradient": max(0, min(65535, n + w - nw)), "select": w if abs(n - nw) < abs(w - nw) else n, "average_wnw": (w + nw) // 2, "average_nnw": (n + nw) // 2}[t[0]]
+            p = {"zero": 0, "west": w, "north": n, "gradient": max(0, min(65535, n + w - nw)), "select": w if abs(n - nw) < abs(w - nw) else n,
+                "average_wnw": (w + nw) // 2, "average_nnw": (n + nw) // 2}[t[0]]
             assert (ctx[y, x], r[y, x]) == (t[1], values[y, x] - (p if x or y else 0))
     assert (P._plane_walk(r, P.EXTENDED_TREE, True)[0] == values).all()

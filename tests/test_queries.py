@@ -44,7 +44,8 @@ def test_clusters_join_what_is_alike(spark):
 
 
 def test_greedy_merge_covers_the_same_area(spark):
-    with_area = lambda name: {tuple(r)[:3]: r[3] for r in plans.QUERIES[name](spark, SF).selectExpr("image_id", "dy", "dx", "w * h AS a").groupBy("image_id", "dy", "dx").sum("a").collect()}
+    with_area = lambda name: {tuple(r)[:3]: r[3] for r in plans.QUERIES[name](spark, SF).selectExpr("image_id", "dy", "dx",
+        "w * h AS a").groupBy("image_id", "dy", "dx").sum("a").collect()}
     assert with_area("patch_merge_rows") == with_area("patch_merge_greedy")
 
 
@@ -53,5 +54,6 @@ def test_pixel_noise_is_normal(spark):
 
     from tessera.operators import motion as M
 
-    z = spark.range(40_000).select(M.pixel_gaussian(7, "id").alias("z")).agg(F.avg("z"), F.stddev("z"), F.avg(F.col("z") * F.col("z") * F.col("z"))).first()
+    z = spark.range(40_000).select(M.pixel_gaussian(7, "id").alias("z")).agg(F.avg("z"), F.stddev("z"),
+        F.avg(F.col("z") * F.col("z") * F.col("z"))).first()
     assert abs(z[0]) < 0.02 and abs(z[1] - 1) < 0.02 and abs(z[2]) < 0.05

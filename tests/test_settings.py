@@ -13,8 +13,10 @@ def test_valid_settings():
 @pytest.mark.parametrize(
     "make",
     [
-        lambda: Region.parse("1,2,3"), lambda: Region(0, 0, 0, 4).check(9, 9), lambda: Region(8, 0, 4, 4).check(9, 9), lambda: Region(-1, 0, 4, 4).check(9, 9),
-        lambda: Noise(2.0), lambda: Noise(0.5, seed=0), lambda: Layers(1, 1.0), lambda: Patches(block=2), lambda: Patches(threshold=2.0), lambda: Spline(((0, 0),), (), ()),
+        lambda: Region.parse("1,2,3"), lambda: Region(0, 0, 0, 4).check(9, 9), lambda: Region(8, 0, 4, 4).check(9, 9),
+            lambda: Region(-1, 0, 4, 4).check(9, 9),
+        lambda: Noise(2.0), lambda: Noise(0.5, seed=0), lambda: Layers(1, 1.0), lambda: Patches(block=2), lambda: Patches(threshold=2.0),
+            lambda: Spline(((0, 0),), (), ()),
     ],
 )
 def test_invalid_settings(make):

@@ -16,7 +16,8 @@ def folder(tmp_path_factory):
     path = tmp_path_factory.mktemp("whole")
     rng = np.random.default_rng(3)
     vectors = rng.uniform(-0.5, 0.5, (48 * PICTURES, 64)).astype(np.float32)
-    pq.write_table(pa.table({"vec_id": np.arange(len(vectors)), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))}), path / "embeddings.parquet")
+    pq.write_table(pa.table({"vec_id": np.arange(len(vectors)), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))}),
+        path / "embeddings.parquet")
     pq.write_table(pa.table({"doc_id": pa.array([1, 30, 31], pa.int64()), "text": ["short", TEXT, "e" * 25]}), path / "documents.parquet")
     return str(path)
 
