@@ -174,14 +174,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = large.distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = dealt(down.groupBy("a").agg(F.min("b").alias("m")))
-        shrunk = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        shrunk = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"),
+            F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         old, edges = edges, materialize(shrunk.distinct(), name)
         release(old)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return edges.select(F.col("a").alias("node"),
+        F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 _SIGNED = "row long, k long, hash binary, n int, bands array<long>"
@@ -195,7 +197,8 @@ def _sign(rows: DataFrame) -> DataFrame:
                 keys = band_keys(min_hashes(sets, at))
                 whole = [xxhash.xxh3_128_digest(sets[at[i] : at[i + 1]].tobytes()) for i in range(len(part))]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), pa.array(whole, pa.binary()), pa.array(np.diff(at), pa.int32()), bands], names=["row", "k", "hash", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), pa.array(whole, pa.binary()),
+                    pa.array(np.diff(at), pa.int32()), bands], names=["row", "k", "hash", "n", "bands"])
 
     return rows.mapInArrow(run, _SIGNED)
 
@@ -214,7 +217,8 @@ def _deal(members: DataFrame) -> DataFrame:
                 sets, at = shingle_sets(*text_bytes(part.column("t")))
                 sig = min_hashes(sets, at)
                 out, held = [], 0
-                for i, (row, size, mask, groups) in enumerate(zip(*(part.column(c).to_pylist() for c in ("row", "size", "mask", "groups")), strict=True)):
+                for i, (row, size, mask, groups) in enumerate(zip(*(part.column(c).to_pylist() for c in ("row", "size", "mask", "groups")),
+                    strict=True)):
                     body = sig[i].tobytes(), sets[at[i] : at[i + 1]].tobytes()
                     for g in groups:
                         own = (row ^ g["value"]) % g["blocks"]
@@ -222,7 +226,8 @@ def _deal(members: DataFrame) -> DataFrame:
                             out.append((g["band"], g["value"], min(own, o), max(own, o), own, row, size, mask, *body))
                             held += len(body[1])
                             if held > 1 << 24:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                                    names=names)
                                 out, held = [], 0
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -266,7 +271,8 @@ def _compare(blocks: DataFrame) -> DataFrame:
             rows = [(r, None, n) for r, n in links.items()] + [(u, v, 0) for u, v in edges]
             if rows:
                 u, v, n = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["row", "other", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())],
+                    names=["row", "other", "links"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("band", "value", "x", "y", "block", "row", "size", "mask")]
@@ -295,7 +301,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     signed, per_class = _linked(docs, text, key)
     out = signed.where("n > 0").select("k", "hash").join(per_class, "hash", "left")
     out = out.select(F.col("k").alias("doc_id"), "class_id", "group_id", F.col("n_links").cast("long").alias("n_links"))
-    bare = signed.where("n = 0").select(F.col("k").alias("doc_id"), F.col("k").alias("class_id"), F.col("k").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
+    bare = signed.where("n = 0").select(F.col("k").alias("doc_id"), F.col("k").alias("class_id"), F.col("k").alias("group_id"),
+        F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(bare)
 
 
@@ -311,11 +318,13 @@ def _linked(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]
     classes = materialize(classes.select("hash", "size", "one.*"), "jaccard-classes")
     # groups: their members' number and two sums of hashes tell which have the same ones
     bands = classes.select("row", "n", F.posexplode("bands").alias("band", "value"))
-    groups = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("n"), F.bit_xor(F.xxhash64("row")).alias("p"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("q"))
+    groups = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("n"),
+        F.bit_xor(F.xxhash64("row")).alias("p"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("q"))
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("n") * 8 / BLOCK_BYTES)).cast("int")
     groups = groups.where("c > 1").groupBy("c", "n", "p", "q").agg(F.min(F.struct("band", "value")).alias("g")).select("g.*", blocks.alias("blocks"))
     groups = materialize(groups, "jaccard-groups")
-    members = bands.join(small(groups), ["band", "value"]).groupBy("row").agg(F.collect_list(F.struct("band", "value", "blocks")).alias("groups"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
+    members = bands.join(small(groups), ["band", "value"]).groupBy("row").agg(F.collect_list(F.struct("band", "value", "blocks")).alias("groups"),
+        F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
     members = materialize(members.join(classes.select("row", "size"), "row"), "jaccard-members")
     texts = rows.join(small(members.select("row")), "row", "left_semi").dropDuplicates(["row"])
     dealt = _deal(texts.join(members, "row").select("row", "size", "mask", "groups", "t"))
@@ -343,7 +352,8 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     rows = signed.where("n > 0").join(per_class.select("hash", "stays"), "hash")
     lost = materialize(rows.where("row <> stays").select(F.col("row").alias(row)).distinct(), "jaccard-lost")
     left = docs.withColumn(row, row_id(text, key)).join(small(lost), row, "left_anti")
-    twice = materialize(signed.where("n > 0").groupBy("row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("row").alias(row)), "jaccard-twice")
+    twice = materialize(signed.where("n > 0").groupBy("row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("row").alias(row)),
+        "jaccard-twice")
     if twice.limit(1).count():
         left = left.join(small(twice), row, "left_anti").unionByName(left.join(small(twice), row, "left_semi").dropDuplicates([row]))
     return left.select(*map(column, docs.columns))

@@ -28,24 +28,38 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 #: label: (names, address patterns, SPDX identifier patterns). A blank in a name stands for any run of separators.
 LICENSES: dict[str, tuple[list[str], list[str], list[str]]] = {
-    "gpl-1.0": (["gnu (?:general public license|gpl) (?:version |v )?1(?: 0)?"], [r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"], [r"gpl-1\.0(?:-only|-or-later|\+)?"]),
-    "gpl-2.0": (["gnu (?:general public license|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?2(?: 0)?", "version 2 of the gnu general public license", "gplv2"], [r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"], [r"gpl-2\.0(?:-only|-or-later|\+)?"]),
-    "gpl-3.0": (["gnu (?:general public license|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?3(?: 0)?", "version 3 of the gnu general public license", "gplv3"], [r"gnu\.org/licenses/gpl(?:-3\.0)?(?:\.html|\.txt)"], [r"gpl-3\.0(?:-only|-or-later|\+)?"]),
+    "gpl-1.0": (["gnu (?:general public license|gpl) (?:version |v )?1(?: 0)?"], [r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"],
+        [r"gpl-1\.0(?:-only|-or-later|\+)?"]),
+    "gpl-2.0": (["gnu (?:general public license|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?2(?: 0)?",
+        "version 2 of the gnu general public license", "gplv2"], [r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"],
+            [r"gpl-2\.0(?:-only|-or-later|\+)?"]),
+    "gpl-3.0": (["gnu (?:general public license|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?3(?: 0)?",
+        "version 3 of the gnu general public license", "gplv3"], [r"gnu\.org/licenses/gpl(?:-3\.0)?(?:\.html|\.txt)"],
+            [r"gpl-3\.0(?:-only|-or-later|\+)?"]),
     "lgpl": (["gnu (?:lesser|library) general public license", "gnu lgpl"], [r"gnu\.org/licenses/lgpl\.(?:html|txt)"], []),
-    "lgpl-2.0": (["gnu library general public license (?:version |v )?2(?: 0)?"], [r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"], [r"lgpl-2\.0(?:-only|-or-later|\+)?"]),
-    "lgpl-2.1": (["gnu lesser general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )?2 1", "lgplv2 1"], [r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"], [r"lgpl-2\.1(?:-only|-or-later|\+)?"]),
-    "lgpl-3.0": (["gnu lesser general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )?3(?: 0)?", "lgplv3"], [r"gnu\.org/licenses/lgpl-3\.0"], [r"lgpl-3\.0(?:-only|-or-later|\+)?"]),
-    "agpl-3.0": (["gnu affero general public license(?: as published by the free software foundation)?(?: either)?(?: version 3| v3)?", "affero gpl", "agplv3"], [r"gnu\.org/licenses/agpl"], [r"agpl-3\.0(?:-only|-or-later|\+)?"]),
+    "lgpl-2.0": (["gnu library general public license (?:version |v )?2(?: 0)?"], [r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"],
+        [r"lgpl-2\.0(?:-only|-or-later|\+)?"]),
+    "lgpl-2.1": (["gnu lesser general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )?2 1", "lgplv2 1"],
+        [r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"], [r"lgpl-2\.1(?:-only|-or-later|\+)?"]),
+    "lgpl-3.0": (["gnu lesser general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )?3(?: 0)?",
+        "lgplv3"], [r"gnu\.org/licenses/lgpl-3\.0"], [r"lgpl-3\.0(?:-only|-or-later|\+)?"]),
+    "agpl-3.0": (["gnu affero general public license(?: as published by the free software foundation)?(?: either)?(?: version 3| v3)?", "affero gpl",
+        "agplv3"], [r"gnu\.org/licenses/agpl"], [r"agpl-3\.0(?:-only|-or-later|\+)?"]),
     "gfdl": (["gnu free documentation license", "gnu fdl"], [r"gnu\.org/(?:copyleft|licenses)/fdl"], [r"gfdl-1\.[123](?:-only|-or-later)?"]),
     "apache-1.0": (["apache (?:software )?license (?:version |v )?1 0"], [r"apache\.org/licenses/license-1\.0"], [r"apache-1\.0"]),
     "apache-1.1": (["apache (?:software )?license (?:version |v )?1 1"], [r"apache\.org/licenses/license-1\.1"], [r"apache-1\.1"]),
     "apache-2.0": (["apache (?:software )?license (?:version |v )?2(?: 0)?"], [r"apache\.org/licenses/license-2\.0"], [r"apache-2\.0"]),
     "mit-0": (["mit no attribution license"], [r"opensource\.org/licenses?/mit-0"], [r"mit-0"]),
-    "mit": (["permission is hereby granted free of charge to any person obtaining a copy", "the above copyright notice and this permission notice shall be included", "expat license"], [r"opensource\.org/licenses?/mit(?:-license)?(?:\.php)?"], [r"mit"]),
-    "bsd-2-clause": (["(?:2|two) clause bsd(?: license)?", "simplified bsd license", "freebsd license"], [r"opensource\.org/licenses?/bsd-2-clause"], [r"bsd-2-clause"]),
-    "bsd-3-clause": (["(?:3|three) clause bsd(?: license)?", "new bsd license", "modified bsd license", "revised bsd license"], [r"opensource\.org/licenses?/bsd-3-clause"], [r"bsd-3-clause(?:-clear)?"]),
+    "mit": (["permission is hereby granted free of charge to any person obtaining a copy",
+        "the above copyright notice and this permission notice shall be included", "expat license"],
+            [r"opensource\.org/licenses?/mit(?:-license)?(?:\.php)?"], [r"mit"]),
+    "bsd-2-clause": (["(?:2|two) clause bsd(?: license)?", "simplified bsd license", "freebsd license"], [r"opensource\.org/licenses?/bsd-2-clause"],
+        [r"bsd-2-clause"]),
+    "bsd-3-clause": (["(?:3|three) clause bsd(?: license)?", "new bsd license", "modified bsd license", "revised bsd license"],
+        [r"opensource\.org/licenses?/bsd-3-clause"], [r"bsd-3-clause(?:-clear)?"]),
     "bsd-4-clause": (["(?:4|four) clause bsd(?: license)?", "original bsd license"], [], [r"bsd-4-clause"]),
-    "bsd": (["bsd style license", "bsd license", "redistributions of source code must retain the above copyright notice"], [r"opensource\.org/licenses?/bsd-license"], []),
+    "bsd": (["bsd style license", "bsd license", "redistributions of source code must retain the above copyright notice"],
+        [r"opensource\.org/licenses?/bsd-license"], []),
     "0bsd": (["zero clause bsd(?: license)?", "free public license 1 0 0"], [r"opensource\.org/licenses?/0bsd"], [r"0bsd"]),
     "isc": (["isc license", "internet systems consortium license"], [r"opensource\.org/licenses?/isc"], [r"isc"]),
     "mpl-1.0": (["mozilla public license (?:version |v )?1 0"], [r"mozilla\.org/mpl/1\.0"], [r"mpl-1\.0"]),
@@ -71,17 +85,26 @@ LICENSES: dict[str, tuple[list[str], list[str], list[str]]] = {
     "libpng": (["libpng license", "png reference library license"], [r"libpng\.org/pub/png/src/libpng-license"], [r"libpng(?:-2\.0)?"]),
     "unlicense": (["the unlicense", "released into the public domain under the unlicense"], [r"unlicense\.org"], [r"unlicense"]),
     "wtfpl": (["do what the fuck you want to public license"], [r"wtfpl\.net"], [r"wtfpl"]),
-    "public-domain": (["(?:released |placed |dedicated )(?:in|into|to) the public domain", "public domain dedication"], [r"creativecommons\.org/publicdomain/mark"], []),
-    "cc0-1.0": (["cc0 1 0(?: universal)?", "creative commons (?:cc0|zero)(?: license)?"], [r"creativecommons\.org/publicdomain/zero/1\.0"], [r"cc0-1\.0"]),
-    "cc-by": (["creative commons attribution(?: license| international| unported| [1-4] [05])"], [r"creativecommons\.org/licenses/by/[1-4]\.[05]"], [r"cc-by-[1-4]\.[05]"]),
-    "cc-by-sa": (["creative commons attribution share ?alike", "cc by sa"], [r"creativecommons\.org/licenses/by-sa/[1-4]\.[05]"], [r"cc-by-sa-[1-4]\.[05]"]),
-    "cc-by-nc": (["creative commons attribution non ?commercial", "cc by nc"], [r"creativecommons\.org/licenses/by-nc/[1-4]\.[05]"], [r"cc-by-nc-[1-4]\.[05]"]),
-    "cc-by-nd": (["creative commons attribution no ?deriv(?:s|atives)", "cc by nd"], [r"creativecommons\.org/licenses/by-nd/[1-4]\.[05]"], [r"cc-by-nd-[1-4]\.[05]"]),
-    "cc-by-nc-sa": (["creative commons attribution non ?commercial share ?alike", "cc by nc sa"], [r"creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]"], [r"cc-by-nc-sa-[1-4]\.[05]"]),
-    "cc-by-nc-nd": (["creative commons attribution non ?commercial no ?deriv(?:s|atives)", "cc by nc nd"], [r"creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]"], [r"cc-by-nc-nd-[1-4]\.[05]"]),
+    "public-domain": (["(?:released |placed |dedicated )(?:in|into|to) the public domain", "public domain dedication"],
+        [r"creativecommons\.org/publicdomain/mark"], []),
+    "cc0-1.0": (["cc0 1 0(?: universal)?", "creative commons (?:cc0|zero)(?: license)?"], [r"creativecommons\.org/publicdomain/zero/1\.0"],
+        [r"cc0-1\.0"]),
+    "cc-by": (["creative commons attribution(?: license| international| unported| [1-4] [05])"], [r"creativecommons\.org/licenses/by/[1-4]\.[05]"],
+        [r"cc-by-[1-4]\.[05]"]),
+    "cc-by-sa": (["creative commons attribution share ?alike", "cc by sa"], [r"creativecommons\.org/licenses/by-sa/[1-4]\.[05]"],
+        [r"cc-by-sa-[1-4]\.[05]"]),
+    "cc-by-nc": (["creative commons attribution non ?commercial", "cc by nc"], [r"creativecommons\.org/licenses/by-nc/[1-4]\.[05]"],
+        [r"cc-by-nc-[1-4]\.[05]"]),
+    "cc-by-nd": (["creative commons attribution no ?deriv(?:s|atives)", "cc by nd"], [r"creativecommons\.org/licenses/by-nd/[1-4]\.[05]"],
+        [r"cc-by-nd-[1-4]\.[05]"]),
+    "cc-by-nc-sa": (["creative commons attribution non ?commercial share ?alike", "cc by nc sa"],
+        [r"creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]"], [r"cc-by-nc-sa-[1-4]\.[05]"]),
+    "cc-by-nc-nd": (["creative commons attribution non ?commercial no ?deriv(?:s|atives)", "cc by nc nd"],
+        [r"creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]"], [r"cc-by-nc-nd-[1-4]\.[05]"]),
     "odbl-1.0": (["open (?:data commons )?database license", "odbl"], [r"opendatacommons\.org/licenses/odbl"], [r"odbl-1\.0"]),
     "odc-by-1.0": (["open data commons attribution license", "odc by"], [r"opendatacommons\.org/licenses/by"], [r"odc-by-1\.0"]),
-    "pddl-1.0": (["public domain dedication and license", "open data commons public domain"], [r"opendatacommons\.org/licenses/pddl"], [r"pddl-1\.0"]),
+    "pddl-1.0": (["public domain dedication and license", "open data commons public domain"], [r"opendatacommons\.org/licenses/pddl"],
+        [r"pddl-1\.0"]),
     "eupl-1.1": (["european union public licen[cs]e(?: v| version)? 1 1"], [r"eupl\.eu/1\.1"], [r"eupl-1\.1"]),
     "eupl-1.2": (["european union public licen[cs]e(?: v| version)? 1 2"], [r"eupl\.eu/1\.2"], [r"eupl-1\.2"]),
     "eupl": (["european union public licen[cs]e"], [r"joinup\.ec\.europa\.eu/.{0,60}eupl"], []),
@@ -103,14 +126,17 @@ LICENSES: dict[str, tuple[list[str], list[str], list[str]]] = {
     "upl-1.0": (["universal permissive license"], [r"oss\.oracle\.com/licenses/upl"], [r"upl-1\.0"]),
     "vim": (["vim license"], [r"vimhelp\.org/uganda"], [r"vim"]),
     "tcl": (["tcl tk license"], [r"tcl\.tk/software/tcltk/license"], [r"tcl"]),
-    "w3c": (["w3c software (?:notice|and document) (?:and )?license", "w3c license"], [r"w3\.org/consortium/legal/.{0,30}copyright-software"], [r"w3c(?:-20150513)?"]),
+    "w3c": (["w3c software (?:notice|and document) (?:and )?license", "w3c license"], [r"w3\.org/consortium/legal/.{0,30}copyright-software"],
+        [r"w3c(?:-20150513)?"]),
     "x11": (["x11 license", "mit x consortium license"], [], [r"x11"]),
     "zpl-2.1": (["zope public license"], [r"zope\.org/resources/zpl"], [r"zpl-[12]\.[01]"]),
     "qpl-1.0": (["q public license"], [r"trolltech\.com/.{0,20}qpl"], [r"qpl-1\.0"]),
     "rail": (["responsible ai license", "openrail(?: m)? license", "creativeml open rail"], [r"licenses\.ai"], []),
-    "gpl": (["this program is free software you can redistribute it and or modify", "you should have received a copy of the gnu general public license"], [], []),
+    "gpl": (["this program is free software you can redistribute it and or modify",
+        "you should have received a copy of the gnu general public license"], [], []),
     "apache": (["unless required by applicable law or agreed to in writing software distributed under the license"], [], []),
-    "bsd-text": (["redistribution and use in source and binary forms", "neither the name of the copyright holder nor the names of its contributors"], [], []),
+    "bsd-text": (["redistribution and use in source and binary forms", "neither the name of the copyright holder nor the names of its contributors"],
+        [], []),
     "isc-text": (["permission to use copy modify and or distribute this software for any purpose"], [], []),
     "zlib-text": (["altered source versions must be plainly marked as such"], [], []),
     "mpl-text": (["this source code form is subject to the terms of the mozilla public license"], [], []),
@@ -323,7 +349,10 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                     own[d] = detect(raw[offsets[d] : offsets[d + 1]].decode())
                 labels = [sorted(b | {h[3] for h in o}) for b, o in zip(base, own, strict=True)]
                 score = [max([0.6 * bool(b), *(h[2] / 100 for h in o)]) for b, o in zip(base, own, strict=True)]
-                columns = [part.column("k").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array([len(p) for p in places], pa.int64()), pa.array([min(p, default=None) for p in places], pa.int64()), pa.array([max(p, default=None) for p in places], pa.int64()), pa.array([",".join(sorted(b)) for b in base], pa.string()), pa.array([",".join(x) for x in labels], pa.string()), pa.array(score, pa.float64())]
+                columns = [part.column("k").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array([len(p) for p in places], pa.int64()),
+                    pa.array([min(p, default=None) for p in places], pa.int64()), pa.array([max(p, default=None) for p in places], pa.int64()),
+                        pa.array([",".join(sorted(b)) for b in base], pa.string()), pa.array([",".join(x) for x in labels], pa.string()),
+                            pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     bounded(docs.sparkSession)

@@ -102,7 +102,8 @@ def count(docs: DataFrame, depth: int) -> DataFrame:
             keys, n = sums[kind].take()
             for i in range(0, len(keys), 100_000):
                 k = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), _signed(k), pa.array(n[i : i + 100_000])], names=["kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), _signed(k), pa.array(n[i : i + 100_000])],
+                    names=["kind", "key", "n"])
 
         for batch in batches:
             for part in slices(batch.filter(pa.array(~np.asarray(batch.column("held")))), "t"):
@@ -272,7 +273,8 @@ def _up(context: str, depth: int) -> Column:
 def _bits(grams: DataFrame, *others: str) -> DataFrame:
     """ctx, at (the decision, 0 to 254), bit: eight rows for each gram (key)."""
     d = grams.select("key", *others, F.expr("CAST(key & 255 AS INT) AS sym"), F.expr("explode(sequence(0, 7)) AS l"))
-    return d.select("key", *others, F.expr("shiftrightunsigned(key, 8) AS ctx"), F.expr("shiftleft(1, l) - 1 + shiftright(sym, 8 - l) AS at"), F.expr("shiftright(sym, 7 - l) & 1 AS bit"))
+    return d.select("key", *others, F.expr("shiftrightunsigned(key, 8) AS ctx"), F.expr("shiftleft(1, l) - 1 + shiftright(sym, 8 - l) AS at"),
+        F.expr("shiftright(sym, 7 - l) & 1 AS bit"))
 
 
 def nodes(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
@@ -284,7 +286,8 @@ def nodes(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
             seen = _bits(counts.where("kind = 1"), "n").groupBy("ctx", "at")
             level = seen.agg(F.sum(F.expr("n * (1 - bit)")).alias("z"), F.sum(F.expr("n * bit")).alias("o"), F.lit(0.0).alias("below"))
         else:
-            level = levels[d + 1].groupBy(_up("ctx", d).alias("ctx"), "at").agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.sum("weighted").alias("below"))
+            level = levels[d + 1].groupBy(_up("ctx", d).alias("ctx"), "at").agg(F.sum("z").alias("z"), F.sum("o").alias("o"),
+                F.sum("weighted").alias("below"))
         z, o = F.col("z").cast("double"), F.col("o").cast("double")
         level = level.withColumn("own", _log_gamma(z + 0.5) + _log_gamma(o + 0.5) - _log_gamma(z + o + 1) - math.log(math.pi))
         mean = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - half
@@ -341,7 +344,8 @@ def _find(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs(scored: DataFrame, keys: str, times: str) -> DataFrame:
     """row, key, times of the keys that were not looked up."""
-    return scored.select("row", F.explode(F.arrays_zip(keys, times)).alias("x")).select("row", F.col(f"x.{keys}").alias("key"), F.col(f"x.{times}").alias("times"))
+    return scored.select("row", F.explode(F.arrays_zip(keys, times)).alias("x")).select("row", F.col(f"x.{keys}").alias("key"),
+        F.col(f"x.{times}").alias("times"))
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, common: int = COMMON, often_grams: int = GRAMS) -> DataFrame:
@@ -386,19 +390,30 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int =
                 place, hit = _find(h, known)
                 base = np.bincount(doc[hit], weights=value[place[hit]], minlength=n) - (n_words + 1) * per_token
                 lists = _lists(doc[~hit], h[~hit], n) + _lists(at[missed], g[missed], n)
-                columns = [part.column("k"), part.column("held"), pa.array(n_words + 1, pa.int64()), pa.array(np.bincount(doc[hit], minlength=n), pa.int64()), pa.array(base.astype(np.float64)), pa.array(p.astype(np.float64)), pa.array(np.diff(offsets), pa.int64()), *lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "held", "n_tokens", "n_known", "base", "p", "n_bytes", "seldom", "times", "grams", "gram_times"])
-
-    scored = rows.mapInArrow(run, "k long, held boolean, n_tokens long, n_known long, base double, p double, n_bytes long, seldom array<long>, times array<int>, grams array<long>, gram_times array<int>")
+                columns = [part.column("k"), part.column("held"), pa.array(n_words + 1, pa.int64()),
+                    pa.array(np.bincount(doc[hit], minlength=n), pa.int64()), pa.array(base.astype(np.float64)), pa.array(p.astype(np.float64)),
+                        pa.array(np.diff(offsets), pa.int64()), *lists]
+                yield pa.RecordBatch.from_arrays(columns,
+                    names=["k", "held", "n_tokens", "n_known", "base", "p", "n_bytes", "seldom", "times", "grams", "gram_times"])
+
+    scored = rows.mapInArrow(run, (
+        "k long, held boolean, n_tokens long, n_known long, base double, p double, n_bytes long, seldom array<long>, times array<int>, "
+        "grams array<long>, gram_times array<int>"
+    ))
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rest = words.where(F.col("n") < least).select("key", F.log10(F.col("n") + 1).alias("value"))
-    rest = _pairs(scored, "seldom", "times").join(rest, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.col("value")).alias("more_base"))
+    rest = _pairs(scored, "seldom", "times").join(rest, "key").groupBy("row").agg(F.sum("times").alias("more"),
+        F.sum(F.col("times") * F.col("value")).alias("more_base"))
     missed = _pairs(scored, "grams", "gram_times")
-    missed = missed.join(values(missed.select("key").distinct(), tree), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more_p"))
-    out = scored.drop("seldom", "times", "grams", "gram_times").join(rest, "row", "left").join(missed, "row", "left").withColumn("p", F.col("p") + F.coalesce("more_p", F.lit(0.0)))
+    missed = missed.join(values(missed.select("key").distinct(), tree),
+        "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more_p"))
+    out = scored.drop("seldom", "times", "grams", "gram_times").join(rest, "row", "left").join(missed, "row", "left").withColumn("p",
+        F.col("p") + F.coalesce("more_p", F.lit(0.0)))
     return out.select(
-        F.col("k").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), F.col("p").alias("score"), F.when(F.col("n_bytes") > 0, -F.col("p") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.col("k").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens",
+            (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), F.col("p").alias("score"),
+            F.when(F.col("n_bytes") > 0, -F.col("p") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

@@ -185,7 +185,8 @@ class Deal:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str | None = None, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str | None = None, capacity: int = CAPACITY, text: str = "text",
+    key: str = "doc_id") -> DataFrame:
     """Each document's ids and END in pieces of `capacity`, of which only the first may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,8 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str | No
                         at, size = at + size, capacity
                 columns = zip(*rows, strict=True) if rows else [[]] * 5
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     bounded(docs.sparkSession)
     return docs.select(column(key).cast("long").alias("k"), column(text).alias("t")).mapInArrow(run, _PIECES)
@@ -226,14 +228,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **names) -> DataFrame:
     rows = pieces.join(F.broadcast(parts), "length")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "salt"), F.col("parts"))).drop("parts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sizes = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).select("length", "part",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = rows.withColumn("inside", inside).join(F.broadcast(sizes), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside")).alias("rank"))
+    ranked = rows.withColumn("inside", inside).join(F.broadcast(sizes), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32",
+        (F.col("before") + F.col("inside")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = deal(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)],
+                names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, _PIECES + ", sequence_id long, offset long")
 

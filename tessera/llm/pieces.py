@@ -145,12 +145,14 @@ def encode(docs: DataFrame, model: str = MODEL, folder: str | None = None, text:
                 for t in part.column("t").to_pylist():
                     x = p.encode(t)
                     back = p.decode(x)
-                    out.append((len(x), zlib.crc32(x.tobytes()), float(p.costs[x].sum()), hashlib.sha256(back.encode()).hexdigest(), back == (t or ""), x))
+                    out.append((len(x), zlib.crc32(x.tobytes()), float(p.costs[x].sum()), hashlib.sha256(back.encode()).hexdigest(),
+                        back == (t or ""), x))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 6
                 arrays = [pa.array(c, t) for c, t in zip(columns[:5], (pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_()), strict=True)]
                 if ids:
                     arrays.append(pa.array([x.astype(np.int32) for x in columns[5]], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([part.column("k"), *arrays], names=["doc_id", "n_pieces", "ids_crc32", "score", "decoded_sha256", "round_trip", *["ids"] * ids])
+                yield pa.RecordBatch.from_arrays([part.column("k"), *arrays],
+                    names=["doc_id", "n_pieces", "ids_crc32", "score", "decoded_sha256", "round_trip", *["ids"] * ids])
 
     bounded(docs.sparkSession)
     return docs.selectExpr(f"cast(`{key}` AS long) AS k", f"`{text}` AS t").mapInArrow(run, _SCHEMA + ", ids array<int>" * ids)

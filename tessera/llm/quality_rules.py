@@ -144,7 +144,8 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         for batch in batches:
             for part in slices(batch, "t"):
                 m = measure(*text_bytes(part.column("t")))
-                columns = [part.column("k").cast(pa.int64()), *(pa.array(m[c], pa.int64()) for c in _COUNTS), pa.array(m["base_failed"]), pa.array(m["kept"]), pa.array(m["n_lost_words"], pa.int64())]
+                columns = [part.column("k").cast(pa.int64()), *(pa.array(m[c], pa.int64()) for c in _COUNTS), pa.array(m["base_failed"]),
+                    pa.array(m["kept"]), pa.array(m["n_lost_words"], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_COUNTS, "base_failed", "kept", "n_lost_words"])
 
     bounded(docs.sparkSession)

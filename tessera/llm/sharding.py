@@ -38,7 +38,8 @@ def _pick(key: Column, place: tuple[int, ...], weights: list[float]) -> Column:
 
 
 def _cases(at: Column, results: list[Column]) -> Column:
-    return reduce(lambda acc, x: acc.when(at == x[0], x[1]), list(enumerate(results))[1:], F.when(at == 0, results[0])) if len(results) > 1 else results[0]
+    return reduce(lambda acc, x: acc.when(at == x[0], x[1]), list(enumerate(results))[1:],
+        F.when(at == 0, results[0])) if len(results) > 1 else results[0]
 
 
 def place(df: DataFrame, key: Column, tree: tuple, name: str) -> DataFrame:
@@ -54,7 +55,8 @@ def place(df: DataFrame, key: Column, tree: tuple, name: str) -> DataFrame:
     region, rack = fresh(df, f"{name}_region"), fresh(df, f"{name}_rack")
     df = df.withColumn(region, _pick(key, (), [total(x) for x in tree]))
     df = df.withColumn(rack, _cases(F.col(region), [_pick(key, (r,), [total(x) for x in racks]) for r, racks in enumerate(tree)]))
-    leaf = _cases(F.col(region), [_cases(F.col(rack), [_pick(key, (r, k), list(shards)) + F.lit(numbers[r, k, 0]) for k, shards in enumerate(racks)]) for r, racks in enumerate(tree)])
+    leaf = _cases(F.col(region), [_cases(F.col(rack),
+        [_pick(key, (r, k), list(shards)) + F.lit(numbers[r, k, 0]) for k, shards in enumerate(racks)]) for r, racks in enumerate(tree)])
     return df.withColumn(name, leaf.cast("int")).drop(region, rack)
 
 
@@ -69,16 +71,19 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", tree: tuple
     table is read; that slots are gapless does not. Other columns are not read. An empty table gives no rows.
     """
     body = F.coalesce(column(text), F.lit(""))
-    rows = docs.select(column(key).cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + F.lit(8)).alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"))
+    rows = docs.select(column(key).cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + F.lit(8)).alias("size"),
+        F.crc32(F.encode(body, "utf-8")).alias("text_crc32"))
     rows = place(place(rows, F.col("doc_id"), tree, "shard"), F.col("doc_id"), grow(tree), "grown_shard")
     spread = F.xxhash64(F.lit("slot"), "doc_id", "text_crc32", "size", F.spark_partition_id())
     # written, so that the parts' sizes and the numbers in them come from the same rows, and texts are read once
     rows = materialize(rows.withColumn("part", F.pmod(spread, F.lit(PARTS)).cast("int")), "shard-rows")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sizes = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select("shard", "part",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1
     rows = rows.withColumn("inside", inside).join(F.broadcast(sizes), ["shard", "part"])
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"), "grown_shard")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        (F.col("before") + F.col("inside")).cast("long").alias("slot"), "grown_shard")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

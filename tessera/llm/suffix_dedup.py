@@ -246,7 +246,8 @@ def _find(rows: DataFrame) -> DataFrame:
                     raw = d.tobytes()
                     ends = start + strings + WINDOW - 1
                     s = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], np.uint64)
-                    columns = [pa.array(h), pa.array(s.view(np.int64)), pa.array(row[text]), pa.array(start - o[:-1][text] + base), pa.array(strings, pa.int32()), pa.array(shift, pa.int32())]
+                    columns = [pa.array(h), pa.array(s.view(np.int64)), pa.array(row[text]), pa.array(start - o[:-1][text] + base),
+                        pa.array(strings, pa.int32()), pa.array(shift, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, names=["h", "s", "row", "start", "strings", "shift"])
 
     return rows.mapInArrow(run, "h long, s long, row long, start long, strings int, shift int")
@@ -309,7 +310,8 @@ def _windows(cut: DataFrame) -> DataFrame:
         for batch in batches:
             for row, start, b in zip(*(batch.column(c).to_pylist() for c in ("row", "start", "b")), strict=True):
                 at = range(len(b) - WINDOW + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b[i : i + WINDOW]) for i in at], pa.binary()), pa.array([row] * len(at), pa.int64()), pa.array([start + i for i in at], pa.int64())], names=["h2", "row", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b[i : i + WINDOW]) for i in at], pa.binary()),
+                    pa.array([row] * len(at), pa.int64()), pa.array([start + i for i in at], pa.int64())], names=["h2", "row", "start"])
 
     return cut.mapInArrow(run, "h2 binary, row long, start long")
 
@@ -332,10 +334,12 @@ def _recut(cut: DataFrame, width: int) -> DataFrame:
                     g = xxhash.xxh3_128_digest(shared, seed=(h ^ j) & (2**64 - 1))
                     out.append((g, xxhash.xxh3_128_digest(part), row, start + shift - far, far - near + 1, part))
                 if len(out) > 1 << 14:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "s", "row", "start", "strings", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                        names=["g", "s", "row", "start", "strings", "b"])
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "s", "row", "start", "strings", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                    names=["g", "s", "row", "start", "strings", "b"])
 
     return cut.mapInArrow(run, "g binary, s binary, row long, start long, strings long, b binary")
 
@@ -367,7 +371,8 @@ def repeated_strings(rows: DataFrame, hot: int = HOT) -> DataFrame:
     slices_ = materialize(found.join(several, "h", "left_semi"), "suffix-slices")
     classes = slices_.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "shift", "strings")).alias("one"))
     classes = materialize(classes.select("h", "s", "n", "one.*"), "suffix-classes")
-    equal = slices_.join(classes.where("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("row", "start", F.col("strings").cast("long").alias("strings"))
+    equal = slices_.join(classes.where("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("row", "start",
+        F.col("strings").cast("long").alias("strings"))
     mixed = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "suffix-mixed")
     wants = classes.join(mixed, "h").select("row", F.struct("h", "start", "shift", "strings", (F.col("classes") > hot).alias("hot")).alias("w"))
     wants = materialize(wants.groupBy("row").agg(F.collect_list("w").alias("wants")), "suffix-wants")

@@ -125,7 +125,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, folder: str
         keys, counts, frames, size = [], [], [], 0
 
         def file() -> pa.RecordBatch:
-            row = {"part": part, "number": number, "before": before, "documents": len(keys), "ids": sum(counts), "file": pack_file(dictionary, keys, counts, frames)}
+            row = {"part": part, "number": number, "before": before, "documents": len(keys), "ids": sum(counts),
+                "file": pack_file(dictionary, keys, counts, frames)}
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
@@ -166,7 +167,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 keys = pa.array(f.keys, pa.int64(), mask=f.null)
                 crc = pa.array([zlib.crc32(f.ids(i)) for i in range(len(f))], pa.int64())
                 first = f.first.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(first[:-1] + base), pa.array(np.diff(first)), crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(first[:-1] + base), pa.array(np.diff(first)), crc],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = files.select("part", "before", "file").join(F.broadcast(parts), "part").select((F.col("first") + F.col("before")).alias("base"), "file")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -5,8 +5,10 @@ import random
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Every input that operators must take: null and empty texts, one word, ties, repeated rows, null keys, odd characters.
 ODD = [
-    (1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "word"), (5, "word"), (6, "é" * 300), (7, "a" * 1000), (8, "a" * 1000), (None, "no key"), (None, None),
-    (9, "x\ny\n"), (10, "\n"), (11, "漢字かな 😀 ﬁ Straße İ"), (12, "Ünïcode, words. And more!"), (13, "nul\0byte"), (14, "<|endoftext|> text"), (15, "tab\tand\r\nlines"),
+    (1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "word"), (5, "word"), (6, "é" * 300), (7, "a" * 1000), (8, "a" * 1000), (None, "no key"),
+        (None, None),
+    (9, "x\ny\n"), (10, "\n"), (11, "漢字かな 😀 ﬁ Straße İ"), (12, "Ünïcode, words. And more!"), (13, "nul\0byte"), (14, "<|endoftext|> text"),
+        (15, "tab\tand\r\nlines"),
 ]
 
 

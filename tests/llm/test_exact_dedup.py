@@ -36,7 +36,8 @@ def test_keeps_columns_and_takes_an_empty_table(spark):
 def test_hot_rows_with_clashing_columns(spark):
     """A third of the rows equal in key and text, and another third in text alone; columns named like the operator's own."""
     rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "hot" if i % 3 < 2 else f"cold {i}") for i in range(600)]
-    d = table(spark, rows).repartition(9).selectExpr("CAST(doc_id AS INT) AS doc_id", "text", "1 AS __xd", "2 AS __xd_digest", "3 AS __XD_N", "4 AS `a.b`", "map('x', 1) AS m")
+    d = table(spark, rows).repartition(9).selectExpr("CAST(doc_id AS INT) AS doc_id", "text", "1 AS __xd", "2 AS __xd_digest", "3 AS __XD_N",
+        "4 AS `a.b`", "map('x', 1) AS m")
     out = D.mark_copies(d, counters=4)
     got = out.select("doc_id", "text", "__xd", "__xd_digest", f"{out.columns[-1]}.*").collect()
     assert out.columns[:-1] == d.columns and len(got) == 600

@@ -54,7 +54,8 @@ def test_against_brute_force(spark, block, monkeypatch):
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     p = prose(3, 31, 90)
-    rows += [(500, p[0]), (501, p[0] + " more"), (501, p[1]), (None, p[0] + " less"), (None, p[2]), (502, p[2] + " x"), (503, p[1] + " y"), (503, p[1] + " y")]
+    rows += [(500, p[0]), (501, p[0] + " more"), (501, p[1]), (None, p[0] + " less"), (None, p[2]), (502, p[2] + " x"), (503, p[1] + " y"),
+        (503, p[1] + " y")]
     kept = Counter((r.doc_id, r.text) for r in J.keep_one(table(spark, rows)).collect())
     sets = [shingles(t) for _, t in rows]
     linked = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])

@@ -27,7 +27,8 @@ def brute(text):
 
 def test_base_against_brute_force(spark):
     p = prose(12, 5, 60)
-    extra = ["Apache--License, MIT\nLicense; cc-by CC BY", "gnu general public license gnu general public licenses", "MIT license é license", "the apache", "license cc", "by cc by-sa 4.0"]
+    extra = ["Apache--License, MIT\nLicense; cc-by CC BY", "gnu general public license gnu general public licenses", "MIT license é license",
+        "the apache", "license cc", "by cc by-sa 4.0"]
     rows = ODD + [(100 + i, a + " " + b) for i, (a, b) in enumerate((a, b) for a in p for b in extra)]
     got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in L.scan(table(spark, rows)).collect())
     assert got == Counter((k, *brute(t)) for k, t in rows)

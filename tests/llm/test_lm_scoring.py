@@ -31,7 +31,8 @@ def test_base_against_brute_force(spark, common):
     tokens = [(k, [*WORD.findall(lower(t)), None]) for k, t in rows]
     c = Counter(w for k, ws in tokens if not held(k) for w in ws)
     n, v = sum(c.values()), len(c)
-    want = Counter((k, held(k), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for k, ws in tokens)
+    want = Counter((k, held(k), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for k,
+        ws in tokens)
     got = L.score(table(spark, rows).repartition(3), common=common).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
 
@@ -132,7 +133,8 @@ def test_empty_table(spark):
     got = L.score(table(spark, only_held)).collect()
     assert len(got) == len(only_held) > 0 and all((r.train_tokens, r.n_known, r.held_out) == (0, 0, True) for r in got)
     # without training, each bit has the probability of a half
-    assert all(np.isclose(r.score, -8 * len(lower(t)) * math.log10(2)) for r, (k, t) in zip(sorted(got, key=lambda r: r.doc_id), sorted(only_held), strict=True))
+    assert all(np.isclose(r.score, -8 * len(lower(t)) * math.log10(2)) for r,
+        (k, t) in zip(sorted(got, key=lambda r: r.doc_id), sorted(only_held), strict=True))
 
 
 def test_very_long_text(spark):

@@ -22,7 +22,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 def corpus():
     p = [" ".join(t.split()) + "." for t in prose(80, 21, 200) if len(t.split()) > 100]
     passage = next(" ".join(t.split()) for t in prose(40, 22, 150) if len(t.split()) > 110) + "."
-    more = [p[0], edited(p[1], 3, 60), p[2] + "\n" + passage, p[3] + "\n" + passage, "Home | News | Sport | More\n" + p[4], "a | b | c | d\n" * 30, p[5] + "\n" + p[5]]
+    more = [p[0], edited(p[1], 3, 60), p[2] + "\n" + passage, p[3] + "\n" + passage, "Home | News | Sport | More\n" + p[4], "a | b | c | d\n" * 30,
+        p[5] + "\n" + p[5]]
     return [(k, t) for k, t in ODD if k != 5] + [(100 + i, t) for i, t in enumerate(p + more)]
 
 

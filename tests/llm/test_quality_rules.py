@@ -38,7 +38,8 @@ def brute(text):
 
 def texts():
     p = prose(40, 3, 250)
-    junk = ["a | b | c | d\n" * 9, "Read more\n" * 60, p[0] + "\n" + p[0], "Same line here now.\n" * 30, "WOW!!! YES!!! NO!!!\n" + p[1], "### $$$ %%% " * 40 + p[2], "no end\n" * 70, p[3] + ".\n\n", "Privacy Policy | Terms of use\n" + p[4] + "."]
+    junk = ["a | b | c | d\n" * 9, "Read more\n" * 60, p[0] + "\n" + p[0], "Same line here now.\n" * 30, "WOW!!! YES!!! NO!!!\n" + p[1],
+        "### $$$ %%% " * 40 + p[2], "no end\n" * 70, p[3] + ".\n\n", "Privacy Policy | Terms of use\n" + p[4] + "."]
     return p + junk
 
 

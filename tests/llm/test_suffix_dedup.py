@@ -28,7 +28,8 @@ def brute(rows):
 def corpus():
     p = prose(14, 2, 300)
     shared = prose(1, 8, 120)[0].ljust(420, "q")
-    more = [p[0], p[0], edited(p[1], 1), edited(p[1], 2, 60), p[2] + shared + p[3], shared, "x" + shared[3:390] + "é", "é" * 500, "ab" * 700, "abc" * 500 + shared[:250]]
+    more = [p[0], p[0], edited(p[1], 1), edited(p[1], 2, 60), p[2] + shared + p[3], shared, "x" + shared[3:390] + "é", "é" * 500, "ab" * 700,
+        "abc" * 500 + shared[:250]]
     return ODD + [(100 + i, t) for i, t in enumerate(p + more)]
 
 

@@ -15,7 +15,8 @@ from tessera.llm.common import shared_dir
 
 from .helpers import ODD, prose, table
 
-TEXTS = [t for _, t in ODD if t] + prose(20, 9, 400) + ["a  b\n c  ", "\n\nfoo  bar\tbaz", "don't it's 'llama we're x's", "İstanbul ΑΣ σας", "é café.", "...", " \n", "x y"]
+TEXTS = [t for _, t in ODD if t] + prose(20, 9, 400) + ["a  b\n c  ", "\n\nfoo  bar\tbaz", "don't it's 'llama we're x's", "İstanbul ΑΣ σας",
+    "é café.", "...", " \n", "x y"]
 
 
 def plain(name, text):
@@ -37,7 +38,8 @@ def test_random_texts_are_encoded_as_by_the_tokenizer(name):
     rng = random.Random(11)
     signs = [*"abzAZ'''stremvlld019.,;:!?-_()# \n\t\r  ", *"éÉİıßẞÀÑŒǅΣςЖя漢字한글가ㄱ،٣½²Ⅳªµſﬁ̸́̇̈  　\u0085 ​‍"]
     signs += [*"\x1c\x1f\x0b\x0c\0\x7f­😀👩᠎﻿", "<|endoftext|>", "<|startoftext|>", "İ.", "'S", "  ", " '"]
-    any_char = lambda: chr(rng.choice([rng.randrange(32, 128), rng.randrange(128, 0x600), rng.randrange(0x600, 0xD800), rng.randrange(0x1F000, 0x1FFFF)]))
+    any_char = lambda: chr(rng.choice([rng.randrange(32, 128), rng.randrange(128, 0x600), rng.randrange(0x600, 0xD800),
+        rng.randrange(0x1F000, 0x1FFFF)]))
     texts = ["İ.", "EN İYİ."]
     for i in range(6000):
         pick = any_char if i % 3 == 0 else lambda: rng.choice(signs)
