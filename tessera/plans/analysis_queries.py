@@ -549,13 +549,25 @@ def structure_checks(spark, sf):
         "passed")
 
 
-@query("header_round_trip", "SELECT event_id AS frame_id, true AS exact FROM events")
+_SIDE = lambda n: f"CASE WHEN {n} - 1 < 512 THEN '00' || format('{{:09b}}', {n} - 1) ELSE CASE WHEN {n} - 1 < 8192 THEN '01' || format('{{:013b}}', {n} - 1) ELSE '10' || format('{{:018b}}', {n} - 1) END END"
+_HEAD = f"""WITH f AS (SELECT event_id, event_id * 13 % 9000 + 1 AS w, event_id * 7 % 300 + 1 AS h FROM events),
+  t AS (SELECT event_id, CASE WHEN greatest(w, h) <= 256 THEN '1' || format('{{:08b}}', w - 1) || format('{{:08b}}', h - 1) ELSE '0' || {_SIDE('w')} || {_SIDE('h')} END
+    || CASE WHEN event_id % 20 = 0 AND event_id % 99 = 0 AND event_id % 8 = 0 THEN '1' ELSE '0' || format('{{:02b}}', event_id % 4) || format('{{:03b}}', event_id % 5)
+      || format('{{:032b}}', event_id % 99) || CASE WHEN event_id % 2 = 0 THEN '1' ELSE '0' END || format('{{:03b}}', event_id % 8) END AS t FROM f),
+  r AS (SELECT event_id, rpad(t, ((length(t) + 7) // 8 * 8)::INT, '0') AS t FROM t)
+  SELECT event_id AS frame_id, list_aggregate(list_transform(range(1, length(t), 8), lambda i: format('{{:02X}}', ('0b' || substr(t, i, 8))::INT)), 'string_agg', '') AS bytes, true AS exact FROM r"""
+
+
+@query("header_round_trip", _HEAD)
 def header_round_trip(spark, sf):
+    """The bytes of a size and a frame header, and whether all fields read back."""
     pick = lambda names, m: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % m + 1).cast("int"))
-    d = R.table(spark, sf, "events").select(F.col("event_id").alias("frame_id"), (F.col("event_id") * 13 % 9000 + 1).alias("width"),
-        (F.col("event_id") * 7 % 300 + 1).alias("height"), pick(X.FRAME_TYPES, 4).alias("type"), pick(X.BLENDS, 5).alias("blend"),
-            (F.col("event_id") % 99).alias("duration"), (F.col("event_id") % 2 == 0).alias("last"), (F.col("event_id") % 8).alias("slot"))
-    return X.header_round_trip(d).select("frame_id", "exact")
+    d = R.table(spark, sf, "events").select(
+        F.col("event_id").alias("frame_id"), (F.col("event_id") * 13 % 9000 + 1).alias("width"), (F.col("event_id") * 7 % 300 + 1).alias("height"),
+        pick(X.FRAME_TYPES, 4).alias("type"), pick(X.BLENDS, 5).alias("blend"), (F.col("event_id") % 99).alias("duration"),
+        (F.col("event_id") % 2 == 0).alias("last"), (F.col("event_id") % 8).alias("slot"),
+    )
+    return X.header_round_trip(d).select("frame_id", F.hex("data").alias("bytes"), "exact")
 
 
 @query("sections", (

@@ -254,78 +254,70 @@ def read_image_header(data: Column) -> dict[str, Column]:
     return {k: from_big_endian(data, *p) for k, p in places.items()}
 
 
-class Bits:
-    """Most significant bit first."""
-
-    def __init__(self, data: bytes = b""):
-        self.text, self.at = "".join(f"{b:08b}" for b in data), 0
-
-    def put(self, value: int, n: int) -> Bits:
-        self.text += f"{value:0{n}b}" if n else ""
-        return self
-
-    def get(self, n: int) -> int:
-        if self.at + n > len(self.text):
-            raise ValueError("beyond the end")
-        self.at += n
-        return int(self.text[self.at - n : self.at] or "0", 2)
-
-    def bytes(self) -> bytes:
-        t = self.text + "0" * (-len(self.text) % 8)
-        return bytes(int(t[i : i + 8], 2) for i in range(0, len(t), 8))
-
-
+#: Bits of a side beyond 256, by its two-bit class.
 _CLASSES = (9, 13, 18, 30)
-
-
-def put_size(bits: Bits, width: int, height: int) -> Bits:
-    """Both sides in eight bits each up to 256, else each with a two-bit class."""
-    if max(width, height) <= 256:
-        return bits.put(1, 1).put(width - 1, 8).put(height - 1, 8)
-    bits.put(0, 1)
-    for n in (width, height):
-        k = next(i for i, b in enumerate(_CLASSES) if n - 1 < 1 << b)
-        bits.put(k, 2).put(n - 1, _CLASSES[k])
-    return bits
-
-
-def get_size(bits: Bits) -> tuple[int, int]:
-    if bits.get(1):
-        return bits.get(8) + 1, bits.get(8) + 1
-    return tuple(bits.get(_CLASSES[bits.get(2)]) + 1 for _ in range(2))
-
-
 FRAME_TYPES, BLENDS = ("regular", "low", "reference", "skip"), ("replace", "add", "blend", "mul_add", "multiply")
 
 
-def put_frame(bits: Bits, f: dict) -> Bits:
-    """A flag for the default frame (regular, replace, no duration, last, slot 0); else all fields. Slots 0..7 take three bits."""
-    if (f["type"], f["blend"], f["duration"], f["last"], f["slot"]) == ("regular", "replace", 0, True, 0):
-        return bits.put(1, 1)
-    return bits.put(0, 1).put(FRAME_TYPES.index(f["type"]), 2).put(BLENDS.index(f["blend"]), 3).put(f["duration"], 32).put(int(f["last"]),
-        1).put(f["slot"], 3)
-
+def size_bits(width: Column, height: Column) -> Column:
+    """Both sides in eight bits each up to 256, else each with a two-bit class."""
 
-def get_frame(bits: Bits) -> dict:
-    if bits.get(1):
-        return {"type": "regular", "blend": "replace", "duration": 0, "last": True, "slot": 0}
-    return {"type": FRAME_TYPES[bits.get(2)], "blend": BLENDS[bits.get(3)], "duration": bits.get(32), "last": bool(bits.get(1)), "slot": bits.get(3)}
+    def side(n: Column) -> Column:
+        out = F.concat(bits(F.lit(len(_CLASSES) - 1), 2), bits(n - 1, _CLASSES[-1]))
+        for k, width_ in reversed(list(enumerate(_CLASSES[:-1]))):
+            out = F.when(n - 1 < 1 << width_, F.concat(bits(F.lit(k), 2), bits(n - 1, width_))).otherwise(out)
+        return out
+
+    small = F.concat(F.lit("1"), bits(width - 1, 8), bits(height - 1, 8))
+    return F.when(F.greatest(width, height) <= 256, small).otherwise(F.concat(F.lit("0"), side(width), side(height)))
+
+
+def frame_bits(kind: Column, blend: Column, duration: Column, last: Column, slot: Column) -> Column:
+    """One bit for the default frame (regular, replace, no duration, last, slot 0); else all fields. Slots are 0 to 7."""
+    place = lambda names, c: F.array_position(F.array(*map(F.lit, names)), c) - 1
+    default = (kind == "regular") & (blend == "replace") & (duration == 0) & last & (slot == 0)
+    fields = F.concat(F.lit("0"), bits(place(FRAME_TYPES, kind), 2), bits(place(BLENDS, blend), 3), bits(duration, 32), flag(last), bits(slot, 3))
+    return F.when(default, "1").otherwise(fields)
+
+
+def unpack_bits(data: Column) -> Column:
+    """Bytes as a text of bits."""
+    byte = lambda i: F.lpad(F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 2), 8, "0")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.octet_length(data)), byte), "")
+
+
+def read_headers(files: DataFrame) -> DataFrame:
+    """(.., data) with width, height, type, blend, duration, last and slot, read off the bytes of both headers."""
+    number = lambda first, n: F.conv(F.substring(F.col("t"), first, n), 2, 10).cast("long")
+    class_of = lambda first: F.element_at(F.array(*map(F.lit, _CLASSES)), (number(first, F.lit(2)) + 1).cast("int"))
+    small = F.substring("t", 1, 1) == "1"
+    d = files.withColumn("t", unpack_bits(F.col("data"))).withColumn("small", small)
+    d = d.withColumn("n1", F.when(F.col("small"), 8).otherwise(class_of(F.lit(2)))).withColumn("w_at", F.when(F.col("small"), 2).otherwise(4))
+    d = d.withColumn("h_at", F.col("w_at") + F.col("n1") + F.when(F.col("small"), 0).otherwise(2))
+    d = d.withColumn("n2", F.when(F.col("small"), 8).otherwise(class_of(F.col("h_at") - 2))).withColumn("at", F.col("h_at") + F.col("n2"))
+    default, after = F.substring(F.col("t"), F.col("at"), F.lit(1)) == "1", lambda k: F.col("at") + k
+    name = lambda names, first, n: F.element_at(F.array(*map(F.lit, names)), (number(first, F.lit(n)) + 1).cast("int"))
+    d = d.withColumns({
+        "width": number(F.col("w_at"), F.col("n1")) + 1, "height": number(F.col("h_at"), F.col("n2")) + 1,
+        "type": F.when(default, "regular").otherwise(name(FRAME_TYPES, after(1), 2)),
+            "blend": F.when(default, "replace").otherwise(name(BLENDS, after(3), 3)),
+        "duration": F.when(default, 0).otherwise(number(after(6), F.lit(32))),
+            "last": default | (F.substring(F.col("t"), after(38), F.lit(1)) == "1"),
+        "slot": F.when(default, 0).otherwise(number(after(39), F.lit(3))),
+    })
+    return d.drop("t", "small", "n1", "n2", "w_at", "h_at", "at")
 
 
 def header_round_trip(frames: DataFrame) -> DataFrame:
     """(frame_id, width, height, type, blend, duration, last, slot): bytes of both headers, and whether they read back."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in parts:
-            rows = []
-            for r in frame.to_dict("records"):
-                f = {k: r[k] for k in ("type", "blend", "duration", "last", "slot")}
-                data = put_frame(put_size(Bits(), int(r["width"]), int(r["height"])), f).bytes()
-                back = Bits(data)
-                rows.append((r["frame_id"], len(data), get_size(back) == (r["width"], r["height"]) and get_frame(back) == f))
-            yield pd.DataFrame(rows, columns=["frame_id", "size", "exact"])
-
-    return frames.mapInPandas(run, "frame_id long, size int, exact boolean")
+    fields = ("width", "height", "type", "blend", "duration", "last", "slot")
+    text = F.concat(size_bits(F.col("width"), F.col("height")), frame_bits(*map(F.col, fields[2:])))
+    d = frames.select("frame_id", F.struct(*fields).alias("given"), pack_bits(text).alias("data"))
+    same = lambda k: F.col(k) == F.col(f"given.{k}")
+    exact = same(fields[0])
+    for k in fields[1:]:
+        exact = exact & same(k)
+    return read_headers(d).select("frame_id", "data", exact.alias("exact"))
 
 
 def sections(parts: DataFrame) -> DataFrame:

@@ -24,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def embedding_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 x 32 RGB pictures out of 48 vectors each (3 channels of 4 x 4 blocks of 64 values)."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
-    whole = table(spark, sf_dir, "embeddings").agg((F.floor(F.count(F.lit(1)) / 48) * 48).alias("n"))
+    vectors = table(spark, sf_dir, "embeddings")
+    whole = vectors.agg((F.floor(F.count(F.lit(1)) / 48) * 48).alias("n")).scalar()
     value = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(F.col("e").cast("double") * 256 + 128.5).cast("double")))
-    return vectors.join(F.broadcast(whole), F.col("vec_id") < F.col("n")).select(
+    return vectors.where(F.col("vec_id") < whole).select("vec_id", F.posexplode("embedding").alias("i", "e")).select(
         F.expr("vec_id div 48").alias("image_id"), F.expr("(vec_id % 48) div 16").alias("c"),
         F.expr("((vec_id % 16) div 4) * 8 + i div 8").alias("y"), F.expr("(vec_id % 4) * 8 + i % 8").alias("x"), value.cast("int").alias("v"),
     )
@@ -36,8 +36,8 @@ def embedding_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 x 16 grey frames out of 256 events each, in id order."""
     events = table(spark, sf_dir, "events")
-    whole = events.agg((F.floor(F.count(F.lit(1)) / 256) * 256).alias("n"))
-    return events.join(F.broadcast(whole), F.col("event_id") < F.col("n")).select(
+    whole = events.agg((F.floor(F.count(F.lit(1)) / 256) * 256).alias("n")).scalar()
+    return events.where(F.col("event_id") < whole).select(
         F.expr("event_id div 256").alias("image_id"), F.lit(0).cast("long").alias("c"), F.expr("(event_id % 256) div 16").alias("y"),
         F.expr("event_id % 16").alias("x"), F.floor(F.least("value", F.lit(255.0))).cast("int").alias("v"),
     )

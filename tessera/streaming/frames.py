@@ -28,13 +28,16 @@ def window_statistics(events: DataFrame, width: str = "1 day", late: str = "1 ho
         F.max("value").alias("largest")).select(F.col("window.start").alias("start"), "event_type", "n", "mean", "largest")
 
 
-def complete_frames(samples: DataFrame, size: int = 256) -> DataFrame:
+def complete_frames(samples: DataFrame, size: int = 256, wait: int | None = None) -> DataFrame:
     """A row for each frame once all its samples have come, however they were split over batches: the state of an open
-    frame is its count and sum."""
+    frame is its count and sum. A frame that gets no sample for `wait` milliseconds is given up."""
 
     def update(key, frames, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, total = state.get if state.exists else (0, 0)
         for f in frames:
             n, total = n + len(f), total + int(f["v"].sum())
@@ -43,9 +46,11 @@ def complete_frames(samples: DataFrame, size: int = 256) -> DataFrame:
             yield pd.DataFrame({"frame_id": [key[0]], "total": [total]})
         else:
             state.update((n, total))
+            if wait:
+                state.setTimeoutDuration(wait)
 
     return samples.groupBy("frame_id").applyInPandasWithState(update, "frame_id long, total long", "n int, total long", "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
