@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import _BASE, _BASE_INVERSE, BROADCAST_ROWS, BYTE_VALUE, _mix, _power_table, bounded, column, documents, fresh, map_rows, materialize, row_id, slices, small, text_bytes
 
 WINDOW, GRAM = 200, 32
+#: Bytes of slices that are sorted together; the arrays of a block take some hundred times as much.
 BLOCK_BYTES = 1 << 19
 #: Classes of an anchor, or of a group of chunks, above which it is cut on.
 HOT, CHUNK = 1024, 32
