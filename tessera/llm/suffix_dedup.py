@@ -31,7 +31,7 @@ WINDOW, GRAM = 200, 32
 #: Bytes of slices that are sorted together; the arrays of a block take some hundred times as much.
 BLOCK_BYTES = 1 << 19
 #: Classes of an anchor, or of a group of chunks, above which it is cut on.
-HOT, CHUNK = 1024, 32
+HOT, CHUNK = 256, 32
 #: A text is searched for anchors in parts of so many string starts, each with the bytes its last strings need.
 PART = 1 << 19
 
