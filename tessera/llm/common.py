@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,12 +80,33 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+@cache
+def _malloc_trim() -> Callable[[int], int] | None:
+    """glibc's; other C libraries have none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trimmed(run: Callable) -> Callable:
+    """run for mapInArrow, after which the worker gives back the memory that it no longer uses: Spark keeps its Python
+    workers for later tasks, of other stages too, and what arrays and batches took would stay with them."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _malloc_trim():
+                trim(0)
+
+    return whole
+
+
 def map_rows(df: DataFrame, run: Callable, names: list[str]) -> DataFrame:
     """mapInArrow over columns of any names, which Spark's own takes without dots only: inside, columns have places, and
     `run` gives back those called `names`, with their types."""
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     kept = [plain.schema[f"c{df.columns.index(n)}"] for n in names]
-    return plain.mapInArrow(run, StructType(kept)).toDF(*names)
+    return plain.mapInArrow(trimmed(run), StructType(kept)).toDF(*names)
 
 
 #: Rows that a broadcast may have, of two longs at most: some 32 MB. Larger tables are joined by a shuffle.

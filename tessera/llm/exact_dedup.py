@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, column, documents, fresh
+from .common import bounded, column, documents, fresh, trimmed
 
 #: Parts in which rows that share a frequent group's text and key are numbered.
 PARTS = 256
@@ -45,7 +45,7 @@ def heavy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", count
     spark = docs.sparkSession
     bounded(spark)
     digests = docs.select(digest(text).alias("d"), column(key).alias("k"))
-    found = digests.select("d").mapInArrow(_summaries(counters), "d string, n long").groupBy("d").agg(F.sum("n").alias("n"))
+    found = digests.select("d").mapInArrow(trimmed(_summaries(counters)), "d string, n long").groupBy("d").agg(F.sum("n").alias("n"))
     found = [r.d for r in found.orderBy(F.desc("n"), "d").limit(counters).collect()]
     if not found:
         return []

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, bounded, column, counts_between, documents, fresh, materialize, release, row_id, slices, small, span_hashes, text_bytes, word_bounds
+from .common import BROADCAST_ROWS, LOWER, bounded, column, counts_between, documents, fresh, materialize, release, row_id, slices, small, span_hashes, text_bytes, word_bounds, trimmed
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 agrees in no band with a chance of (1 - 0.8**6)**40 = 5e-6.
@@ -200,7 +200,7 @@ def _sign(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), pa.array(whole, pa.binary()),
                     pa.array(np.diff(at), pa.int32()), bands], names=["row", "k", "hash", "n", "bands"])
 
-    return rows.mapInArrow(run, _SIGNED)
+    return rows.mapInArrow(trimmed(run), _SIGNED)
 
 
 _DEALT = "band int, value long, x int, y int, block int, row long, size long, mask long, sig binary, shingles binary"
@@ -232,7 +232,7 @@ def _deal(members: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return members.mapInArrow(run, _DEALT)
+    return members.mapInArrow(trimmed(run), _DEALT)
 
 
 def _compare(blocks: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def _compare(blocks: DataFrame) -> DataFrame:
         if len(held) > 1 and len({h[0] for h in held}) == (1 if key[2] == key[3] else 2):
             yield from done()
 
-    return blocks.mapInArrow(run, "row long, other long, links long")
+    return blocks.mapInArrow(trimmed(run), "row long, other long, links long")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INVERSE, BROADCAST_ROWS, BYTE_VALUE, _mix, _power_table, bounded, column, documents, fresh, map_rows, materialize, row_id, slices, small, text_bytes
+from .common import _BASE, _BASE_INVERSE, BROADCAST_ROWS, BYTE_VALUE, _mix, _power_table, bounded, column, documents, fresh, map_rows, materialize, row_id, slices, small, text_bytes, trimmed
 
 WINDOW, GRAM = 200, 32
 #: Bytes of slices that are sorted together; the arrays of a block take some hundred times as much.
@@ -251,7 +251,7 @@ def _find(rows: DataFrame) -> DataFrame:
                         pa.array(strings, pa.int32()), pa.array(shift, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, names=["h", "s", "row", "start", "strings", "shift"])
 
-    return rows.mapInArrow(run, "h long, s long, row long, start long, strings int, shift int")
+    return rows.mapInArrow(trimmed(run), "h long, s long, row long, start long, strings int, shift int")
 
 
 def _cut(asked: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def _cut(asked: DataFrame) -> DataFrame:
             if out:
                 yield _slice_batch(out)
 
-    return asked.mapInArrow(run, "h long, row long, start long, shift int, hot boolean, b binary")
+    return asked.mapInArrow(trimmed(run), "h long, row long, start long, shift int, hot boolean, b binary")
 
 
 def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -301,7 +301,7 @@ def _sort(cut: DataFrame) -> DataFrame:
         if held:
             yield from done()
 
-    return cut.mapInArrow(run, "row long, start long, strings long")
+    return cut.mapInArrow(trimmed(run), "row long, start long, strings long")
 
 
 def _windows(cut: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def _windows(cut: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b[i : i + WINDOW]) for i in at], pa.binary()),
                     pa.array([row] * len(at), pa.int64()), pa.array([start + i for i in at], pa.int64())], names=["h2", "row", "start"])
 
-    return cut.mapInArrow(run, "h2 binary, row long, start long")
+    return cut.mapInArrow(trimmed(run), "h2 binary, row long, start long")
 
 
 def _recut(cut: DataFrame, width: int) -> DataFrame:
@@ -342,7 +342,7 @@ def _recut(cut: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
                     names=["g", "s", "row", "start", "strings", "b"])
 
-    return cut.mapInArrow(run, "g binary, s binary, row long, start long, strings long, b binary")
+    return cut.mapInArrow(trimmed(run), "g binary, s binary, row long, start long, strings long, b binary")
 
 
 def _hot_marks(cut: DataFrame, hot: int) -> DataFrame:
@@ -436,7 +436,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = H
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, _RESULT)
+    return joined.mapInArrow(trimmed(run), _RESULT)
 
 
 def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import registry
+from tessera.llm.common import trimmed
 
 from ..oracle import SF, connection, rows
 from . import test_jaccard_join, test_quality_rules, test_suffix_dedup
@@ -103,3 +104,23 @@ def test_entry_works_without_the_subpackage(tmp_path):
     shutil.rmtree(tmp_path / "tessera/llm")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'dct8' in q and not any(k.startswith('op') and k[2:3].isdigit() for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_workers_give_memory_back():
+    """What a task's arrays took does not stay with the worker for the next stages, though later memory lies above it."""
+    pinned = []
+
+    def run(batches):
+        for b in batches:
+            held = [bytes(50_000) for _ in range(4_000)]
+            pinned.append(bytes(50_000))
+            del held
+            yield b
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    before = resident()
+    assert list(trimmed(run)(iter([1]))) == [1]
+    assert resident() < before + 100_000_000
