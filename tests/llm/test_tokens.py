@@ -237,3 +237,15 @@ def test_pieces_against_brute_force(spark):
             assert np.isclose(scores[k, zlib.crc32(p.encode(t).tobytes())], brute(t))
     assert S.encode(table(spark, ODD).limit(0)).count() == 0
     assert S.encode(table(spark, ODD), ids=True).where("size(ids) <> n_pieces").count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_merges_of_many_parts_are_the_models(name):
+    """Parts of one length merged together, letters, repeats and any bytes, against the model a part at a time."""
+    rng, e = random.Random(7), V.Encoder(V.vocabulary_path(name))
+    assert e._merges.whole
+    for size in (1, 2, 3, 7, 16, V.Merges.MOST):
+        raw = [bytes(rng.choice([b"etaoin", b"a", bytes(range(256))][i % 3]) for _ in range(size)) for i in range(300)]
+        ids, counts = e._merges.ids(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, size))
+        want = [[t.id for t in e._model.tokenize("".join(e._letters[b] for b in x))] for x in raw]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
