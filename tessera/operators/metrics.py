@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalar import let
 from .colour import opponent
@@ -112,16 +116,28 @@ def perceptual_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def byte_compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(id, data binary) against (id, data binary): sizes, their ratio, differing bytes (a missing one differs), and the
-    first differing offset, or -1."""
+    """(id, data binary) against (id, data binary): sizes, their ratio (null where a is empty), differing bytes (a missing one
+    differs), and the first differing offset, or -1."""
     d = a.select("id", F.col("data").alias("a")).join(b.select("id", F.col("data").alias("b")), "id", "full")
     d = d.select("id", F.coalesce("a", F.lit(b"")).alias("a"), F.coalesce("b", F.lit(b"")).alias("b"))
-    n = F.greatest(F.octet_length("a"), F.octet_length("b"))
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    odd = F.filter(at, lambda i: ~F.substring("a", i, F.lit(1)).eqNullSafe(F.substring("b", i, F.lit(1))))
-    d = d.withColumn("odd", odd)
-    return d.select("id", F.octet_length("a").alias("size_a"), F.octet_length("b").alias("size_b"), F.size("odd").alias("differing"),
-        F.coalesce(F.get("odd", F.lit(0)) - 1, F.lit(-1)).alias("first_offset"), (F.octet_length("b") / F.octet_length("a")).alias("ratio"))
+
+    def compare(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int]:
+        n = min(len(x), len(y))
+        odd = x[:n] != y[:n]
+        differing = int(np.count_nonzero(odd))
+        first = int(odd.argmax()) if differing else n if len(x) != len(y) else -1
+        return len(x), len(y), differing + max(len(x), len(y)) - n, first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view = lambda v: np.frombuffer(v.as_buffer(), np.uint8)
+        for batch in batches:
+            found = [compare(view(x), view(y)) for x, y in zip(batch.column("a"), batch.column("b"), strict=True)]
+            columns = np.array(found, np.int32).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, columns)], names=["id", *names])
+
+    names = ["size_a", "size_b", "differing", "first_offset"]
+    out = d.mapInArrow(run, StructType([d.schema["id"], *(StructField(n, IntegerType()) for n in names)]))
+    return out.select("id", *names, F.try_divide("size_b", "size_a").alias("ratio"))
 
 
 def vector_statistics(v: DataFrame, column: str = "embedding") -> DataFrame:

@@ -1,11 +1,15 @@
 """Queries do the whole job: no picture, vector, document or part of a text is left out."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tessera.plans import QUERIES
+from tessera.operators.metrics import byte_compare
+from tessera.plans import ORACLE_SQL, QUERIES
+
+from .oracle import rows
 
 TEXT = "é" * 30 + "some text with ends, and then more of the same; " * 9
 PICTURES = 11
@@ -59,6 +63,22 @@ def test_whole_texts_are_compared(spark, folder):
     assert got[30].differing == sum(x != y for x, y in zip(a, b, strict=False)) + len(a) - len(b) and got[30].first_offset == a.index(b"e")
 
 
+def test_empty_texts_are_compared(spark, tmp_path):
+    long = "é" + "no such letter, then one: e" * 40_000
+    texts = ["", None, "abc", "no", "aé\0b..e.", "e" * 9, long]
+    pq.write_table(pa.table({"doc_id": np.arange(len(texts)), "text": texts}), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = rows(QUERIES["byte_compare"](spark, str(tmp_path)).toArrow())
+    assert got == rows(con.sql(ORACLE_SQL["byte_compare"]).to_arrow_table())
+
+
+def test_bytes_of_ids_on_one_side_differ(spark):
+    of = lambda *rows: spark.createDataFrame(rows, "id string, data binary")
+    got = byte_compare(of(("a", b"\0\1"), ("b", b"")), of(("b", b"xyz"), ("c", None))).collect()
+    assert sorted(map(tuple, got)) == [("a", 2, 0, 2, 0, 0.0), ("b", 0, 3, 3, 0, None), ("c", 0, 0, 0, -1, None)]
+
+
 def test_first_20_differences_of_each_text(spark, folder):
     got = sorted((r.id, r.at, r.a, r.b) for r in QUERIES["byte_differences"](spark, folder).collect())
     places = [i for i, x in enumerate(TEXT.encode()) if x == ord("e")]
