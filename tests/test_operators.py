@@ -3,14 +3,19 @@
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import scalar as S
 from tessera.operators import blocks as B
 from tessera.operators import coding as K
 from tessera.operators import entropy as E
 from tessera.operators import motion as M
 from tessera.operators import prediction as P
 from tessera.operators import wavelet as W
+from tessera.plans import QUERIES
 from tessera.sources import containers as X
 from tessera.sources import rasters as R
 
@@ -72,6 +77,23 @@ def test_range_coder_and_matches():
     assert E.matches([1, 2, 3] * 10)[-1] == (-1, 27, 3)
 
 
+def test_varints_of_long_numbers(spark):
+    numbers = sorted({0, 2**63 - 1} | {2 ** (7 * k) + d for k in range(1, 9) for d in (-1, 0, 1)})
+    d = spark.createDataFrame([(n,) for n in numbers], "n long")
+    coded = d.select("n", K.varint_column(F.col("n")).alias("data"), S.varint_bytes(F.col("n")).alias("size"))
+    for r in coded.withColumn("back", K.read_varint_column(F.col("data"))).collect():
+        assert (bytes(r.data), r.size, r.back) == (E.varint(r.n), len(E.varint(r.n)), r.n)
+
+
+def test_varints_of_large_ids(spark, tmp_path):
+    ids = [0, 11, 12, 185_363, 185_364, 6_000_000, 3_037_000_499]
+    pq.write_table(pa.table({"event_id": ids}), tmp_path / "events.parquet")
+    got = {r.event_id: (r.bytes, r.back) for r in QUERIES["varints"](spark, str(tmp_path)).collect()}
+    assert got == {i: (E.varint(i * i).hex().upper(), i * i) for i in ids}
+    got = {r.event_id: r.bytes for r in QUERIES["varint_length"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(E.varint(i * i)) for i in ids}
+
+
 def test_boxes():
     small = (12).to_bytes(4, "big") + b"abcdWXYZ"
     large = (1).to_bytes(4, "big") + b"efgh" + (18).to_bytes(8, "big") + b"hi"
